@@ -74,9 +74,10 @@ def er_trend_points(status: Column) -> Column:
     )
 
 
-def stability_points(cv: Column, top_share: Column) -> Column:
-    """A variation of exactly 0 is read as missing, which counts as 50."""
-    cv = F.coalesce(F.nullif(cv, F.lit(0.0)), F.lit(50.0))
+def stability_points(cv: Column, top_share: Column, zero_is_missing: bool = True) -> Column:
+    """In the scan profile a variation of exactly 0 is read as missing, which counts as 50."""
+    if zero_is_missing:
+        cv = F.coalesce(F.nullif(cv, F.lit(0.0)), F.lit(50.0))
     return (
         F.when(top_share > 0.60, 1).when(cv < 15, 1).when(cv > 80, 2).when(top_share < 0.40, 5).otherwise(3)
     )

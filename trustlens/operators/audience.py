@@ -118,3 +118,15 @@ def first_flagged(audience: DataFrame, keep: int = 10) -> DataFrame:
         .withColumn("position", F.row_number().over(window)).where(F.col("position") <= keep)
         .select("channel_id", "position", "user_id", "username", "flags")
     )
+
+
+def supplemented(sample: DataFrame, known: DataFrame, comments: DataFrame, minimum: int = MIN_ACCOUNTS) -> DataFrame:
+    """Sampled accounts, and where a channel has fewer than the minimum also the known authors of its comments."""
+    sizes = sample.groupBy("channel_id").agg(F.count(F.lit(1)).alias("size"))
+    full = sizes.where(F.col("size") >= minimum).select("channel_id")
+    authors = comments.select("channel_id", "user_id").distinct()
+    extra = (
+        known.join(full, "channel_id", "left_anti").join(authors, ["channel_id", "user_id"], "left_semi")
+        .join(sample.select("channel_id", "user_id"), ["channel_id", "user_id"], "left_anti")
+    )
+    return sample.withColumn("supplement", F.lit(False)).unionByName(extra.withColumn("supplement", F.lit(True)))

@@ -251,3 +251,83 @@ def private_links(metrics: DataFrame, category: Column, comments_on: Column) ->
         "private_ratio": half_even(ratio, 2),
         "private_multiplier": F.least(base, crypto, hidden),
     })
+
+
+def group_variation(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Coefficient of variation of a whole-number column per group, sample (percent) and population."""
+    v = F.col(value)
+    sums = rows.where(v.isNotNull()).groupBy(*keys).agg(
+        F.count(v).alias("values"), F.sum(v).alias("total"), F.sum(_square(v)).alias("squares")
+    )
+    n, total, squares = F.col("values"), F.col("total"), F.col("squares")
+    return sums.withColumns({
+        "cv_sample_percent": cv_from_sums(n, total, squares, sample=True) * 100,
+        "cv_population": cv_from_sums(n, total, squares, sample=False),
+    })
+
+
+def emoji_histogram(sample: DataFrame) -> DataFrame:
+    """Reactions per channel and emoji, with the number of emoji and the share of the simple ones.
+
+    At most a channel's sampled posts enter one group, and the histogram windows only see
+    one row per emoji.
+    """
+    exploded = sample.select("channel_id", F.inline("reactions"))
+    counted = exploded.groupBy("channel_id", F.coalesce("emoji", F.lit("?")).alias("emoji")).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("reactions")
+    )
+    channel = W.partitionBy("channel_id")
+    simple = F.sum(F.when(F.col("emoji").isin(SIMPLE_EMOJI), F.col("reactions")).otherwise(0)).over(channel)
+    return counted.withColumns({
+        "emoji_types": F.count(F.lit(1)).over(channel).cast("int"),
+        "simple_share": safe_ratio(simple, F.sum("reactions").over(channel)),
+    })
+
+
+def private_invites(posts: DataFrame, channels: DataFrame) -> DataFrame:
+    """Private and public link posts per channel, with the number of different invite codes."""
+    sample = newest_posts(posts.withColumns({
+        "codes": F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1)),
+        "has_public": F.col("text").rlike(PUBLIC_LINK),
+    }).select("channel_id", "post_id", "ts", "codes", "has_public"))
+    counts = sample.groupBy("channel_id").agg(
+        _count(F.size("codes") > 0).alias("private_posts"), _count(F.col("has_public")).alias("public_posts"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("codes")))).cast("bigint").alias("unique_private"),
+    )
+    joined = counts.join(channels.select("channel_id", "category", "comments_enabled"), "channel_id")
+    return private_links(joined, F.col("category"), F.col("comments_enabled"))
+
+
+def without_top(described: DataFrame) -> DataFrame:
+    """Posts with reactions, minus the strongest one where a channel has more than three."""
+    reacted = described.where(F.col("reacted") > 0)
+    channel = W.partitionBy("channel_id")
+    ranked = reacted.withColumns({
+        "place": F.row_number().over(channel.orderBy(F.col("reacted").desc(), "post_id")),
+        "reacted_posts": F.count(F.lit(1)).over(channel),
+    })
+    return ranked.where((F.col("place") > 1) | (F.col("reacted_posts") <= 3))
+
+
+def first_reacted(described: DataFrame) -> DataFrame:
+    """Number of posts among the first five and the first post of the newest twenty that has reactions."""
+    eligible = (F.col("rn") <= 20) & F.col("has_reactions")
+    return described.groupBy("channel_id").agg(
+        _count(F.col("rn") <= 5).alias("early_posts"),
+        F.min_by("post_id", F.when(eligible, F.col("rn"))).alias("target_post"),
+    )
+
+
+def dated_posts(posts: DataFrame, require_views: bool = False) -> DataFrame:
+    """Sampled posts with a date (and views), numbered by ``age_rank`` from the oldest."""
+    kept = newest_posts(posts).where(F.col("ts").isNotNull())
+    if require_views:
+        kept = kept.where(F.col("views") > 0)
+    oldest = W.partitionBy("channel_id").orderBy(F.col("ts"), F.col("post_id"))
+    return kept.withColumn("age_rank", F.row_number().over(oldest))
+
+
+def private_codes(posts: DataFrame) -> DataFrame:
+    """Distinct private invite codes per channel."""
+    found = posts.select("channel_id", "post_id", "ts", F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1)).alias("codes"))
+    return newest_posts(found).select("channel_id", F.explode("codes").alias("code")).distinct()

@@ -168,3 +168,18 @@ def score_channels(posts: DataFrame, channels: DataFrame, audience: DataFrame, a
         "effective_conviction", F.when(F.col("gate").isNull(), F.col("effective_conviction")).otherwise(0)
     )
     return add_score(add_llm_trust(add_trust(add_points(convicted))))
+
+
+def add_crawl_outcome(scored: DataFrame) -> DataFrame:
+    """What is stored for a channel: toxic channels are bad with score 0, and a good one without label is retried."""
+    critical = F.coalesce((F.col("llm.severity") == "CRITICAL") & F.col("llm.is_toxic"), F.lit(False))
+    unlabelled = F.coalesce(F.col("category"), F.lit("")) == ""
+    by_verdict = F.when(F.col("verdict") == "SCAM", "BAD").otherwise("GOOD")
+    return scored.withColumns({
+        "outcome_status": F.when(critical, "BAD").otherwise(by_verdict),
+        "outcome_verdict": F.when(
+            critical, F.concat(F.lit("TOXIC_"), F.coalesce("llm.toxic_category", F.lit("CONTENT")))
+        ).otherwise(F.col("verdict")),
+        "outcome_score": F.when(critical, 0).otherwise(F.col("score")),
+        "retry": ~critical & (F.col("score") >= GOOD_SCORE) & unlabelled,
+    })

@@ -22,6 +22,7 @@ def build_session(app: str = "trustlens", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "8g")

@@ -106,6 +106,15 @@ class SampleTables:
             *self.POST_COLUMNS, "concat(body, suffix) AS text"
         )
 
+    @cached_property
+    def posts_with_footer(self) -> DataFrame:
+        """Posts of which some channels close three out of five with the same line."""
+        footer = "\n\nFollow this channel for more: number "
+        return self.posts_with_text.withColumn("text", F.when(
+            (F.col("channel_id") % 4 == 1) & (F.col("post_id") % 5 < 3),
+            F.concat("text", F.lit(footer), F.col("channel_id").cast("string")),
+        ).otherwise(F.col("text")))
+
     @cached_property
     def channels(self) -> DataFrame:
         names = ", ".join(f"'{c}'" for c in CATEGORIES)
@@ -186,6 +195,70 @@ class SampleTables:
             "scanned_at": F.expr(f"{AS_OF_SQL} - make_dt_interval(0, int(channel_id))"),
         }).drop("n")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """Result rows with their stored JSON texts: long format for even channels, short format for odd ones."""
+        def tenths(k: str) -> str:
+            return f"concat(({k}) div 10, '.', ({k}) % 10)"
+
+        def hundredths(k: str) -> str:
+            return f"concat(({k}) div 100, '.', lpad(cast(({k}) % 100 AS string), 2, '0'))"
+
+        ch = "channel_id"
+        values = {
+            "cv": tenths(f"({ch} * 17) % 1300"), "re": tenths(f"({ch} * 23) % 3400"), "rg": tenths(f"({ch} * 11) % 250"),
+            "vd": hundredths(f"({ch} * 13) % 200"), "fr": tenths(f"({ch} * 31) % 170"), "ac": tenths(f"({ch} * 7) % 80"),
+            "rr": tenths(f"({ch} * 19) % 130"), "rs": tenths(f"({ch} * 9) % 1000"), "tc": hundredths(f"({ch} * 3) % 100"),
+            "pv": hundredths(f"{ch} % 8"), "sd": hundredths(f"({ch} * 21) % 101"), "rp": tenths(f"({ch} * 2) % 10"),
+            "pl": hundredths(f"({ch} * 41) % 101"), "lt": hundredths(f"({ch} * 3) % 100 + 1"), "nr": hundredths(f"({ch} * 5) % 50"),
+            "fo": hundredths(f"({ch} * 37) % 101"), "fp": hundredths(f"{ch} % 12"),
+            "es": f"element_at(array('growing', 'stable', 'declining', 'dying', 'always_dead', 'insufficient_data'), int({ch} % 6) + 1)",
+            "con": f"CASE WHEN {ch} % 4 <> 0 THEN 'true' ELSE 'false' END", "ron": f"CASE WHEN {ch} % 11 <> 0 THEN 'true' ELSE 'false' END",
+            "ver": f"CASE WHEN {ch} % 4 = 2 THEN 'true' ELSE 'false' END",
+        }
+        rows = self.results.withColumns({f"_{k}": F.expr(v) for k, v in values.items()})
+        return rows.selectExpr(
+            "*",
+            f"""concat_ws(', ', CASE WHEN {ch} % 4 = 0 THEN '"hidden_comments": {{"multiplier": 0.85, "reason": "off"}}' END,
+              CASE WHEN {ch} % 3 = 0 THEN '"conviction": {{"multiplier": 0.6, "score": 55}}' END,
+              CASE WHEN {ch} % 7 = 0 THEN concat('"private_links": {{"multiplier": 0.5, "ratio": ', _pl, '}}') END,
+              CASE WHEN {ch} % 11 = 0 THEN '"scam_network": {{"multiplier": 0.81, "scam_count": 2, "bad_count": 1}}' END,
+              '"spam_posting": {{"multiplier": 1.0}}') AS _td""",
+        ).selectExpr(
+            "*",
+            f"""concat('{{"cv_views": {{"value": ', _cv, ', "points": 1, "max": 12}}, "reach": {{"value": ', _re, ', "points": 2, "max": 8}}, "regularity": {{"value": ',
+              _rg, ', "points": 3, "max": 7}}, "views_decay": {{"value": ', _vd, ', "points": 0, "max": 0}}, "forward_rate": {{"value": ', _fr,
+              ', "points": 4, "max": 15}}, "comments": {{"value": "enabled (avg ', _ac, ')", "points": ', {ch} % 16, ', "max": 15, "avg": ', _ac,
+              '}}, "er_trend": {{"status": "', _es, '", "points": 5, "max": 10}}, "reaction_rate": {{"value": ', _rr,
+              ', "points": 6, "max": 8}}, "reaction_stability": {{"value": ', _rs, ', "top_concentration": ', _tc,
+              ', "points": 3, "max": 5}}, "verified": {{"value": ', _ver, ', "points": 0, "max": 0}}, "age": {{"value": ', ({ch} * 53) % 1200,
+              ', "points": 2, "max": 7}}, "premium": {{"value": ', _pv, ', "ratio": ', _pv, ', "count": ', {ch} % 5,
+              ', "points": 4, "max": 7}}, "source_diversity": {{"value": ', _sd, ', "points": 6, "max": 6, "repost_ratio": ', _rp,
+              '}}, "posting_frequency": {{"posts_per_day": ', _rg, ', "status": "normal"}}, "private_links": {{"private_ratio": ', _pl,
+              '}}, "comments_enabled": ', _con, ', "reactions_enabled": ', _ron, ', "trust_details": {{', _td, '}}}}') AS _long""",
+            f"""concat('{{"_v": 1, "cv": [', _cv, ', 1], "re": [', _re, ', 2], "rg": [', _rg, ', 3], "vd": [', _vd, ', 0], "fr": [', _fr,
+              ', 4], "co": ["enabled (avg ', _ac, ')", ', {ch} % 16, '], "er": {{"status": "', _es, '", "points": 5, "max": 10}}, "rr": [', _rr,
+              ', 6], "rs": [', _rs, ', 3], "ve": [', _ver, ', 0], "ag": [', ({ch} * 53) % 1200, ', 2], "pr": ',
+              CASE WHEN {ch} % 14 = 7 THEN concat('{{"private_ratio": ', _pl, '}}') ELSE concat('[', _pv, ', 4], "pl": {{"private_ratio": ', _pl, '}}') END,
+              ', "sd": [', _sd, ', 6], "po": {{"posts_per_day": ', _rg, ', "status": "normal"}}, "comments_enabled": ', _con,
+              ', "reactions_enabled": ', _ron, ', "trust_details": {{', _td, '}}}}') AS _short""",
+            f"""CASE WHEN {ch} % 6 <> 5 THEN concat(', "llm_analysis": {{"tier": "STANDARD", "tier_cap": 85, "ad_percentage": ', ({ch} * 7) % 101,
+              ', "bot_percentage": ', ({ch} * 13) % 101, ', "trust_score": ', ({ch} * 17) % 101, ', "ad_mult": ',
+              CASE WHEN ({ch} * 7) % 101 > 30 THEN '0.9' ELSE '1.0' END, ', "bot_mult": ', CASE WHEN ({ch} * 13) % 101 > 40 THEN '0.8' ELSE '1.0' END,
+              ', "llm_trust_factor": ', _lt, '}}') ELSE '' END AS _llm""",
+        ).selectExpr(
+            *[c for c in self.results.columns],
+            f"""CASE WHEN {ch} % 23 <> 22 THEN concat('{{"breakdown": ', CASE WHEN {ch} % 2 = 0 THEN _long ELSE _short END,
+              ', "categories": {{"quality": {{"score": ', {ch} % 43, ', "max": 42}}, "engagement": {{"score": ', {ch} % 39,
+              ', "max": 38}}, "reputation": {{"score": ', {ch} % 21, ', "max": 20}}}}', CASE WHEN {ch} % 5 = 0 THEN
+              concat(', "flags": {{"is_verified": ', CASE WHEN {ch} % 3 = 0 THEN 'true' ELSE 'false' END, '}}') ELSE '' END, _llm, '}}') END AS breakdown_json""",
+            f"""CASE WHEN {ch} % 9 <> 0 THEN concat('{{"users_analyzed": ', 20 + {ch} % 80, ', "id_clustering": {{"neighbor_ratio": ', _nr,
+              ', "fatality": ', CASE WHEN ({ch} * 5) % 50 > 30 THEN 'true' ELSE 'false' END, '}}, "', CASE WHEN {ch} % 2 = 0 THEN 'geo_dc_check' ELSE 'geo_dc_analysis' END,
+              '": {{"foreign_ratio": ', _fo, '}}, "premium_density": {{"premium_ratio": ', _fp, ', "premium_count": ', {ch} % 6, '}}}}') END AS forensics_json""",
+            f"CASE WHEN {ch} % 3 <> 0 THEN ({ch} * 101) % 9000 END AS avg_views",
+            "llm.ad_percentage AS ad_percentage", "llm.bot_percentage AS bot_percentage",
+        )
+
     @cached_property
     def skip_list(self) -> DataFrame:
         return self.channels.where("channel_id % 17 = 0").selectExpr(
@@ -211,13 +284,22 @@ class SampleTables:
         return self.raw("conversations").selectExpr(
             "conv_id AS key", "turn",
             f"{AS_OF_SQL} - make_dt_interval(int(turn * 2)) AS cached_at",
-            """concat('{"category": "', element_at(array('TECH', 'NEWS', 'CRYPTO', 'UNKNOWN'), int(conv_id % 4) + 1),
-                 '", "ad_percentage": ', (conv_id * 7) % 101, ', "bot_percentage": ', (conv_id * 13) % 101,
-                 ', "trust_score": ', (conv_id * 17) % 101, ', "is_toxic": ', CASE WHEN conv_id % 3 = 0 THEN 'true' ELSE 'false' END,
-                 ', "severity": "', element_at(array('SAFE', 'HIGH', 'MEDIUM'), int(conv_id % 3) + 1), '"}') AS clean""",
-            """concat('category: ', element_at(array('TECH', 'NEWS', 'CRYPTO', 'UNKNOWN'), int(conv_id % 4) + 1),
-                 '\\nad_percentage: ', (conv_id * 7) % 101, '\\nbot_percentage: ', (conv_id * 13) % 101,
-                 '\\ntrust_score: ', (conv_id * 17) % 101) AS lines""",
+            """concat('{"classification": {"category": "', element_at(array('TECH', 'NEWS', 'CRYPTO', 'MUSIC'), int(conv_id % 4) + 1),
+              '"}, "safety": {"status": "', element_at(array('SAFE', 'HIGH', 'MEDIUM', 'CRITICAL', 'SAFE'), int(conv_id % 5) + 1),
+              '", "is_scam": ', CASE WHEN conv_id % 7 = 0 THEN 'true' ELSE 'false' END,
+              ', "flags": [', element_at(array('', '"online casino"', '"fake shop", "adult"', '"18+ content"'), int(conv_id % 4) + 1),
+              ']}, "ad_analysis": {"ad_post_ids": [', substring('1, 2, 3, 4, 5', 1, int(greatest(0, 3 * (conv_id % 6) - 2))),
+              ']}, "audience": {"trust_score": ', (conv_id * 17) % 101,
+              ', "verdict": "', element_at(array('HIGH_QUALITY', 'MIXED', 'BOT_FARM', 'OTHER'), int(conv_id % 4) + 1),
+              '"}, "ad_percentage": ', (conv_id * 7) % 101, ', "ad_post_count": ', (conv_id * 3 + turn) % 60,
+              ', "total_comments": ', conv_id % 41, ', "suspicious_bot_count": ', (conv_id + turn) % 20,
+              ', "authenticity_tier": "', element_at(array('HIGH', 'MEDIUM', 'LOW', 'ODD'), int((conv_id + turn) % 4) + 1),
+              '", "toxic_post_count": ', conv_id % 9, ', "total_posts": ', 20 + conv_id % 30,
+              ', "toxic_category": "', element_at(array('GAMBLING', 'null', 'SCAM'), int(conv_id % 3) + 1),
+              '", "severity_label": "', element_at(array('CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'SAFE'), int(conv_id % 5) + 1),
+              '"}') AS clean""",
+            """concat('Toxicity: ', conv_id % 10, '\nad_percentage: ', (conv_id * 7) % 101,
+              '\n"violence": ', conv_id % 4, '\nred_flags: ["spam", "bots"]') AS lines""",
         ).selectExpr(
             "key", "cached_at", "turn",
             """CASE turn % 4 WHEN 0 THEN clean WHEN 1 THEN concat('Here is the answer: ', clean, ' Hope it helps.')
