@@ -27,10 +27,10 @@ def statement(sql: str) -> str:
 
 
 def statements() -> dict[str, str]:
-    from checks.oracle import aggregates, catalogue, points, rescoring, scores, sources, text
+    from checks.oracle import aggregates, catalogue, points, rescoring, scores, sources, streams, text
 
     out: dict[str, str] = {}
-    for module in (sources, aggregates, points, scores, catalogue, text, rescoring):
+    for module in (sources, aggregates, points, scores, catalogue, text, rescoring, streams):
         for name, sql in module.SQL.items():
             if name in out:
                 raise ValueError(f"duplicate oracle {name}")

@@ -3,6 +3,8 @@
 Names end in ``_v`` so that they cannot be confused with columns or driver tables.
 """
 
+from trustlens.functions.text import STOP_NAMES
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 VIEWS: dict[str, str] = {}
@@ -612,5 +614,9 @@ SELECT DISTINCT channel_id, username, link FROM (
     SELECT channel_id, unnest(regexp_extract_all(lower(text), 't\.me/([a-zA-Z0-9_]{5,32})', 1)) AS link, false AS mention FROM newest_text_v
     UNION ALL SELECT channel_id, unnest(regexp_extract_all(lower(text), 'telegram\.me/([a-zA-Z0-9_]{5,32})', 1)), false FROM newest_text_v
     UNION ALL SELECT channel_id, unnest(regexp_extract_all(lower(text), '@([a-zA-Z0-9_]{5,32})', 1)), true FROM newest_text_v)
-  WHERE NOT (mention AND link LIKE '%bot') AND link NOT IN ('joinchat', 'share', 'proxy', 'addstickers', 'admin', 'support', 'service', 'python', 'google', 'github', 'youtube'))
+  WHERE NOT (mention AND link LIKE '%bot') AND link NOT IN (STOP_NAMES))
 WHERE link <> username"""
+
+VIEWS["links_out_v"] = VIEWS["links_out_v"].replace("STOP_NAMES", ", ".join(f"'{w}'" for w in STOP_NAMES))
+
+VIEWS["texts_v"] = "SELECT p.post_id, p.channel_id, d.text || p.suffix AS text FROM posts_v p JOIN documents d ON d.doc_id = p.doc_id"
