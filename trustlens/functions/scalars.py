@@ -10,19 +10,23 @@ from trustlens.constants import MEDIUM, MICRO, SMALL, VERDICTS
 
 def steps(value: Column, cuts: list[tuple], otherwise) -> Column:
     """First result whose bound lies strictly above ``value``; NULL values take the last result."""
-    out = F.when(F.lit(False), F.lit(otherwise))
-    for bound, result in cuts:
-        out = out.when(value < F.lit(bound), F.lit(result))
-    return out.otherwise(F.lit(otherwise))
+    (bound, result), *rest = cuts
+    out = F.when(value < bound, result)
+    for bound, result in rest:
+        out = out.when(value < bound, result)
+    return out.otherwise(otherwise)
 
 
 def ladder_down(value: Column, cuts: list[tuple], otherwise, inclusive: bool = True) -> Column:
     """First result whose bound is reached (or exceeded, if not ``inclusive``) by ``value``."""
-    out = F.when(F.lit(False), F.lit(otherwise))
-    for bound, result in cuts:
-        reached = value >= F.lit(bound) if inclusive else value > F.lit(bound)
-        out = out.when(reached, F.lit(result))
-    return out.otherwise(F.lit(otherwise))
+    def reached(bound) -> Column:
+        return value >= bound if inclusive else value > bound
+
+    (bound, result), *rest = cuts
+    out = F.when(reached(bound), result)
+    for bound, result in rest:
+        out = out.when(reached(bound), result)
+    return out.otherwise(otherwise)
 
 
 def by_size(members: Column, micro, small, medium, large) -> Column:

@@ -99,12 +99,10 @@ def add_conviction(channels: DataFrame) -> DataFrame:
                  f.value.alias("value"), f.threshold.alias("threshold"))
         for f in fraud_factors().values()
     ])
-    weights = [f.weight for f in fraud_factors().values()]
-    hits = [f.triggered.cast("int") for f in fraud_factors().values()]
-    rated = channels.withColumns({
-        "factors": factors,
-        "conviction": sum(weights[1:], weights[0]),
-        "factors_triggered": sum(hits[1:], hits[0]),
+    listed = F.col("factors")
+    rated = channels.withColumn("factors", factors).withColumns({
+        "conviction": F.aggregate(listed, F.lit(0), lambda total, f: total + f["weight"]),
+        "factors_triggered": F.aggregate(listed, F.lit(0), lambda total, f: total + f["triggered"].cast("int")),
         "mitigation": mitigation(),
     }).withColumn("effective_conviction", F.greatest(F.lit(0), F.col("conviction") - F.col("mitigation")))
     effective, hit = F.col("effective_conviction"), F.col("factors_triggered")

@@ -102,7 +102,8 @@ class SampleTables:
     def posts_with_text(self) -> DataFrame:
         """Posts with the text of a document plus the link suffix of the post."""
         documents = self.raw("documents").select("doc_id", F.col("text").alias("body"))
-        return self._post_base().join(documents, "doc_id").selectExpr(
+        # texts are large and posts are many: shuffle both, so that the text work is spread over all tasks
+        return self._post_base().join(documents.hint("merge"), "doc_id").selectExpr(
             *self.POST_COLUMNS, "concat(body, suffix) AS text"
         )
 
