@@ -71,18 +71,34 @@ FACES = "[\\x{1F600}-\\x{1F64F}]{3,}"
 SYMBOLS = "[\\x{1F300}-\\x{1F5FF}]{3,}"
 
 
+# Characters that count as white space at the ends of a text
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_text(text: Column, symbols: bool = False) -> Column:
-    """Without links and emoji runs, with at most one empty line in a row, trimmed."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)https?://\S+", "")
-    out = F.regexp_replace(out, r"(?U)t\.me/\S+", "")
-    out = F.regexp_replace(out, FACES, "")
+    """Without links and emoji runs, with at most one empty line in a row, trimmed.
+
+    A pattern only runs on texts in which a byte search finds its fixed part.
+    """
+    def drop(value: Column, pattern: str, needed: Column, replacement: str = "") -> Column:
+        return F.when(needed, F.regexp_replace(value, pattern, replacement)).otherwise(value)
+
+    text = F.coalesce(text, F.lit(""))
+    # a removed link always ends at a blank, so it never joins emoji; whatever is removed may join line breaks
+    linked = text.contains("http") | text.contains("t.me/")
+    emoji = text.rlike(f"{FACES}|{SYMBOLS}" if symbols else FACES)
+    out = drop(text, r"(?U)https?://\S+", text.contains("http"))
+    out = drop(out, r"(?U)t\.me/\S+", text.contains("t.me/"))
+    out = drop(out, FACES, emoji)
     if symbols:
-        out = F.regexp_replace(out, SYMBOLS, "")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+        # dropping faces may join symbols
+        out = drop(out, SYMBOLS, text.rlike(r"[\x{1F300}-\x{1F5FF}]"))
+    breaks = text.contains("\n\n\n") | linked | emoji
+    return strip(drop(out, r"\n{3,}", breaks, "\n\n"))
 
 
 def any_of(patterns: list[str]) -> str:
@@ -148,14 +164,13 @@ def ad_contacts(description: Column, own_name: Column) -> Column:
     )
 
 
-def linked_names(text: Column, own_name: Column) -> Column:
+def linked_names(text: Column, own_name: Column | None = None) -> Column:
     """Channel names linked or mentioned in a text, without the own name, stop names and mentioned bots."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    own = F.lower(own_name)
 
     def found(pattern: str) -> Column:
-        names = F.regexp_extract_all(low, F.lit(pattern), F.lit(1))
-        return F.filter(names, lambda n: (n != own) & ~n.isin(STOP_NAMES))
+        names = F.filter(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda n: ~n.isin(STOP_NAMES))
+        return names if own_name is None else F.filter(names, lambda n: n != F.lower(own_name))
 
     mentions = F.filter(found("@([a-zA-Z0-9_]{5,32})"), lambda n: ~n.endswith("bot"))
     links = F.array_union(found(r"t\.me/([a-zA-Z0-9_]{5,32})"), found(r"telegram\.me/([a-zA-Z0-9_]{5,32})"))

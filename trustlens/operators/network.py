@@ -32,15 +32,17 @@ def neighbour_risk(results: DataFrame) -> DataFrame:
 
 
 def outgoing_links(posts: DataFrame, channels: DataFrame) -> DataFrame:
-    """Distinct channel names that the newest posts of every channel link, mention or forward."""
-    named = posts.join(channels.select("channel_id", "username"), "channel_id")
-    own = F.lower("username")
-    forwarded = F.col("forward_from.username")
-    forwards = F.filter(F.array(forwarded), lambda n: n.isNotNull() & (n != own))
-    links = named.select(
-        "channel_id", "username", "post_id", "ts", F.array_union(linked_names(F.col("text"), F.col("username")), forwards).alias("links")
-    )
-    return newest_posts(links).select("channel_id", "username", F.explode("links").alias("link")).distinct()
+    """Distinct channel names that the newest posts of every channel link, mention or forward.
+
+    Names are taken out of the texts before anything is shuffled; the channel's own name is
+    removed at the end, when only distinct names are left to join.
+    """
+    forwards = F.array_compact(F.array(F.col("forward_from.username")))
+    names = F.array_union(linked_names(F.col("text")), forwards)
+    found = newest_posts(posts.select("channel_id", "post_id", "ts", names.alias("links")))
+    links = found.select("channel_id", F.explode("links").alias("link")).distinct()
+    owners = channels.select("channel_id", "username")
+    return links.join(owners, "channel_id").where(F.col("link") != F.lower("username")).select("channel_id", "username", "link")
 
 
 def discovered(posts: DataFrame, channels: DataFrame, results: DataFrame, min_score: int = COLLECT_SCORE) -> DataFrame:

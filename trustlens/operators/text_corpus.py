@@ -30,7 +30,7 @@ def repeating_footers(cleaned: DataFrame) -> DataFrame:
         "line", strip(F.col("line"))
     ).where(F.length("line") > 10)
     repeated = lines.groupBy("channel_id", "line").agg(
-        F.count(F.lit(1)).alias("posts"), F.min(F.struct("slot", "line_no")).alias("first"), F.max("texts").alias("texts")
+        F.count(F.lit(1)).alias("posts"), F.min(F.col("slot") * 1000 + F.col("line_no")).alias("first"), F.max("texts").alias("texts")
     ).where(F.col("posts") >= F.col("texts") * 0.4)
     best = F.min_by(F.struct("line", "posts"), "first").alias("best")
     return repeated.groupBy("channel_id").agg(best).select(

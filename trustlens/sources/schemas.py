@@ -1,7 +1,9 @@
-"""Declared schemas of the input and result tables."""
+"""Declared schemas of the input and result tables, and typed reads with them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 POSTS = """
 channel_id BIGINT, post_id BIGINT, ts TIMESTAMP, text STRING, views BIGINT, forwards BIGINT, replies BIGINT,
 reactions ARRAY<STRUCT<emoji: STRING, count: BIGINT>>,
@@ -46,3 +48,13 @@ RESULT_FEED = """
 username STRING, status STRING, score INT, verdict STRING, trust_factor DOUBLE, members BIGINT, category STRING,
 category_secondary STRING, ad_status INT, is_verified BOOLEAN, description STRING, scanned_at TIMESTAMP
 """
+
+TABLES = {
+    "posts": POSTS, "audience": AUDIENCE, "channels": CHANNELS, "comments": COMMENTS, "usage_events": USAGE_EVENTS,
+    "scan_requests": SCAN_REQUESTS,
+}
+
+
+def read_table(spark: SparkSession, root: str, name: str, file_format: str = "parquet") -> DataFrame:
+    """One input table with its declared schema; columns missing from the files come back as NULL."""
+    return spark.read.schema(TABLES[name]).format(file_format).load(f"{root.rstrip('/')}/{name}")

@@ -68,8 +68,8 @@ def _metric(b: Column, short: str, extra: dict[str, Column] | None = None) -> Co
 def metrics_record(b: Column) -> Column:
     """One typed record out of either format."""
     private_as_premium = F.get_json_object(b["pr"], "$.private_ratio").cast("double")
-    premium_list = F.from_json(b["pr"], "ARRAY<DOUBLE>")
-    pair = F.size(premium_list) == 2
+    first, second = (F.get_json_object(b["pr"], f"$[{i}]") for i in range(2))
+    pair = second.isNotNull()
     return F.struct(
         _metric(b, "cv").alias("cv_views"), _metric(b, "re").alias("reach"), _metric(b, "rg").alias("regularity"),
         _metric(b, "vd").alias("views_decay"), _metric(b, "fr").alias("forward_rate"), _metric(b, "rr").alias("reaction_rate"),
@@ -79,8 +79,8 @@ def metrics_record(b: Column) -> Column:
         _metric(b, "co", {"avg": b["comments"]["avg"]}).alias("comments"),
         F.coalesce(F.get(b["ve"], F.lit(0)).cast("boolean"), b["verified"]["value"]).alias("verified"),
         F.when(pair | b["premium"].isNotNull(), F.struct(
-            F.when(pair, premium_list[0]).otherwise(b["premium"]["value"]).alias("value"),
-            F.when(pair, premium_list[1].cast("int")).otherwise(b["premium"]["points"]).alias("points"),
+            F.when(pair, first.cast("double")).otherwise(b["premium"]["value"]).alias("value"),
+            F.when(pair, second.cast("int")).otherwise(b["premium"]["points"]).alias("points"),
             F.when(pair, F.lit(MAXIMA["premium"])).otherwise(b["premium"]["max"]).alias("max"),
             b["premium"]["ratio"].alias("ratio"), b["premium"]["count"].alias("count"),
         )).alias("premium"),
@@ -100,9 +100,10 @@ def import_rows(rows: DataFrame) -> DataFrame:
     missing or at their defaults. A projection only: each JSON text is parsed once per row,
     nothing is shuffled.
     """
-    parsed = rows.withColumns({
-        "stored": F.from_json("breakdown_json", RECORD), "forensic": F.from_json("forensics_json", FORENSICS),
-    })
+    # a one-element explode keeps later filters on parsed values above the parse, which would otherwise run twice
+    parsed = rows.select("*", F.inline(F.array(F.struct(F.from_json("breakdown_json", RECORD).alias("stored"))))).withColumn(
+        "forensic", F.from_json("forensics_json", FORENSICS)
+    )
     b = F.col("stored.breakdown")
     return parsed.withColumns({
         "has_metrics": b.isNotNull(),
