@@ -194,7 +194,7 @@ def _(t):
 @query("SRC-17")
 def _(t):
     scored = score_channels(t.posts_with_text, t.channels, t.audience, as_of())
-    return B.stored_row(scored).select(
+    return B.stored_row(scored, as_of()).select(
         "username", "status", "score", "verdict", "trust_factor", "members", "raw_score", "is_scam", "conviction_score",
         F.array_join("conviction_factors", ",").alias("conviction_factors"), "channel_age_days", "avg_views", "reach_percent",
         F.get_json_object("breakdown_json", "$.breakdown.cv_views.points").cast("int").alias("cv_points"),

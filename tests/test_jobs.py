@@ -17,17 +17,15 @@ def test_score_rescore_export(spark, tmp_path, capsys):
     assert stored.count() == t.channels.count()
     assert stored.where(F.size("ad_links") > 0).count() > 0
 
-    widened = str(tmp_path / "widened")
-    stored.withColumns({"forensics_json": F.lit(None).cast("string"), "found_via": F.lit("[seed]"), "scanned_at": F.lit(AS_OF_TEXT)}).write.parquet(widened)
-    cli.main(["rescore", "--results", widened, "--out", str(tmp_path / "rescored")])
+    cli.main(["rescore", "--results", results, "--out", str(tmp_path / "rescored")])
     again = spark.read.parquet(str(tmp_path / "rescored"))
     assert again.count() == stored.count() and again.where("new_score < 0 OR new_score > 100").count() == 0
 
-    cli.main(["export", "--results", widened, "--out", str(tmp_path / "csv"), "--status", "BAD"])
+    cli.main(["export", "--results", results, "--out", str(tmp_path / "csv"), "--status", "BAD"])
     exported = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert exported.count() == stored.where("status = 'BAD'").count() and exported.first()["username"].startswith("@")
 
-    cli.main(["discover", "--tables", root, "--results", widened, "--out", str(tmp_path / "new")])
+    cli.main(["discover", "--tables", root, "--results", results, "--out", str(tmp_path / "new")])
     assert spark.read.parquet(str(tmp_path / "new")).columns == ["username", "found_via"]
-    cli.main(["summary", "--results", widened])
+    cli.main(["summary", "--results", results])
     assert "total" in capsys.readouterr().out

@@ -18,7 +18,7 @@ def score_tables(spark: SparkSession, root: str, out: str, as_of: Column) -> Non
     posts, channels, audience = (read_table(spark, root, name) for name in ("posts", "channels", "audience"))
     scored = score_channels(posts, channels, audience, as_of)
     links = outgoing_links(posts, channels)
-    stored_row(scored, links).write.mode("errorifexists").partitionBy("status").parquet(out)
+    stored_row(scored, as_of, links).write.mode("errorifexists").partitionBy("status").parquet(out)
 
 
 def rescore_table(spark: SparkSession, results: str, out: str) -> None:

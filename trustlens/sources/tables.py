@@ -54,7 +54,7 @@ def grow_schema(rows: DataFrame, schema: T.StructType, defaults: dict[str, objec
     return rows.withColumns(added).select(*[f.name for f in schema.fields]) if added else rows.select(*schema.fieldNames())
 
 
-def stored_row(scored: DataFrame, links: DataFrame | None = None) -> DataFrame:
+def stored_row(scored: DataFrame, as_of: Column, links: DataFrame | None = None) -> DataFrame:
     """The wide row kept per scored channel; nested parts become structs or one JSON text."""
     def metric(value: str, points: str, digits: int) -> Column:
         return F.struct(half_even(F.col(value), digits).alias("value"), F.col(points).alias("points"))
@@ -76,9 +76,15 @@ def stored_row(scored: DataFrame, links: DataFrame | None = None) -> DataFrame:
     categories = F.struct(*[
         F.struct(F.col(c).alias("score"), F.col(f"{c}_max").alias("max")).alias(c) for c in ("quality", "engagement", "reputation")
     ])
+    forensic = F.struct(
+        F.col("accounts").alias("users_analyzed"),
+        F.struct(F.col("neighbour_ratio").alias("neighbor_ratio"), F.col("clustered").alias("fatality")).alias("id_clustering"),
+        F.struct(F.col("foreign_ratio").alias("foreign_ratio")).alias("geo_dc_check"),
+        F.struct(F.col("premium_ratio").alias("premium_ratio"), F.col("premium_count").alias("premium_count")).alias("premium_density"),
+    )
     llm = F.struct("llm.ad_percentage", "llm.bot_percentage", F.col("llm_trust").alias("llm_trust_factor"), "tier", "tier_cap")
     rows = scored.select(
-        "username", "status", "score", "verdict", "trust_factor", "members", "category", "category_secondary", "title", "description",
+        "channel_id", "username", "status", "score", "verdict", "trust_factor", "members", "category", "category_secondary", "title", "description",
         "raw_score", F.col("scam_flag").alias("is_scam"), "tier", "trust_details", F.col("effective_conviction").alias("conviction_score"),
         F.transform(F.filter("factors", lambda f: f["triggered"]), lambda f: f["name"]).alias("conviction_factors"),
         "online_count", "participants_count", F.col("age_days").alias("channel_age_days"),
@@ -87,7 +93,9 @@ def stored_row(scored: DataFrame, links: DataFrame | None = None) -> DataFrame:
         half_even(F.col("avg_comments"), 2).alias("avg_comments"), "comments_enabled", F.col("reactions_on").alias("reactions_enabled"),
         half_even(F.col("decay"), 2).alias("decay_ratio"), "er_status",
         F.to_json(F.struct(breakdown.alias("breakdown"), categories.alias("categories"), llm.alias("llm_analysis"))).alias("breakdown_json"),
+        F.when(F.col("accounts") > 0, F.to_json(forensic)).alias("forensics_json"),
     )
+    rows = rows.withColumns({"scanned_at": as_of, "found_via": F.lit(None).cast("string")})
     if links is None:
         return rows.withColumn("ad_links", F.array().cast("array<string>"))
     grouped = links.groupBy("username").agg(F.sort_array(F.collect_set("link")).alias("ad_links"))
