@@ -460,8 +460,8 @@ SELECT username, CASE WHEN NOT has_json OR NOT has_premium THEN NULL WHEN has_fo
 VIEWS["trust_in_v"] = """
 SELECT s.*, CASE WHEN has_forensics THEN nr ELSE 0e0 END AS i_nr, has_forensics AND fatal AS i_fatal, CASE WHEN has_forensics THEN fo ELSE 0e0 END AS i_fo,
   CASE WHEN has_forensics THEN fpc ELSE 0 END AS i_pc, CASE WHEN has_forensics THEN fu ELSE 0 END AS i_users,
-  CASE WHEN ch % 3 = 0 THEN 55 ELSE 0 END AS i_conv, CASE WHEN sd <> 0 THEN 1 - sd ELSE 0e0 END AS i_share,
-  CASE WHEN ch % 7 = 0 THEN pl ELSE 0e0 END AS i_private, CASE WHEN ch % 11 = 0 THEN 2 ELSE 0 END AS i_scam, CASE WHEN ch % 11 = 0 THEN 1 ELSE 0 END AS i_bad,
+  CASE WHEN has_json AND ch % 3 = 0 THEN 55 ELSE 0 END AS i_conv, CASE WHEN sd <> 0 THEN 1 - sd ELSE 0e0 END AS i_share,
+  CASE WHEN has_json AND ch % 7 = 0 THEN pl ELSE 0e0 END AS i_private, CASE WHEN has_json AND ch % 11 = 0 THEN 2 ELSE 0 END AS i_scam, CASE WHEN has_json AND ch % 11 = 0 THEN 1 ELSE 0 END AS i_bad,
   CASE WHEN has_llm THEN lad ELSE 0 END AS i_ad, CASE WHEN has_llm THEN lbot ELSE 0 END AS i_bot
 FROM stored_v s WHERE has_json"""
 

@@ -73,6 +73,17 @@ def test_against_loops(rows, seed, count):
         assert got[name] == pytest.approx(value, rel=1e-9, abs=1e-9), name
 
 
+def test_one_channel_with_a_third_of_all_posts(rows):
+    """Only its newest posts leave the map side, and the result is that of the newest posts alone."""
+    hot = random_posts(8, 1, 4000)
+    others = [p for c in range(2, 82) for p in random_posts(100 + c, c, 100)]
+    frame = rows(hot + others, SCHEMA).repartition(8)
+    got = {r["channel_id"]: r.asDict() for r in M.channel_metrics(frame).collect()}
+    assert len(got) == 81
+    for name, value in expected(hot).items():
+        assert got[1][name] == pytest.approx(value, rel=1e-9, abs=1e-9), name
+
+
 def test_scenarios(rows):
     """Healthy, bot wall and reaction-free channels."""
     healthy = [post(1, i, 4 * i, 1000 + 1200 * i // 50 + (17 * i % 400) - 200, 10, 5, [("👍", 20), ("❤", 10)]) for i in range(50)]

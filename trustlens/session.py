@@ -31,6 +31,10 @@ def build_session(app: str = "trustlens", master: str | None = None, shuffle_par
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if not master and spark.conf.get(initial, None) is None:
+        # start with many shuffle partitions; small ones are merged at run time
+        spark.conf.set(initial, str(max(2000, 4 * spark.sparkContext.defaultParallelism)))
     return spark
 
 
