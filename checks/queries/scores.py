@@ -37,6 +37,10 @@ def scored(t):
     return P.score_channels(t.posts_with_text, t.channels, t.audience, as_of())
 
 
+def pointed(t):
+    return P.add_points(P.with_forensics(rated(t), t.audience))
+
+
 def factor_query(name: str):
     def build(t):
         factor = X.fraud_factors()[name]
@@ -68,7 +72,12 @@ QUERIES["GAT-04"] = gate_query("impossible_counts")
 
 
 def multiplier_query(key: str):
-    return lambda t: scored(t).select("channel_id", T.scan_multipliers()[key].alias("multiplier"))
+    def build(t):
+        posts = t.posts_with_text if key == "private_links" else t.posts
+        convicted = P.convicted_channels(posts, t.channels, t.audience, as_of())
+        return convicted.select("channel_id", T.scan_multipliers()[key].alias("multiplier"))
+
+    return build
 
 
 for number, key in {
@@ -116,9 +125,9 @@ QUERIES["AGG-35"] = lambda t: scored(t).select(
     "channel_id", F.round("trust_product", 6).alias("trust_product"),
     F.array_join(F.transform("trust_details", lambda d: d["key"]), ",").alias("penalties"),
 )
-QUERIES["SCO-01"] = lambda t: scored(t).select(
+QUERIES["SCO-01"] = lambda t: pointed(t).select(
     "channel_id", "quality", "quality_max", "engagement", "engagement_max", "reputation", "reputation_max")
-QUERIES["SCO-02"] = lambda t: scored(t).select("channel_id", "raw_score")
+QUERIES["SCO-02"] = lambda t: pointed(t).select("channel_id", "raw_score")
 QUERIES["SCO-03"] = lambda t: scored(t).select("channel_id", "score")
 QUERIES["SCO-04"] = lambda t: scored(t).select("channel_id", "scam_flag", "verdict")
 QUERIES["SCO-05"] = lambda t: scored(t).select("channel_id", "trust_factor", half_even(F.col("llm_trust"), 2).alias("llm_trust_factor"))

@@ -1,4 +1,10 @@
-"""Every registered query against its SQL on the smallest test tables."""
+"""Registered queries against their SQL on the smallest test tables.
+
+A spread over all groups runs by default; ``ALL_QUERIES=1`` runs every one, and so does
+``python -m checks.compare`` on any of the test folders.
+"""
+
+import os
 
 import pytest
 
@@ -16,7 +22,10 @@ def con():
 def names():
     from checks.queries import registered
 
-    return list(registered())
+    listed = list(registered())
+    if os.environ.get("ALL_QUERIES"):
+        return listed
+    return [n for i, n in enumerate(listed) if i % 9 == 0 or n in ("AGG-31", "WIN-03", "WIN-09", "SCO-03", "RSC-05", "STR-01", "STR-02", "STR-03")]
 
 
 def test_every_query_has_sql():

@@ -157,17 +157,21 @@ def status_of(score: Column, good: int = GOOD_SCORE) -> Column:
     return F.when(score >= good, "GOOD").otherwise("BAD")
 
 
-def score_channels(posts: DataFrame, channels: DataFrame, audience: DataFrame, as_of: Column) -> DataFrame:
-    """Everything the engine knows about every channel, one row each.
+def convicted_channels(posts: DataFrame, channels: DataFrame, audience: DataFrame, as_of: Column) -> DataFrame:
+    """Metrics, forensics and fraud factors of every channel.
 
-    ``posts`` must carry text. Fraud factors do not count where a gate already decided;
-    the conviction seen by the trust product is 0 there.
+    Fraud factors do not count where a gate already decided; the conviction seen by the
+    trust product is 0 there.
     """
     rated = with_forensics(rated_metrics(posts, channels, as_of), audience)
-    convicted = add_conviction(rated).withColumn("gate", gate()).withColumn(
+    return add_conviction(rated).withColumn("gate", gate()).withColumn(
         "effective_conviction", F.when(F.col("gate").isNull(), F.col("effective_conviction")).otherwise(0)
     )
-    return add_score(add_llm_trust(add_trust(add_points(convicted))))
+
+
+def score_channels(posts: DataFrame, channels: DataFrame, audience: DataFrame, as_of: Column) -> DataFrame:
+    """Everything the engine knows about every channel, one row each. ``posts`` must carry text."""
+    return add_score(add_llm_trust(add_trust(add_points(convicted_channels(posts, channels, audience, as_of)))))
 
 
 def add_crawl_outcome(scored: DataFrame) -> DataFrame:
