@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trustlens.llm import source_mixing
+from trustlens.llm.decontamination import op5_decontamination
+from trustlens.llm.source_mixing import op8_poisson_mixing
 from trustlens.llm.substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [op6_substring_dedup]
+    listed = [op5_decontamination, op6_substring_dedup, op8_poisson_mixing]
     return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_poisson_mixing": source_mixing.SQL}
