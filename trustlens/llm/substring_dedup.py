@@ -28,6 +28,7 @@ from trustlens.llm.packed import KEYED, flatten, keyed, pack, unpack
 
 LENGTH = 50
 GRAM = 8
+AT_ONCE = 1 << 20  # windows settled among themselves before any is sent
 SHARD = f"anchor bigint, {KEYED}, start int, mask bigint, hashes binary"
 FOUND = f"{KEYED}, start int, mask bigint"
 
@@ -43,10 +44,10 @@ def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return least
 
 
-def _runs(batch: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of every window of a batch: row, start, hash and the hash and place of its anchor."""
-    out = []
-    for low, _, data, offsets in pieces(batch.column(2)):
+def _runs(column: pa.Array, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every window: row, start, hash and the hash and place of its anchor; in groups of whole texts with about AT_ONCE windows."""
+    out, held = [], 0
+    for low, _, data, offsets in pieces(column):
         begin, end, first = word_spans(data, offsets, BLANK_WORDS)
         starts, rows = window_starts(first, length)
         if not len(starts):
@@ -54,10 +55,14 @@ def _runs(batch: pa.RecordBatch, length: int, gram: int) -> tuple[np.ndarray, ..
         words = word_hashes(data, begin, end)
         grams = window_hashes(words, np.arange(len(words) - gram + 1), gram)
         place = sliding_argmin(grams, length - gram + 1)[starts]
-        out.append((rows + low, starts - first[rows], window_hashes(words, starts, length), grams[place], place - first[rows]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        narrow = [(x - first[rows]).astype(np.int32) for x in (starts, place)]
+        out.append(((rows + low).astype(np.int32), narrow[0], window_hashes(words, starts, length), grams[place], narrow[1]))
+        held += len(starts)
+        if held >= AT_ONCE:
+            yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+            out, held = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _masks(run: np.ndarray, bit: np.ndarray, chosen: np.ndarray, runs: int) -> np.ndarray:
@@ -75,8 +80,8 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def shard_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """One row per run of windows with one anchor.
 
-    A window whose hash has a smaller doc_id in the same batch is settled already: it is marked in a row without hashes and not sent
-    to its shard, so a very frequent passage sends one row per batch.
+    A window whose hash has a smaller doc_id in the same group of texts is settled already: it is marked in a row without hashes and not
+    sent to its shard, so a very frequent passage sends one row per group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,34 +89,34 @@ def shard_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             ids = batch.column(0)
             doc, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
             key = batch.column(1).to_numpy(zero_copy_only=False)
-            row, start, whole, anchor, place = (x for x in _runs(batch, length, gram))
-            keep = known[row]
-            row, start, whole, anchor, place = (x[keep] for x in (row, start, whole, anchor, place))
-            if not len(row):
-                continue
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
-            head = np.flatnonzero(new)
-            of = np.cumsum(new) - 1
-            bit = start - start[head][of]
-            settled = _first_seen(whole, doc[row]) < doc[row]
-            counts = np.bincount(of[~settled], minlength=len(head))
-            open_runs, done_runs = counts > 0, np.bincount(of[settled], minlength=len(head)) > 0
-            open_mask, done_mask = _masks(of, bit, ~settled, len(head)), _masks(of, bit, settled, len(head))
-            hashes = whole[~settled]
-            for chosen, anchors, mask, cells in (
-                (open_runs, anchor[head][open_runs], open_mask, _binary(hashes, counts[open_runs])),
-                (done_runs, mix(anchor[head][done_runs] + doc[row[head]][done_runs].astype(np.uint64)), done_mask, None),
-            ):
-                at = head[chosen]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(signed(anchors)), pa.array(doc[row[at]]), pa.array(key[row[at]]), pa.array(start[at].astype(np.int32)),
-                            pa.array(signed(mask[chosen])), cells if cells is not None else pa.nulls(len(at), pa.binary()),
-                        ],
-                        ["anchor", "doc_id", "text_key", "start", "mask", "hashes"],
-                    )
+            for row, start, whole, anchor, place in _runs(batch.column(2), length, gram):
+                keep = known[row]
+                row, start, whole, anchor, place = (x[keep] for x in (row, start, whole, anchor, place))
+                if not len(row):
+                    continue
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+                head = np.flatnonzero(new)
+                of = np.cumsum(new) - 1
+                bit = start - start[head][of]
+                settled = _first_seen(whole, doc[row]) < doc[row]
+                counts = np.bincount(of[~settled], minlength=len(head))
+                open_runs, done_runs = counts > 0, np.bincount(of[settled], minlength=len(head)) > 0
+                open_mask, done_mask = _masks(of, bit, ~settled, len(head)), _masks(of, bit, settled, len(head))
+                hashes = whole[~settled]
+                for chosen, anchors, mask, cells in (
+                    (open_runs, anchor[head][open_runs], open_mask, _binary(hashes, counts[open_runs])),
+                    (done_runs, mix(anchor[head][done_runs] + doc[row[head]][done_runs].astype(np.uint64)), done_mask, None),
+                ):
+                    at = head[chosen]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(signed(anchors)), pa.array(doc[row[at]]), pa.array(key[row[at]]), pa.array(start[at].astype(np.int32)),
+                                pa.array(signed(mask[chosen])), cells if cells is not None else pa.nulls(len(at), pa.binary()),
+                            ],
+                            ["anchor", "doc_id", "text_key", "start", "mask", "hashes"],
+                        )
 
     return texts.mapInArrow(run, SHARD)
 
