@@ -87,7 +87,7 @@ FROM (SELECT *, category <> 'null' AND (severity IN ('CRITICAL', 'HIGH') OR (sev
   SELECT key, turn, json_extract_string(body, '$.toxic_category') AS category, json_extract_string(body, '$.severity_label') AS severity,
     CAST(json_extract(body, '$.toxic_post_count') AS DOUBLE) / CAST(json_extract(body, '$.total_posts') AS DOUBLE) AS ratio
   FROM llm_v WHERE body IS NOT NULL))"""
-SQL["WIN-01"] = "SELECT channel_id, post_id, rn FROM newest_v"
+SQL["WIN-01"] = "SELECT channel_id, post_id, rn FROM newest_v WHERE rn <= 50"
 SQL["WIN-02"] = """SELECT channel_id, post_id, pos AS viewed_rank, cnt AS viewed_count, pos <= cnt // 4 AS is_new, pos > cnt - cnt // 4 AS is_old FROM viewed_v"""
 SQL["WIN-03"] = """SELECT channel_id, ids, pairs AS neighbour_pairs,
   round(coalesce(CAST(pairs AS DOUBLE) / nullif(ids - 1, 0), 0), 4) AS neighbour_ratio FROM neighbours_v"""

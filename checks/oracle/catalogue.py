@@ -17,7 +17,7 @@ SQL["FLT-07"] = f"""SELECT count(*) AS channels FROM results_v WHERE {_shown} AN
 SQL["FLT-08"] = """SELECT username, score FROM results_v WHERE status = 'GOOD' AND (category IS NULL OR category = '')
   ORDER BY score DESC, username LIMIT 20"""
 SQL["FLT-09"] = """SELECT username FROM results_v WHERE status IN ('GOOD', 'BAD') AND NOT EXISTS (
-  SELECT 1 FROM comments_v c WHERE c.channel_id = results_v.channel_id AND length(c.text) > 0)"""
+  SELECT 1 FROM newest_text_v p WHERE p.channel_id = results_v.channel_id AND length(p.text) > 0 AND p.channel_id % 7 <> 3)"""
 SQL["FLT-10"] = """SELECT username, status FROM results_v WHERE status <> 'WAITING'
   AND channel_id IN (SELECT channel_id FROM newest_text_v WHERE length(text) > 0)"""
 SQL["FLT-11"] = "SELECT username FROM results_v WHERE status <> 'WAITING' AND channel_id % 9 = 0"
@@ -33,22 +33,21 @@ SQL["FLT-16"] = "SELECT channel_id, members FROM channels_v WHERE members >= 200
 SQL["FLT-17"] = """SELECT channel_id, post_id, row_number() OVER (PARTITION BY channel_id ORDER BY ts, post_id) AS age_rank
   FROM newest_v WHERE views > 0"""
 SQL["FLT-18"] = """
-SELECT channel_id, p.posts_md5, p.posts_used, c.comments_md5, c.comments_used FROM (
-  SELECT channel_id, md5(string_agg('[Post ' || slot || ']: ' || body, chr(10) || chr(10) ORDER BY slot)) AS posts_md5, count(*) AS posts_used FROM (
-    SELECT channel_id, slot, substring(CASE WHEN footer IS NOT NULL AND instr(clean, footer) > 1
-        THEN regexp_replace(substring(clean, 1, instr(clean, footer) - 1), '^\\s+|\\s+$', '', 'g') ELSE clean END, 1, 800) AS body
-    FROM cleaned_v LEFT JOIN footers_v USING (channel_id)) WHERE length(body) > 30 GROUP BY 1) p
-FULL JOIN (
-  SELECT channel_id, md5(string_agg('[' || slot || ']: ' || body, chr(10) ORDER BY slot)) AS comments_md5, count(*) AS comments_used FROM (
-    SELECT channel_id, slot, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'),
-      't\\.me/\\S+', '', 'g'), '[\\x{1F600}-\\x{1F64F}]{3,}', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g'), 1, 200) AS body
-    FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY comment_id) AS slot FROM comments_v) WHERE slot <= 100)
-  WHERE length(body) > 5 GROUP BY 1) c USING (channel_id)"""
+SELECT channel_id, 'post' AS kind, slot, md5(body) AS body_md5 FROM (
+  SELECT channel_id, slot, CASE WHEN footer IS NOT NULL AND instr(clean, footer) > 1
+      THEN regexp_replace(substring(clean, 1, instr(clean, footer) - 1), '^\\s+|\\s+$', '', 'g') ELSE clean END AS body
+  FROM cleaned_v LEFT JOIN footers_v USING (channel_id)) WHERE length(body) > 30
+UNION ALL
+SELECT channel_id, 'comment', slot, md5(body) FROM (
+  SELECT channel_id, slot, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'),
+    't\\.me/\\S+', '', 'g'), '[\\x{1F600}-\\x{1F64F}]{3,}', '', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS body
+  FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY comment_id) AS slot FROM comments_v))
+WHERE length(body) > 5"""
 SQL["JOIN-01"] = "SELECT post_id, source_id, CASE WHEN source_id - 1000 < n THEN 'channel' || (source_id - 1000) END AS source_username FROM posts_v"
 SQL["JOIN-02"] = """
 SELECT c.channel_id, comment_id, coalesce(a.is_premium, false) AS is_premium FROM (
   SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY comment_id) AS slot FROM comments_v) c
-LEFT JOIN audience_v a ON a.channel_id = c.channel_id AND a.user_id = c.user_id WHERE slot <= 30 AND length(text) > 0"""
+LEFT JOIN audience_v a ON a.channel_id = c.channel_id AND a.user_id = c.user_id WHERE length(text) > 0"""
 SQL["JOIN-03"] = """
 SELECT channel_id, count(*) AS accounts, count(*) FILTER (WHERE extra) AS supplements FROM (
   SELECT channel_id, user_id, false AS extra FROM audience_v WHERE user_id % 37 = 0

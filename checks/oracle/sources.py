@@ -20,25 +20,19 @@ SQL["SRC-04"] = """SELECT channel_id, CASE WHEN channel_id % 3 <> 0 THEN online_
   0 AS banned_count, 0 AS kicked_count, CASE WHEN channel_id % 2 = 0 THEN 'complete' ELSE 'unknown' END AS status FROM channels_v"""
 SQL["SRC-05"] = """
 SELECT channel_id, '[' || string_agg('[' || post_id || ',' || CAST(floor(epoch(ts)) AS BIGINT) || ',' || views || ',' || forwards || ',' || reacted || ']', ',' ORDER BY rn) || ']' AS posts_raw
-FROM newest_v GROUP BY 1"""
-SQL["SRC-05b"] = """SELECT channel_id, CAST(rn - 1 AS INT) AS place, post_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, views, forwards, reacted AS reactions FROM newest_v"""
+FROM newest_v WHERE rn <= 50 GROUP BY 1"""
+SQL["SRC-05b"] = """SELECT channel_id, CAST(rn - 1 AS INT) AS place, post_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, views, forwards, reacted AS reactions FROM newest_v WHERE rn <= 50"""
 SQL["SRC-06"] = "SELECT channel_id, user_id, is_premium FROM audience_v WHERE user_id <> 0"
 SQL["SRC-07"] = """
 SELECT username, short AS short_format, cv, 12 AS cv_max, 2 AS reach_points, cp AS comment_points, es AS er_status, tc AS stability_top, pr AS premium_ratio,
   pl AS private_ratio, ch % 4 = 2 AS verified, sd AS diversity, rg AS posts_per_day FROM stored_v WHERE has_json"""
 SQL["SRC-09"] = """
-SELECT channel_id, posts, posts_md5, comments, comments_md5 FROM (
-  SELECT channel_id, count(*) AS posts, md5(string_agg(substring(text, 1, 300), chr(10) ORDER BY rn)) AS posts_md5 FROM newest_text_v WHERE length(text) > 0 GROUP BY 1)
-LEFT JOIN (
-  SELECT c.channel_id, count(*) AS comments, md5(string_agg(substring(text, 1, 150) || '|' || coalesce(a.is_premium, false) || '|' || c.user_id, chr(10) ORDER BY slot)) AS comments_md5
-  FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY comment_id) AS slot FROM comments_v) c
-  LEFT JOIN audience_v a ON a.channel_id = c.channel_id AND a.user_id = c.user_id WHERE slot <= 30 AND length(text) > 0 GROUP BY 1) USING (channel_id)"""
+SELECT channel_id, 'post' AS kind, post_id AS id, md5(text) AS text_md5, NULL AS is_premium, NULL AS user_id FROM newest_text_v WHERE length(text) > 0
+UNION ALL SELECT c.channel_id, 'comment', comment_id, md5(text), coalesce(a.is_premium, false), c.user_id FROM comments_v c
+LEFT JOIN audience_v a ON a.channel_id = c.channel_id AND a.user_id = c.user_id WHERE length(text) > 0"""
 SQL["SRC-10"] = """
-SELECT channel_id, posts_md5, comments_md5 FROM (
-  SELECT channel_id, md5(string_agg(substring(text, 1, 500), chr(10) ORDER BY rn)) AS posts_md5 FROM newest_text_v WHERE length(text) > 0 GROUP BY 1)
-LEFT JOIN (
-  SELECT channel_id, md5(string_agg(substring(text, 1, 150), chr(10) ORDER BY slot)) AS comments_md5
-  FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY comment_id) AS slot FROM comments_v) WHERE slot <= 100 AND length(text) > 0 GROUP BY 1) USING (channel_id)"""
+SELECT channel_id, 'post' AS kind, post_id AS id, md5(text) AS text_md5 FROM newest_text_v WHERE length(text) > 0
+UNION ALL SELECT channel_id, 'comment', comment_id, md5(text) FROM comments_v WHERE length(text) > 0"""
 SQL["SRC-11"] = """
 SELECT '@' || username AS username, CAST(score AS VARCHAR) AS score, verdict, CAST(members AS VARCHAR) AS members, coalesce(category, '') AS category,
   coalesce(category_secondary, '') AS category_secondary, found_via, CAST(CAST(epoch(scanned_at) AS BIGINT) AS VARCHAR) AS scanned_at

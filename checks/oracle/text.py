@@ -45,7 +45,7 @@ SELECT channel_id, CASE WHEN category IN ('TECH', 'AI_ML', 'EDUCATION') THEN 'TE
 FROM (SELECT *, greatest(tech_hits, crypto_hits, news_hits, entertainment_hits, business_hits) AS top FROM (
   SELECT channel_id, category, {', '.join(_mask)} FROM (
     SELECT channel_id, max(CASE WHEN channel_id % 2 = 0 THEN category END) AS category, string_agg(lower(text), ' ' ORDER BY rn) AS blob
-    FROM newest_text_v JOIN channels_v USING (channel_id) WHERE rn <= 20 GROUP BY 1)))"""
+    FROM newest_text_v JOIN channels_v USING (channel_id) WHERE length(text) > 0 GROUP BY 1)))"""
 SQL["TXT-10"] = r"""
 SELECT conv_id, turn, md5(CASE WHEN length(s) < 50 THEN NULL WHEN length(s) <= 400 THEN s
     WHEN contains(left(s, 400), '.') AND 400 - instr(reverse(left(s, 400)), '.') > 200 THEN left(s, 400 - instr(reverse(left(s, 400)), '.') + 1)

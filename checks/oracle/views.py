@@ -47,7 +47,7 @@ FROM (SELECT *, views * (CASE channel_id % 4 WHEN 0 THEN 30 WHEN 1 THEN 0 WHEN 2
 VIEWS["newest_v"] = """
 SELECT *, coalesce(r1 + r2 + r3, 0) AS reacted FROM (
   SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY ts DESC, post_id DESC) AS rn FROM posts_v
-) WHERE rn <= 50"""
+)"""
 
 VIEWS["newest_text_v"] = "SELECT p.*, d.text || p.suffix AS text FROM newest_v p JOIN documents d ON d.doc_id = p.doc_id"
 

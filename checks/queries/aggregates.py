@@ -42,7 +42,7 @@ def pick(name: str, *columns):
 
 @query("AGG-01")
 def _(t):
-    return M.group_variation(M.newest_posts(t.posts), ["channel_id"], "replies").select(
+    return M.group_variation(t.posts, ["channel_id"], "replies").select(
         "channel_id", "values", r4("cv_sample_percent"), r4("cv_population")
     )
 
@@ -66,7 +66,7 @@ pick("AGG-14", "total_replies", lambda: r4("avg_comments"))
 
 @query("AGG-15")
 def _(t):
-    return M.emoji_histogram(M.newest_posts(t.posts)).select("channel_id", "emoji", "reactions", "emoji_types", r4("simple_share"))
+    return M.emoji_histogram(t.posts).select("channel_id", "emoji", "reactions", "emoji_types", r4("simple_share"))
 
 
 pick("AGG-16", "rankable_posts", "flat_posts", lambda: F.round(S.safe_ratio(F.col("flat_posts"), F.col("rankable_posts")), 4).alias("flat_share"))
@@ -156,12 +156,12 @@ def _(t):
 
 @query("WIN-01")
 def _(t):
-    return M.newest_posts(t.posts).select("channel_id", "post_id", "rn")
+    return M.newest_posts(t.posts, 50).select("channel_id", "post_id", "rn")
 
 
 @query("WIN-02")
 def _(t):
-    return M.place_posts(M.newest_posts(M.describe_posts(t.posts))).where("viewed").select(
+    return M.place_posts(M.describe_posts(t.posts)).where("viewed").select(
         "channel_id", "post_id", "viewed_rank", "viewed_count", "is_new", "is_old"
     )
 
@@ -180,12 +180,12 @@ pick("WIN-04", "gaps", lambda: F.round("interval_cv", 3).alias("interval_cv"))
 
 @query("WIN-05")
 def _(t):
-    return M.without_top(M.newest_posts(M.describe_posts(t.posts))).select("channel_id", "post_id", "reacted")
+    return M.without_top(M.describe_posts(t.posts)).select("channel_id", "post_id", "reacted")
 
 
 @query("WIN-06")
 def _(t):
-    return M.first_reacted(M.newest_posts(M.describe_posts(t.posts))).select("channel_id", "early_posts", "target_post")
+    return M.first_reacted(M.newest_posts(M.describe_posts(t.posts), 20)).select("channel_id", "early_posts", "target_post")
 
 
 @query("WIN-07")

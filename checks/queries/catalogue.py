@@ -78,8 +78,8 @@ def _(t):
 
 @query("FLT-09")
 def _(t):
-    archive = T.text_archive(t.posts_with_text, t.comments)
-    return R.without_archive(t.results, archive.where("comment_texts IS NOT NULL")).select("username")
+    # every seventh channel has lost its texts
+    return R.without_posts(t.results, t.posts_with_text.where("channel_id % 7 <> 3")).select("username")
 
 
 @query("FLT-10")
@@ -130,9 +130,7 @@ def _(t):
 
 @query("FLT-18")
 def _(t):
-    return T.prompt_corpus(t.posts_with_footer, t.comments).select(
-        "channel_id", F.md5("posts_text").alias("posts_md5"), "posts_used", F.md5("comments_text").alias("comments_md5"), "comments_used"
-    )
+    return T.prompt_corpus(t.posts_with_footer, t.comments).select("channel_id", "kind", "slot", F.md5("body").alias("body_md5"))
 
 
 @query("JOIN-01")

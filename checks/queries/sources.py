@@ -122,19 +122,14 @@ def _(t):
 
 @query("SRC-09")
 def _(t):
-    content = F.from_json("content_json", "posts ARRAY<STRING>, comments ARRAY<STRUCT<t: STRING, p: BOOLEAN, id: BIGINT>>")
-    noted = F.transform("c.comments", lambda c: F.concat_ws("|", c["t"], c["p"].cast("string"), c["id"].cast("string")))
-    return T.stored_content(t.posts_with_text, t.comments, t.audience).select("channel_id", content.alias("c")).select(
-        "channel_id", F.size("c.posts").alias("posts"), F.md5(F.array_join("c.posts", "\n")).alias("posts_md5"),
-        F.size("c.comments").alias("comments"), F.md5(F.array_join(noted, "\n")).alias("comments_md5"))
+    return T.stored_content(t.posts_with_text, t.comments, t.audience).select("channel_id", "kind", "id", F.md5("text").alias("text_md5"), "is_premium", "user_id")
 
 
 @query("SRC-10")
 def _(t):
     path = scratch_dir(t.spark, "text-archive")
     T.text_archive(t.posts_with_text, t.comments).write.option("compression", "zstd").parquet(path)
-    return t.spark.read.parquet(path).select(
-        "channel_id", F.md5(F.array_join("post_texts", "\n")).alias("posts_md5"), F.md5(F.array_join("comment_texts", "\n")).alias("comments_md5"))
+    return t.spark.read.parquet(path).select("channel_id", "kind", "id", F.md5("text").alias("text_md5"))
 
 
 @query("SRC-11")

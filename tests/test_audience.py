@@ -98,3 +98,14 @@ def test_first_flagged(rows):
     frame = rows([account(1, i, scam=i % 2 == 0, fake=i % 4 == 0) for i in range(1, 60)], SCHEMA)
     got = A.first_flagged(frame).orderBy("position").collect()
     assert [r["user_id"] for r in got] == [2 * i for i in range(1, 11)] and got[1]["flags"] == ["scam", "fake"]
+
+
+def test_repeated_accounts_count_once(rows):
+    """Twenty clean ids seen twice stay clean, and a doubled table changes nothing."""
+    clean = [account(1, 100_000 * i, premium=i == 3, dc=2) for i in range(1, 21)] + [account(2, 7000 * i, bot=i % 2 == 0, dc=1) for i in range(1, 8)]
+    frame = rows(clean, SCHEMA)
+    once = {r["channel_id"]: r.asDict() for r in A.forensics(frame).collect()}
+    twice = {r["channel_id"]: r.asDict() for r in A.forensics(frame.unionByName(frame)).collect()}
+    assert once == twice and not twice[1]["clustered"] and twice[1]["neighbour_ratio"] == 0.0 and twice[2]["status"] == "insufficient_data"
+    mixed = frame.where("channel_id = 1").unionByName(rows([account(1, 100_000, scam=True, dc=1)], SCHEMA))
+    assert A.forensics(mixed).collect()[0]["n_scam"] == 1, "the least row of an account stays: data centre 1 before 2"

@@ -5,6 +5,7 @@ import statistics
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from trustlens.operators import channel_metrics as M
 
@@ -31,7 +32,7 @@ def random_posts(seed, channel, count):
 
 def expected(posts):
     """The metrics of one channel, written as loops over a list."""
-    sample = sorted(posts, key=lambda p: (p[2], p[1]), reverse=True)[:50]
+    sample = sorted(posts, key=lambda p: (p[2], p[1]), reverse=True)
     total = [sum(c for _, c in p[6]) if p[6] else 0 for p in sample]
     views = [p[3] for p in sample if p[3]]
     viewed = [(p, r) for p, r in zip(sample, total) if p[3]]
@@ -127,3 +128,28 @@ def test_private_links_combinations(rows):
     frame = rows([(i, *c[:4]) for i, c in enumerate(cases)], "i int, private_posts long, public_posts long, c string, on boolean")
     got = M.private_links(frame, F.col("c"), F.col("on")).orderBy("i").collect()
     assert [r["private_multiplier"] for r in got] == [c[4] for c in cases]
+
+
+def test_hot_channel_is_spread_over_its_days(rows):
+    """One channel with a third of all posts: positions are exact, and no group of the post windows holds more than a day of it."""
+    posts = [p for channel in range(1, 11) for p in random_posts(channel, channel, 40)] + random_posts(99, 99, 200)
+    frame = rows(posts, SCHEMA)
+    got = {(r["channel_id"], r["post_id"]): r["rn"] for r in M.numbered_posts(frame).select("channel_id", "post_id", "rn").collect()}
+    for channel in {p[0] for p in posts}:
+        order = sorted((p for p in posts if p[0] == channel), key=lambda p: (p[2], p[1]), reverse=True)
+        assert [got[channel, p[1]] for p in order] == list(range(1, len(order) + 1))
+    days = frame.where("channel_id = 99").selectExpr("to_date(ts)").distinct().count()
+    plan = M.numbered_posts(frame)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line and "post_id" in line]
+    assert days > 5 and windows and all("own bucket" in line for line in windows)
+
+
+def test_values_of_the_row_before(rows):
+    from datetime import datetime
+
+    data = [(1, 1, datetime(2024, 1, 1, 5), "a"), (1, 2, datetime(2024, 1, 1, 7), "b"), (1, 3, datetime(2024, 1, 3), "c"), (1, 4, None, "d"), (2, 5, None, "e")]
+    frame = rows(data, "channel_id long, post_id long, ts timestamp, v string")
+    newest = M.placed(frame, {"n": F.lit(True)}, {"before": F.col("v")})
+    assert {r["v"]: (r["n"], r["before"]) for r in newest.collect()} == {"c": (1, None), "b": (2, "c"), "a": (3, "b"), "d": (4, "a"), "e": (1, None)}
+    oldest = M.placed(frame, {"n": F.col("v") != "b"}, {"before": F.col("v")}, ascending=True)
+    assert {r["v"]: (r["n"], r["before"]) for r in oldest.collect()} == {"a": (1, None), "b": (1, "a"), "c": (2, "b"), "d": (3, "c"), "e": (1, None)}

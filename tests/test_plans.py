@@ -27,11 +27,10 @@ def exchanges(text):
     return len(re.findall(r"\bExchange hashpartitioning", text))
 
 
-def test_metrics_shuffle_posts_once_after_the_limit(t):
+def test_no_window_holds_the_posts_of_a_channel(t):
     text = plan(channel_metrics(t.posts))
-    assert exchanges(text) == 1
-    exchange = text.index("Exchange hashpartitioning")
-    assert "WindowGroupLimit" in text[exchange:], "posts are limited per channel before they travel"
+    windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("own bucket" in line for line in windows if "post_id" in line), "posts are placed within a day of their channel"
 
 
 def test_no_python_no_product(t):
@@ -43,7 +42,7 @@ def test_no_python_no_product(t):
 def test_text_does_not_travel_with_the_posts(t):
     scored = score_channels(t.posts_with_text, t.channels, t.audience, as_of())
     for line in plan(scored).splitlines():
-        if "WindowGroupLimit" in line:
+        if "windowspecdefinition" in line and "own bucket" in line:
             assert "body" not in line and "text" not in line
 
 

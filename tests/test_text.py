@@ -98,7 +98,7 @@ def test_without_footer(rows):
 def test_prompt_posts_use_whole_texts(rows):
     texts = [body(i) + "pqrst"[i] * 3000 + "\nClosing line of all" for i in range(5)]
     got = T.prompt_posts(posts(rows, texts)).orderBy("slot").collect()
-    assert len(got) == 5 and all(len(r["body"]) == 800 and "Closing" not in r["body"] for r in got)
+    assert [r["body"] for r in got] == [body(i) + "pqrst"[i] * 3000 for i in range(5)]
 
 
 def test_channel_type(rows):
@@ -110,6 +110,10 @@ def test_channel_type(rows):
     channels = rows([(1, None), (2, "NEWS"), (3, None), (4, "GAMBLING")], "channel_id long, category string")
     got = {r["channel_id"]: (r["channel_type"], r["keyword_hits"]) for r in T.channel_types(frame, channels).collect()}
     assert got == {1: ("TECH", 3), 2: ("NEWS", 3), 3: ("GENERAL", 0), 4: ("GENERAL", 0)}
+    empty = rows([(1, 100 + i, datetime(2024, 2, 1) + timedelta(hours=i), "") for i in range(20)], "channel_id long, post_id long, ts timestamp, text string")
+    one = channels.where("channel_id = 1")
+    assert T.channel_types(frame.unionByName(empty), one).collect()[0]["channel_type"] == "TECH"
+    assert T.channel_types(frame.unionByName(empty), one, newest=20).collect()[0]["channel_type"] == "GENERAL"
     crossing = frame.where("channel_id = 1 AND post_id >= 2")
     assert T.channel_types(crossing, channels.where("channel_id = 1")).collect()[0]["channel_type"] == "NEWS"
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from trustlens.constants import FOREIGN_DC, MIN_ACCOUNTS, NATIVE_DC, NEIGHBOUR_GAP
 from trustlens.functions.scalars import half_even, safe_ratio
 
+FACTS = ["dc_id", "is_premium", "is_scam", "is_fake", "is_restricted", "is_deleted", "is_bot"]
+
 
 def neighbour_pairs(audience: DataFrame, gap: int = NEIGHBOUR_GAP) -> DataFrame:
     """Per channel: ids and consecutive pairs (in id order) no further apart than ``gap``.
@@ -70,8 +72,20 @@ def unique_accounts(audience: DataFrame) -> DataFrame:
     return audience.where(F.col("user_id").isNotNull() & (F.col("user_id") != 0)).dropDuplicates(["channel_id", "user_id"])
 
 
+def once_each(audience: DataFrame) -> DataFrame:
+    """Every known account of a channel once; accounts without an id stay as they are.
+
+    Of several rows of an account the least one stays, by data centre and flags in the order of ``FACTS``, nulls first.
+    """
+    known = F.col("user_id").isNotNull() & (F.col("user_id") != 0)
+    facts = [c for c in FACTS if c in audience.columns]
+    first = audience.where(known).groupBy("channel_id", "user_id").agg(F.min(F.struct(*facts)).alias("facts"))
+    return first.select("channel_id", "user_id", "facts.*").unionByName(audience.where(~known | F.col("user_id").isNull()).select("channel_id", "user_id", *facts))
+
+
 def forensics(audience: DataFrame) -> DataFrame:
-    """All audience statistics of every channel with their penalties."""
+    """All audience statistics of every channel with their penalties; repeated accounts count once."""
+    audience = once_each(audience)
     counts = account_counts(audience)
     pairs = neighbour_pairs(audience)
     both = counts.join(pairs, "channel_id", "left").withColumns({

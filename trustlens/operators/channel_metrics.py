@@ -1,9 +1,8 @@
-"""Per-channel metrics: one shuffle on the channel, one sort, one grouped aggregate.
+"""Per-channel metrics over all posts of a channel.
 
-The newest posts are taken first. Spark limits them per channel before the shuffle
-(window group limit), so however many posts a channel has, at most that many rows per
-input partition travel and at most that many reach one task. All later windows and the
-aggregate reuse the same partitioning.
+Positions within a channel (newest first) come from two levels: a window over the posts of one day of the channel, and running totals
+over one row per day. So a channel that owns a third of all posts is spread over as many groups as it has days, and no text or list of posts of
+one channel meets in a task. Everything else is a grouped aggregate with partial aggregation.
 """
 
 from __future__ import annotations
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustlens.constants import POSTING_DEFAULT, POSTING_MULTIPLIERS, POSTING_TIERS, SAMPLE_POSTS, SIMPLE_EMOJI
+from trustlens.constants import POSTING_DEFAULT, POSTING_MULTIPLIERS, POSTING_TIERS, SIMPLE_EMOJI
 from trustlens.functions.scalars import cv_from_sums, half_even, reactions_total, safe_ratio
 
 PRIVATE_LINK = r"(?i)t\.me/(?:\+|joinchat/)([a-zA-Z0-9_-]+)"
@@ -23,8 +22,54 @@ def newest_first() -> list[Column]:
     return [F.col("ts").desc_nulls_last(), F.col("post_id").desc()]
 
 
-def newest_posts(posts: DataFrame, keep: int = SAMPLE_POSTS) -> DataFrame:
-    """The newest posts of every channel, numbered by ``rn`` from 1 (newest)."""
+def placed(
+    rows: DataFrame, counted: dict[str, Column], carried: dict[str, Column] | None = None, bucket: Column | None = None, by: tuple[str, ...] = ("ts", "post_id"), ascending: bool = False
+) -> DataFrame:
+    """Running counts over the rows of a channel in the order of ``by``, newest first unless ``ascending``; nulls come last.
+
+    ``counted`` names conditions; each gives a column with the number of such rows up to and including the row, and ``<name> of all``
+    with the number in the channel. ``carried`` names values of the row before. ``bucket`` must rise with the first
+    column of ``by``; it is the day of the date if nothing else is said.
+    """
+    carried = carried or {}
+    bucket = F.to_date(by[0]) if bucket is None else bucket
+    last = (F.max_by if ascending else F.min_by)
+    buckets = rows.groupBy(F.col("channel_id").alias("b channel"), bucket.alias("b bucket")).agg(
+        *[F.count_if(condition).alias(f"b {name} n") for name, condition in counted.items()],
+        *[last(value, F.struct(*by)).alias(f"b {name} last") for name, value in carried.items()],
+    )
+    channel = W.partitionBy("b channel")
+    line = channel.orderBy(F.col("b bucket").asc_nulls_last() if ascending else F.col("b bucket").desc_nulls_last())
+    before = line.rowsBetween(W.unboundedPreceding, -1)
+    buckets = buckets.select(
+        "b channel", "b bucket",
+        *[F.coalesce(F.sum(f"b {name} n").over(before), F.lit(0)).alias(f"b {name} before") for name in counted],
+        *[F.sum(f"b {name} n").over(channel).alias(f"{name} of all") for name in counted],
+        *[F.lag(f"b {name} last").over(line).alias(f"b {name} lag") for name in carried],
+    )
+    order = [F.col(c).asc_nulls_last() if ascending else F.col(c).desc_nulls_last() for c in by]
+    inside = W.partitionBy("channel_id", "own bucket").orderBy(*order)
+    local = rows.withColumn("own bucket", bucket)
+    local = local.select(
+        "*", F.row_number().over(inside).alias("own number"),
+        *[F.sum(condition.cast("int")).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(f"own {name}") for name, condition in counted.items()],
+        *[F.lag(value).over(inside).alias(f"own {name} lag") for name, value in carried.items()],
+    )
+    same = F.col("channel_id").eqNullSafe(F.col("b channel")) & F.col("own bucket").eqNullSafe(F.col("b bucket"))
+    mine = [F.col(f"`{c}`") for c in rows.columns if c not in counted and c not in carried]
+    return local.join(buckets, same).select(
+        *mine, *[(F.col(f"own {name}") + F.col(f"b {name} before")).alias(name) for name in counted], *[F.col(f"{name} of all") for name in counted],
+        *[F.when(F.col("own number") > 1, F.col(f"own {name} lag")).otherwise(F.col(f"b {name} lag")).alias(name) for name in carried],
+    )
+
+
+def numbered_posts(posts: DataFrame) -> DataFrame:
+    """All posts of every channel, numbered by ``rn`` from 1 (newest)."""
+    return placed(posts, {"rn": F.lit(True)}).drop("rn of all")
+
+
+def newest_posts(posts: DataFrame, keep: int) -> DataFrame:
+    """The newest ``keep`` posts of every channel, numbered by ``rn`` from 1 (newest); limited below the shuffle."""
     window = W.partitionBy("channel_id").orderBy(*newest_first())
     return posts.withColumn("rn", F.row_number().over(window)).where(F.col("rn") <= keep)
 
@@ -71,8 +116,6 @@ def describe_posts(posts: DataFrame) -> DataFrame:
         "replies": F.coalesce("replies", F.lit(0)),
         "reacted": reactions_total(F.col("reactions")),
         "simple_reacted": reactions_total(simple),
-        "first_emoji": F.array_min(emoji),
-        "last_emoji": F.array_max(emoji),
         "emoji": emoji,
         "has_reactions": F.size(F.coalesce(F.col("reactions"), F.array())) > 0,
         "reactions_known": F.col("reactions").isNotNull(),
@@ -83,35 +126,36 @@ def describe_posts(posts: DataFrame) -> DataFrame:
     })
 
 
-def place_posts(sample: DataFrame) -> DataFrame:
-    """Quantities that depend on the other sampled posts of the channel."""
-    channel = W.partitionBy("channel_id")
-    newest = channel.orderBy(*newest_first())
+def place_posts(described: DataFrame) -> DataFrame:
+    """Quantities that depend on the other posts of the channel."""
     viewed = (F.col("views") > 0) & F.col("ts").isNotNull()
-    placed = sample.withColumns({
+    ranked = placed(described, {"rn": F.lit(True), "viewed_rank": viewed}, {"later_ts": F.col("ts")}).withColumns({
         "viewed": viewed,
-        "viewed_rank": F.when(viewed, F.sum(viewed.cast("int")).over(newest.rowsBetween(W.unboundedPreceding, 0))),
-        "viewed_count": F.sum(viewed.cast("int")).over(channel),
-        "gap": (F.unix_micros(F.lag("ts").over(newest)) - F.unix_micros("ts")),
-        "same_source": F.count("source_id").over(W.partitionBy("channel_id", "source_id")),
-        "low_emoji": F.min("first_emoji").over(channel),
-        "high_emoji": F.max("last_emoji").over(channel),
-    })
+        "viewed_rank": F.when(viewed, F.col("viewed_rank")),
+        "viewed_count": F.col("viewed_rank of all"),
+        "gap": F.unix_micros("later_ts") - F.unix_micros("ts"),
+    }).drop("later_ts", "rn of all", "viewed_rank of all")
     quarter = F.floor(F.col("viewed_count") / 4)
     wide = F.greatest(quarter, F.lit(3))
-    return placed.withColumns({
+    return ranked.withColumns({
         "is_new": F.col("viewed_rank") <= quarter,
         "is_old": F.col("viewed_rank") > F.col("viewed_count") - quarter,
         "er_new": F.col("viewed_rank") <= wide,
         "er_old": F.col("viewed_rank") > F.col("viewed_count") - wide,
         "er": F.when(viewed, F.col("reacted") / F.col("views") * 100),
-        # number of different emoji of the channel, where 3 stands for three or more
-        "emoji_types": F.when(F.col("low_emoji").isNull(), 0)
-        .when(F.exists("emoji", lambda e: ~e.isin(F.col("low_emoji"), F.col("high_emoji"))), 3)
-        .when(F.col("low_emoji") == F.col("high_emoji"), 1).otherwise(2),
     })
 
 
+def _kinds(described: DataFrame) -> DataFrame:
+    """Per channel: posts of the most frequent source, and number of different emoji, where 3 stands for three or more."""
+    sources = described.where(F.col("source_id").isNotNull()).groupBy("channel_id", "source_id").agg(F.count(F.lit(1)).alias("c"))
+    tops = sources.select("channel_id", "c", F.lit(0).cast("bigint").alias("e"))
+    emoji = described.select("channel_id", F.explode(F.array_distinct("emoji")).alias("emoji")).distinct()
+    types = emoji.select("channel_id", F.lit(0).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("e"))
+    both = tops.unionByName(types).groupBy("channel_id").agg(F.max("c").alias("source_top"), F.least(F.sum("e"), F.lit(3)).cast("int").alias("emoji_types"))
+    return both.withColumnRenamed("channel_id", "kinds_channel")
+
+
 def _sums(sample: DataFrame) -> DataFrame:
     viewed, gap, reacted, views = F.col("viewed"), F.col("gap"), F.col("reacted"), F.col("views")
     early = (F.col("rn") <= 5) & F.col("has_reactions")
@@ -139,10 +183,8 @@ def _sums(sample: DataFrame) -> DataFrame:
         "gap_sum": _total(F.when(gap > 0, gap)),
         "gap_sq": _total(F.when(gap > 0, _square(gap))),
         "source_posts": F.count("source_id"),
-        "source_top": F.coalesce(F.max(F.when(F.col("source_id").isNotNull(), F.col("same_source"))), F.lit(0)),
         "reposts": _count(F.col("is_repost")),
         "simple_reactions": F.sum("simple_reacted"),
-        "emoji_types": F.max("emoji_types"),
         "rankable_posts": _count(F.col("rankable")),
         "flat_posts": _count(F.col("flat")),
         "impossible": F.bool_or((views > 0) & ((F.col("forwards") > views) | (reacted > views))),
@@ -164,12 +206,13 @@ def er_status(posts: Column, er_old: Column, trend: Column) -> Column:
 
 
 def channel_metrics(posts: DataFrame) -> DataFrame:
-    """One row of metrics per channel, from its newest posts.
+    """One row of metrics per channel, from all its posts.
 
     ``posts`` may carry ``text``; link counts are then included.
     """
     described = describe_posts(flag_links(posts) if "text" in posts.columns else posts)
-    s = _sums(place_posts(newest_posts(described)))
+    s = _sums(place_posts(described)).join(_kinds(described), F.col("channel_id").eqNullSafe(F.col("kinds_channel")), "left").drop("kinds_channel")
+    s = s.withColumns({"source_top": F.coalesce("source_top", F.lit(0)), "emoji_types": F.coalesce("emoji_types", F.lit(0))})
     quarter = F.floor(F.col("dated_viewed") / 4)
     er_quarter = F.greatest(quarter, F.lit(3))
     decay_known = (F.col("posts") >= 12) & (quarter >= 3)
@@ -275,8 +318,7 @@ def group_variation(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def emoji_histogram(sample: DataFrame) -> DataFrame:
     """Reactions per channel and emoji, with the number of emoji and the share of the simple ones.
 
-    At most a channel's sampled posts enter one group, and the histogram windows only see
-    one row per emoji.
+    The histogram windows only see one row per emoji.
     """
     exploded = sample.select("channel_id", F.inline("reactions"))
     counted = exploded.groupBy("channel_id", F.coalesce("emoji", F.lit("?")).alias("emoji")).agg(
@@ -292,15 +334,18 @@ def emoji_histogram(sample: DataFrame) -> DataFrame:
 
 def private_invites(posts: DataFrame, channels: DataFrame) -> DataFrame:
     """Private and public link posts per channel, with the number of different invite codes."""
-    sample = newest_posts(posts.withColumns({
-        "codes": F.when(may_link(F.col("text")), F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1))).otherwise(
-            F.array().cast("array<string>")),
-        "has_public": F.when(may_link(F.col("text")), F.col("text").rlike(PUBLIC_LINK)).otherwise(False),
-    }).select("channel_id", "post_id", "ts", "codes", "has_public"))
-    counts = sample.groupBy("channel_id").agg(
-        _count(F.size("codes") > 0).alias("private_posts"), _count(F.col("has_public")).alias("public_posts"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("codes")))).cast("bigint").alias("unique_private"),
+    found = posts.select(
+        "channel_id", "post_id",
+        F.when(may_link(F.col("text")), F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1))).otherwise(F.array().cast("array<string>")).alias("codes"),
+        F.when(may_link(F.col("text")), F.col("text").rlike(PUBLIC_LINK)).otherwise(False).alias("has_public"),
     )
+    # posts are counted on rows without a code, and codes on the distinct ones, in one grouped pass over a long table
+    rows = found.select("channel_id", F.explode(F.concat(
+        F.array(F.struct(F.lit(None).cast("string").alias("code"), (F.size("codes") > 0).alias("private"), F.col("has_public").alias("public"))),
+        F.transform(F.array_distinct("codes"), lambda c: F.struct(c.alias("code"), F.lit(False).alias("private"), F.lit(False).alias("public"))),
+    )).alias("r")).select("channel_id", "r.*")
+    coded = rows.groupBy("channel_id", "code").agg(F.count_if("private").alias("private"), F.count_if("public").alias("public"))
+    counts = coded.groupBy("channel_id").agg(F.sum("private").alias("private_posts"), F.sum("public").alias("public_posts"), F.count("code").alias("unique_private"))
     joined = counts.join(channels.select("channel_id", "category", "comments_enabled"), "channel_id")
     return private_links(joined, F.col("category"), F.col("comments_enabled"))
 
@@ -308,12 +353,11 @@ def private_invites(posts: DataFrame, channels: DataFrame) -> DataFrame:
 def without_top(described: DataFrame) -> DataFrame:
     """Posts with reactions, minus the strongest one where a channel has more than three."""
     reacted = described.where(F.col("reacted") > 0)
-    channel = W.partitionBy("channel_id")
-    ranked = reacted.withColumns({
-        "place": F.row_number().over(channel.orderBy(F.col("reacted").desc(), "post_id")),
-        "reacted_posts": F.count(F.lit(1)).over(channel),
-    })
-    return ranked.where((F.col("place") > 1) | (F.col("reacted_posts") <= 3))
+    tops = reacted.groupBy(F.col("channel_id").alias("top_channel")).agg(
+        F.min_by("post_id", F.struct(-F.col("reacted"), F.col("post_id"))).alias("top_post"), F.count(F.lit(1)).alias("reacted_posts")
+    )
+    joined = reacted.join(tops, F.col("channel_id").eqNullSafe(F.col("top_channel")))
+    return joined.where((F.col("post_id") != F.col("top_post")) | (F.col("reacted_posts") <= 3)).drop("top_channel", "top_post")
 
 
 def first_reacted(described: DataFrame) -> DataFrame:
@@ -326,15 +370,14 @@ def first_reacted(described: DataFrame) -> DataFrame:
 
 
 def dated_posts(posts: DataFrame, require_views: bool = False) -> DataFrame:
-    """Sampled posts with a date (and views), numbered by ``age_rank`` from the oldest."""
-    kept = newest_posts(posts).where(F.col("ts").isNotNull())
+    """Posts with a date (and views), numbered by ``age_rank`` from the oldest."""
+    kept = posts.where(F.col("ts").isNotNull())
     if require_views:
         kept = kept.where(F.col("views") > 0)
-    oldest = W.partitionBy("channel_id").orderBy(F.col("ts"), F.col("post_id"))
-    return kept.withColumn("age_rank", F.row_number().over(oldest))
+    return placed(kept, {"age_rank": F.lit(True)}, ascending=True).drop("age_rank of all")
 
 
 def private_codes(posts: DataFrame) -> DataFrame:
     """Distinct private invite codes per channel."""
-    found = posts.select("channel_id", "post_id", "ts", F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1)).alias("codes"))
-    return newest_posts(found).select("channel_id", F.explode("codes").alias("code")).distinct()
+    codes = F.regexp_extract_all("text", F.lit(PRIVATE_LINK), F.lit(1))
+    return posts.where(may_link(F.col("text"))).select("channel_id", F.explode(codes).alias("code")).distinct()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from trustlens.constants import COLLECT_SCORE
 from trustlens.functions.text import linked_names
-from trustlens.operators.channel_metrics import newest_posts
 from trustlens.operators.lifecycle import new_names
 from trustlens.session import ensure_checkpoint_dir
 
@@ -32,15 +31,14 @@ def neighbour_risk(results: DataFrame) -> DataFrame:
 
 
 def outgoing_links(posts: DataFrame, channels: DataFrame) -> DataFrame:
-    """Distinct channel names that the newest posts of every channel link, mention or forward.
+    """Distinct channel names that the posts of every channel link, mention or forward.
 
     Names are taken out of the texts before anything is shuffled; the channel's own name is
     removed at the end, when only distinct names are left to join.
     """
     forwards = F.array_compact(F.array(F.col("forward_from.username")))
     names = F.array_union(linked_names(F.col("text")), forwards)
-    found = newest_posts(posts.select("channel_id", "post_id", "ts", names.alias("links")))
-    links = found.select("channel_id", F.explode("links").alias("link")).distinct()
+    links = posts.select("channel_id", F.explode(names).alias("link")).distinct()
     owners = channels.select("channel_id", "username")
     return links.join(owners, "channel_id").where(F.col("link") != F.lower("username")).select("channel_id", "username", "link")
 

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from trustlens.constants import SAMPLE_POSTS
 from trustlens.functions.text import TYPE_KEYWORDS, TYPE_OF_CATEGORY, clean_text, keyword_mask, strip, type_masks
-from trustlens.operators.channel_metrics import newest_first, newest_posts
+from trustlens.operators.channel_metrics import placed
 
 
-def clean_posts(posts: DataFrame, keep: int = SAMPLE_POSTS) -> DataFrame:
-    """The newest posts with more than 30 characters, cleaned, numbered by ``slot`` in newest-first order."""
-    sample = newest_posts(posts.select("channel_id", "post_id", "ts", "text"), keep).where(F.length("text") > 30)
-    window = W.partitionBy("channel_id").orderBy("rn")
-    return sample.withColumns({"slot": F.row_number().over(window), "clean": clean_text(F.col("text"))}).drop("text")
+def clean_posts(posts: DataFrame) -> DataFrame:
+    """All posts with more than 30 characters, cleaned, numbered by ``slot`` in newest-first order."""
+    long = posts.where(F.length("text") > 30).select("channel_id", "post_id", "ts", clean_text(F.col("text")).alias("clean"))
+    return placed(long, {"slot": F.lit(True)}).drop("slot of all")
 
 
 def repeating_footers(cleaned: DataFrame) -> DataFrame:
@@ -44,83 +42,57 @@ def without_footer(text: Column, footer: Column) -> Column:
     return F.when(at > 1, strip(F.substring(text, F.lit(1), at - 1))).otherwise(text)
 
 
-def prompt_posts(posts: DataFrame, cut: int = 800) -> DataFrame:
-    """Cleaned posts without footer, cut, still longer than 30 characters."""
+def prompt_posts(posts: DataFrame) -> DataFrame:
+    """Cleaned posts without footer, still longer than 30 characters."""
     cleaned = clean_posts(posts)
     joined = cleaned.join(repeating_footers(cleaned), "channel_id", "left")
-    body = F.substring(without_footer(F.col("clean"), F.col("footer")), 1, cut)
+    body = without_footer(F.col("clean"), F.col("footer"))
     return joined.withColumn("body", body).where(F.length("body") > 30).select("channel_id", "slot", "body")
 
 
-def prompt_comments(comments: DataFrame, keep: int = 100, cut: int = 200) -> DataFrame:
-    """The first comments of a channel, cleaned and cut, longer than 5 characters."""
-    window = W.partitionBy("channel_id").orderBy("comment_id")
-    first = comments.withColumn("slot", F.row_number().over(window)).where(F.col("slot") <= keep)
-    body = F.substring(clean_text(F.col("text")), 1, cut)
-    return first.withColumn("body", body).where(F.length("body") > 5).select("channel_id", "slot", "body")
+def numbered_comments(comments: DataFrame) -> DataFrame:
+    """All comments of a channel numbered by ``slot`` in the order of their ids."""
+    return placed(comments, {"slot": F.lit(True)}, bucket=F.floor(F.col("comment_id") / 4096), by=("comment_id",), ascending=True).drop("slot of all")
 
 
-def _joined(parts: DataFrame, label: str, separator: str) -> DataFrame:
-    """At most ``keep`` short texts per channel, so the list of one group is bounded."""
-    line = F.concat(F.lit(label), F.col("slot").cast("string"), F.lit("]: "), F.col("body"))
-    listed = F.sort_array(F.collect_list(F.struct("slot", line.alias("line"))))
-    return parts.groupBy("channel_id").agg(
-        F.array_join(F.transform(listed, lambda p: p["line"]), separator).alias("corpus"), F.count(F.lit(1)).alias("texts")
-    )
+def prompt_comments(comments: DataFrame) -> DataFrame:
+    """The comments of a channel, cleaned, longer than 5 characters."""
+    body = clean_text(F.col("text"))
+    return numbered_comments(comments).withColumn("body", body).where(F.length("body") > 5).select("channel_id", "slot", "body")
 
 
 def prompt_corpus(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """One prompt text per channel for posts and one for comments."""
-    left = _joined(prompt_posts(posts), "[Post ", "\n\n").select(
-        "channel_id", F.col("corpus").alias("posts_text"), F.col("texts").alias("posts_used"))
-    right = _joined(prompt_comments(comments), "[", "\n").select(
-        "channel_id", F.col("corpus").alias("comments_text"), F.col("texts").alias("comments_used"))
-    return left.join(right, "channel_id", "full")
+    """Prompt texts: one row per post and comment, so that no task holds all texts of a channel."""
+    return prompt_posts(posts).select("channel_id", F.lit("post").alias("kind"), "slot", "body").unionByName(
+        prompt_comments(comments).select("channel_id", F.lit("comment").alias("kind"), "slot", "body")
+    )
 
 
 def stored_content(posts: DataFrame, comments: DataFrame, audience: DataFrame) -> DataFrame:
-    """Content kept for re-classification: 50 post texts of 300 characters, 30 comments of 150 with premium flag."""
-    texts = newest_posts(posts.select("channel_id", "post_id", "ts", F.substring("text", 1, 300).alias("text"))).where(
-        F.length("text") > 0
+    """Content kept for re-classification: every whole text of posts and comments, one row each, comments with their author and premium flag."""
+    texts = posts.where(F.length("text") > 0).select(
+        "channel_id", F.lit("post").alias("kind"), F.col("post_id").alias("id"), "text", F.lit(None).cast("boolean").alias("is_premium"), F.lit(None).cast("bigint").alias("user_id")
     )
-    post_lists = texts.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("rn", "text"))).alias("p"))
     noted = comments_with_premium(comments, audience)
-    comment_lists = noted.groupBy("channel_id").agg(
-        F.sort_array(F.collect_list(F.struct("slot", F.substring("text", 1, 150).alias("t"), F.col("is_premium").alias("p"),
-                                             F.col("user_id").alias("id")))).alias("c")
-    )
-    content = F.struct(
-        F.transform("p", lambda x: x["text"]).alias("posts"),
-        F.transform("c", lambda x: F.struct(x["t"].alias("t"), x["p"].alias("p"), x["id"].alias("id"))).alias("comments"),
-    )
-    return post_lists.join(comment_lists, "channel_id", "full").select("channel_id", F.to_json(content).alias("content_json"))
+    return texts.unionByName(noted.select("channel_id", F.lit("comment").alias("kind"), F.col("comment_id").alias("id"), "text", "is_premium", "user_id"))
 
 
-def comments_with_premium(comments: DataFrame, audience: DataFrame, keep: int = 30) -> DataFrame:
-    """The first comments of each channel with the premium flag of their author (false when unknown)."""
-    window = W.partitionBy("channel_id").orderBy("comment_id")
-    first = comments.withColumn("slot", F.row_number().over(window)).where((F.col("slot") <= keep) & (F.length("text") > 0))
+def comments_with_premium(comments: DataFrame, audience: DataFrame) -> DataFrame:
+    """The comments with a text and the premium flag of their author (false when unknown)."""
     premium = audience.groupBy("channel_id", "user_id").agg(F.bool_or("is_premium").alias("is_premium"))
-    return first.join(premium, ["channel_id", "user_id"], "left").withColumn("is_premium", F.coalesce("is_premium", F.lit(False)))
+    written = comments.where(F.length("text") > 0)
+    return written.join(premium, ["channel_id", "user_id"], "left").withColumn("is_premium", F.coalesce("is_premium", F.lit(False)))
 
 
 def text_archive(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Texts kept for later analysis: 50 posts of 500 characters and 100 comments of 150."""
-    texts = newest_posts(posts.select("channel_id", "post_id", "ts", F.substring("text", 1, 500).alias("text"))).where(
-        F.length("text") > 0
+    """Every whole text of posts and comments for later analysis, one row each."""
+    return posts.where(F.length("text") > 0).select("channel_id", F.lit("post").alias("kind"), F.col("post_id").alias("id"), "text").unionByName(
+        comments.where(F.length("text") > 0).select("channel_id", F.lit("comment").alias("kind"), F.col("comment_id").alias("id"), "text")
     )
-    window = W.partitionBy("channel_id").orderBy("comment_id")
-    first = comments.withColumn("rn", F.row_number().over(window)).where((F.col("rn") <= 100) & (F.length("text") > 0))
-
-    def listed(rows: DataFrame, cut: int, name: str) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct("rn", F.substring("text", 1, cut).alias("text"))))
-        return rows.groupBy("channel_id").agg(F.transform(pairs, lambda p: p["text"]).alias(name))
-
-    return listed(texts, 500, "post_texts").join(listed(first, 150, "comment_texts"), "channel_id", "full")
 
 
-def channel_types(posts: DataFrame, channels: DataFrame) -> DataFrame:
-    """Channel type by category, else by the keywords of the newest 20 posts.
+def channel_types(posts: DataFrame, channels: DataFrame, newest: int | None = None) -> DataFrame:
+    """Channel type by category, else by the keywords of the posts (of the newest ones, if a number is given; empty posts count among them).
 
     Each post is reduced to a bit set of keywords before the shuffle. The one keyword with
     a blank may also span two neighbouring posts, which is checked from their edges.
@@ -128,14 +100,15 @@ def channel_types(posts: DataFrame, channels: DataFrame) -> DataFrame:
     masks = type_masks()
     spanning = 1 << [w for words in TYPE_KEYWORDS.values() for w in words].index("курс валют")
     low = F.lower("text")
-    marked = posts.where(F.length("text") > 0).select(
-        "channel_id", "post_id", "ts", keyword_mask(F.col("text")).alias("mask"),
+    marked = posts.select(
+        "channel_id", "post_id", "ts", F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.when(F.length("text") > 0, keyword_mask(F.col("text"))).otherwise(0).alias("mask"),
         low.endswith("курс").alias("ends"), low.startswith("валют").alias("starts"),
     )
-    newest = W.partitionBy("channel_id").orderBy(*newest_first())
-    sample = newest_posts(marked, 20)
-    spans = F.when(F.col("ends") & F.coalesce(F.lead("starts").over(newest), F.lit(False)), spanning).otherwise(0).cast("bigint")
-    merged = sample.withColumn("mask", F.col("mask").bitwiseOR(spans)).groupBy("channel_id").agg(F.bit_or("mask").alias("mask"))
+    if newest is not None:
+        marked = placed(marked, {"rn": F.lit(True)}).where(F.col("rn") <= newest).drop("rn", "rn of all")
+    linked = placed(marked.where("size > 0"), {"place": F.lit(True)}, {"ended": F.col("ends")})
+    spans = F.when(F.col("starts") & F.coalesce("ended", F.lit(False)), spanning).otherwise(0).cast("bigint")
+    merged = linked.withColumn("mask", F.col("mask").bitwiseOR(spans)).groupBy("channel_id").agg(F.bit_or("mask").alias("mask"))
     hits = {name: F.bit_count(F.col("mask").bitwiseAND(F.lit(mask))) for name, mask in masks.items()}
     top = F.greatest(*hits.values())
     by_words = F.when(F.coalesce(top, F.lit(0)) < 3, "GENERAL")

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trustlens.constants import SAMPLE_POSTS
 from trustlens.functions.scalars import reactions_total
 from trustlens.operators.channel_metrics import newest_posts
 
 PAGE = 100
 
 
-def compact_posts(posts: DataFrame) -> DataFrame:
+def compact_posts(posts: DataFrame, keep: int = SAMPLE_POSTS) -> DataFrame:
     """The newest posts of a channel as lists of id, epoch, views, forwards, reactions. An unknown date becomes 0."""
     numbers = F.array(
         F.coalesce("post_id", F.lit(0)), F.coalesce(F.unix_timestamp("ts"), F.lit(0)), F.coalesce("views", F.lit(0)),
         F.coalesce("forwards", F.lit(0)), reactions_total(F.col("reactions")),
     )
-    sample = newest_posts(posts.select("channel_id", "post_id", "ts", numbers.alias("numbers")))
+    sample = newest_posts(posts.select("channel_id", "post_id", "ts", numbers.alias("numbers")), keep)
     listed = F.sort_array(F.collect_list(F.struct("rn", "numbers")))
     return sample.groupBy("channel_id").agg(F.to_json(F.transform(listed, lambda p: p["numbers"])).alias("posts_raw"))
 

@@ -152,14 +152,15 @@ def quick_stats(imported: DataFrame) -> DataFrame:
     })
 
 
-def without_archive(results: DataFrame, archive: DataFrame) -> DataFrame:
-    """Scored rows for which no texts are archived."""
-    return results.where(F.col("status").isin("GOOD", "BAD")).join(archive.select("channel_id"), "channel_id", "left_anti")
+def without_posts(results: DataFrame, posts: DataFrame) -> DataFrame:
+    """Scored rows for which no post text is kept; only keys are compared."""
+    kept = posts.where(F.length("text") > 0).select("channel_id").distinct()
+    return results.where(F.col("status").isin("GOOD", "BAD")).join(kept, "channel_id", "left_anti")
 
 
 def with_content(results: DataFrame, content: DataFrame) -> DataFrame:
-    kept = content.where(F.col("content_json").isNotNull()).select("channel_id", "content_json")
-    return results.where(F.col("status") != "WAITING").join(kept, "channel_id")
+    """Scanned rows for which a text is kept; only keys are compared."""
+    return results.where(F.col("status") != "WAITING").join(content.select("channel_id").distinct(), "channel_id", "left_semi")
 
 
 def without_forensics(rows: DataFrame) -> DataFrame:
