@@ -10,7 +10,7 @@ Only DataFrame expressions are used. The counts per source are pre-aggregated; t
 
 Results for odd input: null is a source of its own; sources without a weight have weight 0 and are left out; documents that share a
 doc_id are repeated alike; a null doc_id is drawn by the text, a null text as an empty one; an empty table stays empty; extra columns
-are kept, but those named ``copy`` and ``copies`` are replaced where the copies are numbered.
+are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ STEP = 16.0  # the largest mean of one draw
 TERMS = 96  # beyond it the tail of a mean of STEP is below 1e-40
 MOST_SOURCES = 10_000
 
-RATE, DRAWS, TABLE, KEY, ORDER = "mix rate", "mix draws", "mix table", "mix key", "mix order"
+RATE, DRAWS, TABLE, KEY, ORDER, SOURCE, COPIES, COPY = (f"mix {x}" for x in ("rate", "draws", "table", "key", "order", "source", "copies", "copy"))
 
 
 def uniform(*parts: Column) -> Column:
@@ -57,21 +57,22 @@ def rates(documents: DataFrame, weights: dict | None = None, total: int | None =
     mean = F.when(F.col("all w") > 0, wanted * F.col("w") / F.col("all w") / F.col("n")).otherwise(F.lit(0.0))
     rated = weighted.join(F.broadcast(sums)).select("s", "n", mean.alias(RATE))  # one row
     draws = F.greatest(F.ceil(F.col(RATE) / F.lit(STEP)), F.lit(1)).cast("int")
-    return rated.withColumn(DRAWS, draws).withColumn(TABLE, _distribution(F.col(RATE) / F.col(DRAWS)))
+    return rated.withColumn(DRAWS, draws).withColumn(TABLE, _distribution(F.col(RATE) / F.col(DRAWS))).withColumnRenamed("s", SOURCE)
 
 
 def copies(documents: DataFrame, weights: dict | None = None, total: int | None = None, seed: int = SEED, column: str = "source") -> DataFrame:
-    """The documents repeated, with ``copy`` from 1 to ``copies`` and a key that orders the mix."""
+    """The documents repeated, with ``mix copy`` from 1 to ``mix copies`` and ``mix order``, a key that orders the mix."""
     table = rates(documents, weights, total, column)
-    small = table.select("s").limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    small = table.select(SOURCE).limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    table = table.select(SOURCE, DRAWS, TABLE)
     table = F.broadcast(table) if small else table
-    names = [c for c in documents.columns if c.lower() not in ("copy", "copies")]
+    own = [F.col(f"`{c}`") for c in documents.columns]
     keyed = documents.withColumn(KEY, F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))))
-    rated = keyed.join(table, F.col(column).eqNullSafe(F.col("s")))
+    rated = keyed.join(table, F.col(column).eqNullSafe(F.col(SOURCE)))
     numbers = F.transform(F.sequence(F.lit(1), F.col(DRAWS)), lambda j: uniform(F.lit(str(seed)), F.col(KEY), j.cast("string")))
-    drawn = rated.withColumn("copies", F.aggregate(numbers, F.lit(0), lambda done, u: done + F.size(F.filter(F.col(TABLE), lambda p: p <= u))))
-    many = drawn.where("copies > 0").select(*[F.col(f"`{c}`") for c in names], KEY, "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return many.withColumn(ORDER, F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col(KEY), F.col("copy").cast("string")))).drop(KEY)
+    drawn = rated.withColumn(COPIES, F.aggregate(numbers, F.lit(0), lambda done, u: done + F.size(F.filter(F.col(TABLE), lambda p: p <= u))))
+    many = drawn.where(F.col(COPIES) > 0).select(*own, KEY, COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias(COPY))
+    return many.withColumn(ORDER, F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col(KEY), F.col(COPY).cast("string")))).drop(KEY)
 
 
 def shuffled(mixed: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def mix_sources(documents: DataFrame, weights: dict | None = None, total: int |
 def op8_poisson_mixing(spark, folder: str) -> DataFrame:
     """Every source with the same weight, as many rows as there are documents on average."""
     documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
-    return shuffled(copies(documents)).select("doc_id", "source", "copies", "copy", F.col(ORDER).alias("mix_order"), "text")
+    return shuffled(copies(documents)).select("doc_id", "source", F.col(COPIES).alias("copies"), F.col(COPY).alias("copy"), F.col(ORDER).alias("mix_order"), "text")
 
 
 SQL = f"""
@@ -102,12 +103,12 @@ WITH per_source AS (
 ), sums AS (
   SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms
 ), draw AS (
-  SELECT doc_id, text, d.source, j,
+  SELECT rid, doc_id, text, d.source, j,
     ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || j), 1, 13))::BIGINT / pow(2, 52) AS u
-  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source, LATERAL (SELECT unnest(generate_series(1, s.draws)) AS j)
+  FROM (SELECT *, row_number() OVER () AS rid FROM documents) d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source, LATERAL (SELECT unnest(generate_series(1, s.draws)) AS j)
 ), drawn AS (
   SELECT doc_id, text, d.source, (count(*) FILTER (c <= u))::INT AS copies
-  FROM draw d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source GROUP BY doc_id, text, d.source
+  FROM draw d JOIN sums s ON d.source IS NOT DISTINCT FROM s.source GROUP BY rid, doc_id, text, d.source
 )
 SELECT doc_id, source, copies, copy::INT AS copy, md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':' || copy) AS mix_order, text
 FROM drawn, LATERAL (SELECT unnest(generate_series(1, copies)) AS copy) WHERE copies > 0
