@@ -62,8 +62,9 @@ SELECT key, turn, coalesce(CASE WHEN cat IN ('TECH', 'NEWS', 'CRYPTO') THEN cat
   CASE WHEN flag LIKE '%CASINO%' THEN 'GAMBLING' WHEN flag LIKE '%18+%' THEN 'ADULT' WHEN flag LIKE '%FAKE%' THEN 'SCAM' END AS toxic_category,
   greatest(0, 100 - coalesce(trust, 70)) AS bot_percentage, coalesce(trust, 70) AS trust_score,
   CASE verdict WHEN 'HIGH_QUALITY' THEN 'HIGH' WHEN 'BOT_FARM' THEN 'LOW' ELSE 'MEDIUM' END AS authenticity_tier,
-  CASE WHEN ads > 0 THEN CAST(trunc(ads / 30e0 * 100) AS INT) ELSE 0 END AS ad_percentage
+  CASE WHEN ads > 0 THEN CAST(trunc(ads * 1e0 / posts * 100) AS INT) ELSE 0 END AS ad_percentage
 FROM (SELECT key, turn, json_extract_string(body, '$.classification.category') AS cat, json_extract_string(body, '$.safety.status') AS status,
   CAST(json_extract(body, '$.safety.is_scam') AS BOOLEAN) AS scam, upper(json_extract_string(body, '$.safety.flags[0]')) AS flag,
   CAST(json_extract(body, '$.audience.trust_score') AS INT) AS trust, json_extract_string(body, '$.audience.verdict') AS verdict,
-  json_array_length(body, '$.ad_analysis.ad_post_ids') AS ads FROM llm_v)"""
+  json_array_length(body, '$.ad_analysis.ad_post_ids') AS ads FROM llm_v)
+JOIN (SELECT conv_id AS key, count(*) * 3 AS posts FROM conversations GROUP BY 1) USING (key)"""

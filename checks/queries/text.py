@@ -104,5 +104,6 @@ def _(t):
 
 @query("JSN-02")
 def _(t):
-    return J.flat_record(J.answer_fields(t.llm_responses)).select(
+    posts = t.raw("conversations").groupBy(F.col("conv_id").alias("key")).agg((F.count(F.lit(1)) * 3).alias("posts"))
+    return J.flat_record(J.answer_fields(t.llm_responses), posts).select(
         "key", "turn", "category", "is_toxic", "toxic_severity", "toxic_category", "bot_percentage", "trust_score", "authenticity_tier", "ad_percentage")

@@ -104,3 +104,21 @@ def test_outgoing_links(rows):
     ], schema)
     channels = rows([(1, "Self_Chan")], "channel_id long, username string")
     assert sorted(r["link"] for r in N.outgoing_links(posts, channels).collect()) == ["fwd", "joinchat", "linkbot", "otherchan", "third_one"]
+
+
+def test_repeated_names_write_once(rows):
+    results = rows([("a", "WAITING", 1, None), ("b", "GOOD", 2, "NEWS")], "username string, status string, score int, category string")
+    new = rows([("a", "GOOD", 5, "TECH"), ("a", "GOOD", 9, "TECH")], "username string, status string, score int, category string")
+    got = L.complete_waiting(results, new, ["status", "score"], ["category"]).orderBy("username").collect()
+    assert [(r["username"], r["score"]) for r in got] == [("a", 9), ("b", 2)]
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    from trustlens.sources import raw_messages as W
+
+    lines = ['{"channel_id": 1, "id": 2, "date": 3, "message": "x", "views": 4}', '{"channel_id": 1, "id": 3, "views": "many"}', "no json", "", '{"channel_id": 1, "id": 4}']
+    (tmp_path / "m.json").write_text("\n".join(lines))
+    path = str(tmp_path / "m.json")
+    assert W.read_messages(spark, path).select("id").orderBy("id").collect() == W.read_messages(spark, path).orderBy("id").select("id").collect()
+    assert [r["id"] for r in W.read_messages(spark, path).orderBy("id").collect()] == [2, 4]
+    assert {r["line"] for r in W.rejected_messages(spark, path).collect()} == {lines[1], lines[2]}

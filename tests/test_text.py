@@ -129,7 +129,7 @@ def test_answers(rows):
     assert [r["level"] for r in flat] == ["json", "json", "fields", "empty", "empty", "failed", "failed", "json"]
     assert [r["ad_percentage"] for r in flat] == [12, 7, 55, 0, 0, 0, 0, 0]
     assert flat[2]["red_flags"] == ["x", "y"]
-    last = J.flat_record(answers).orderBy("key").collect()[-1]
+    last = J.flat_record(answers, rows([(7, 20)], "key int, posts long")).orderBy("key").collect()[-1]
     assert (last["is_toxic"], last["toxic_category"], last["bot_percentage"], last["authenticity_tier"], last["category"]) == (True, "ADULT", 80, "LOW", "LIFESTYLE")
 
 

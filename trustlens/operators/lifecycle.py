@@ -77,13 +77,23 @@ def skipped_until(skip_list: DataFrame, names: DataFrame, as_of: Column, days: i
     return newest.where(F.col("expires_at") > as_of).select("username", "expires_at")
 
 
+def one_per_name(rows: DataFrame) -> DataFrame:
+    """One row per name: the one scanned last, where that is known, and of equal ones the greatest as JSON text."""
+    values = [c for c in rows.columns if c != "username"]
+    if not values:
+        return rows.distinct()
+    order = [*[F.col(c) for c in ("scanned_at",) if c in values], F.to_json(F.struct(*values))]
+    return rows.groupBy("username").agg(F.max_by(F.struct(*values), F.struct(*order)).alias("row")).select("username", "row.*")
+
+
 def complete_waiting(results: DataFrame, scored: DataFrame, keep: list[str], fill: list[str]) -> DataFrame:
     """Write new values into rows that still wait.
 
     ``keep`` columns are overwritten; ``fill`` columns fall back to the stored value where
     the new one is missing. Rows in any other state are left untouched.
     """
-    fresh = scored.select("username", *[F.col(c).alias(f"new_{c}") for c in [*keep, *fill]], F.lit(True).alias("has_new"))
+    new = one_per_name(scored.select("username", *keep, *fill))
+    fresh = new.select("username", *[F.col(c).alias(f"new_{c}") for c in [*keep, *fill]], F.lit(True).alias("has_new"))
     joined = results.join(fresh, "username", "left")
     write = (F.col("status") == "WAITING") & F.coalesce(F.col("has_new"), F.lit(False))
     written = {c: F.when(write, F.col(f"new_{c}")).otherwise(F.col(c)) for c in keep}
@@ -105,7 +115,7 @@ RENAMED = {
 
 def patch_rows(results: DataFrame, patch: DataFrame, as_of: Column, coalesced: tuple[str, ...] = ("category", "category_secondary")) -> DataFrame:
     """Partial update by key: patched columns replace stored ones, label columns only where given, and the row is stamped."""
-    renamed = patch.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in patch.columns})
+    renamed = one_per_name(patch).withColumnsRenamed({k: v for k, v in RENAMED.items() if k in patch.columns})
     columns = [c for c in renamed.columns if c != "username"]
     fresh = renamed.select("username", *[F.col(c).alias(f"new_{c}") for c in columns], F.lit(True).alias("patched"))
     joined = results.join(fresh, "username", "left")

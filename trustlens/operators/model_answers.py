@@ -128,8 +128,10 @@ def flag_category(flag: Column) -> Column:
     )
 
 
-def flat_record(answers: DataFrame, total_posts: int = 30) -> DataFrame:
-    """Nested answers to one flat record per row, defaults filled in."""
+def flat_record(answers: DataFrame, post_counts: DataFrame) -> DataFrame:
+    """Nested answers to one flat record per row, defaults filled in; ``post_counts`` has key and posts, one row per key."""
+    counted = post_counts.select("key", F.col("posts").alias("posts_of_key"))
+    answers = answers.join(counted, "key", "left")
     p = F.col("parsed")
     category = p["classification"]["category"]
     status = F.coalesce(p["safety"]["status"], F.lit("SAFE"))
@@ -143,9 +145,9 @@ def flat_record(answers: DataFrame, total_posts: int = 30) -> DataFrame:
         "is_toxic": toxic,
         "toxic_severity": status,
         "toxic_category": flag_category(F.get(flags, F.lit(0))),
-        "toxic_evidence": F.slice(flags, 1, 5),
+        "toxic_evidence": flags,
         "bot_percentage": F.greatest(F.lit(0), F.lit(100) - trust),
         "trust_score": trust,
         "authenticity_tier": F.when(verdict == "HIGH_QUALITY", "HIGH").when(verdict == "BOT_FARM", "LOW").otherwise("MEDIUM"),
-        "ad_percentage": F.when(ads > 0, (ads / F.lit(total_posts) * 100).cast("int")).otherwise(0),
-    })
+        "ad_percentage": F.when((ads > 0) & (F.col("posts_of_key") > 0), (ads / F.col("posts_of_key") * 100).cast("int")).otherwise(0),
+    }).drop("posts_of_key")

@@ -17,9 +17,25 @@ HEALTH = "channel_id BIGINT, online_count BIGINT, participants_count BIGINT, adm
 MEDIA = ["photo", "video", "document", "audio", "voice", "sticker"]
 
 
+def parsed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line with its message; a line of which any field does not fit the schema is kept as ``rejected``.
+
+    All fields are parsed whichever are selected later, so what is rejected does not depend on the query.
+    """
+    schema = f"{RAW_MESSAGES}, rejected STRING"
+    message = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "rejected"})
+    return spark.read.text(path).where(F.length(F.trim("value")) > 0).select("value", message.alias("message"))
+
+
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw message files with a declared schema; lines that do not parse are dropped."""
-    return spark.read.schema(RAW_MESSAGES).option("mode", "DROPMALFORMED").json(path)
+    """Raw message files with a declared schema; see ``rejected_messages`` for the lines that do not fit it."""
+    good = parsed_lines(spark, path).where(F.col("message.rejected").isNull())
+    return good.select("message.*").drop("rejected")
+
+
+def rejected_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_messages`` leaves out; their count says how many."""
+    return parsed_lines(spark, path).where(F.col("message.rejected").isNotNull()).select(F.col("value").alias("line"))
 
 
 def media_type(media: Column) -> Column:
