@@ -45,9 +45,10 @@ SQL["TRU-19"] = "SELECT channel_id, safe_m AS safety_multiplier, tier, tier_cap,
 SQL["AGG-35"] = """SELECT channel_id, round(trust_product, 6) AS trust_product, concat_ws(',',
   CASE WHEN m1 < 1 THEN 'id_clustering' END, CASE WHEN m2 < 1 THEN 'geo_dc' END, CASE WHEN m3 < 1 THEN 'premium' END,
   CASE WHEN m4 < 1 THEN 'hidden_comments' END, CASE WHEN m5 < 1 THEN 'conviction' END, CASE WHEN m6 < 1 THEN 'hollow_views' END,
-  CASE WHEN m7 < 1 THEN 'zombie_engagement' END, CASE WHEN m8 < 1 THEN 'satellite' END, CASE WHEN m9 < 1 THEN 'online' END,
+  CASE WHEN m7 < 1 THEN 'zombie_engagement' END, CASE WHEN m8 < 1 THEN 'satellite' END, CASE WHEN m9 < 0.6 THEN 'ghost_channel' WHEN m9 < 1 THEN 'zombie_audience' END,
   CASE WHEN m10 < 1 THEN 'member_discrepancy' END, CASE WHEN m11 < 1 THEN 'budget_cliff' END, CASE WHEN m12 < 1 THEN 'spam_posting' END,
-  CASE WHEN m13 < 1 THEN 'private_links' END, CASE WHEN m14 < 1 THEN 'dying_engagement' END) AS penalties FROM trust_v"""
+  CASE WHEN m13 < 1 THEN 'private_links' END, CASE WHEN m14 < 1 THEN 'dying_engagement' END,
+  CASE WHEN scoring_mode = 'hardcore' AND flatness_on THEN 'reaction_flatness' END) AS penalties FROM trust_v"""
 SQL["SCO-01"] = "SELECT channel_id, quality, quality_max, engagement, engagement_max, reputation, 20 AS reputation_max FROM points_v"
 SQL["SCO-02"] = "SELECT channel_id, raw_score FROM trust_v"
 SQL["SCO-03"] = "SELECT channel_id, score FROM scored_v"

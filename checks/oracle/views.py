@@ -474,7 +474,7 @@ SELECT username, CASE WHEN u1 = 0 THEN 0e0 WHEN penalties = '' THEN 1e0
     ELSE greatest(0.1e0, round_even(u1*u2*u3*u4*u5*u6*u7*u8*u9*u10*u11*u12*u13*u14*u15*u16*u17*u18*u19, 2)) END AS new_trust, penalties
 FROM (SELECT *, concat_ws(',', CASE WHEN u1 < 1 THEN 'id_clustering' END, CASE WHEN u2 < 1 THEN 'geo_dc_mismatch' END, CASE WHEN u3 < 1 THEN 'premium_zero' END,
     CASE WHEN u4 < 1 THEN 'bot_penalty' END, CASE WHEN u5 < 1 THEN 'ad_penalty' END, CASE WHEN u6 < 1 THEN 'conviction' END, CASE WHEN u7 < 1 THEN 'hollow_views' END,
-    CASE WHEN u8 < 1 THEN 'zombie_engagement' END, CASE WHEN u9 < 1 THEN 'satellite' END, CASE WHEN u10 < 1 THEN 'online' END,
+    CASE WHEN u8 < 1 THEN 'zombie_engagement' END, CASE WHEN u9 < 1 THEN 'satellite' END, CASE WHEN u10 < 0.6 THEN 'ghost_channel' WHEN u10 < 1 THEN 'zombie_audience' END,
     CASE WHEN u11 < 1 THEN 'member_discrepancy' END, CASE WHEN u12 < 1 THEN 'budget_cliff' END, CASE WHEN u13 < 1 THEN 'spam_posting' END,
     CASE WHEN u14 < 1 THEN 'private_links' END, CASE WHEN u15 < 1 THEN 'private_crypto_combo' END, CASE WHEN u16 < 1 THEN 'private_hidden_combo' END,
     CASE WHEN u17 < 1 THEN 'hidden_comments' END, CASE WHEN u18 < 1 THEN 'dying_engagement' END, CASE WHEN u19 < 1 THEN 'scam_network' END) AS penalties

@@ -51,24 +51,24 @@ def discovered(posts: DataFrame, channels: DataFrame, results: DataFrame, min_sc
     return new_names(results, edges)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """Names reached from the seeds within some hops, with the hop in which each was first seen.
+def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Names reached from the seeds, with the hop in which each was first seen; all of them unless a number of hops is given.
 
-    Each round joins only the names of the last round with the edges and checkpoints the
-    result, so the plan does not grow; the driver only counts rounds and asks whether
-    anything new was found.
+    Each round joins only the names of the last round with the edges and writes its new names once; the driver only counts
+    rounds and asks whether anything new was found.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    seen = seeds.select("username").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    last = seen
-    for hop in range(1, max_hops + 1):
+    last = seeds.select("username").distinct().withColumn("hop", F.lit(0)).checkpoint()
+    seen, hop = last, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         found = last.select(F.col("username").alias("src")).join(edges.select("src", "dst"), "src").select(
             F.col("dst").alias("username")
         ).distinct()
         last = found.join(seen, "username", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         if last.isEmpty():
             break
-        seen = seen.unionByName(last).checkpoint()
+        seen = seen.unionByName(last)
     return seen
 
 

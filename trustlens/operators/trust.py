@@ -29,6 +29,11 @@ def ghost(members: Column, online: Column) -> Column:
     )
 
 
+def detail_key(name: str, multiplier: Column) -> Column:
+    """Key under which a multiplier is listed; the two steps of a low online share have keys of their own."""
+    return F.when(multiplier < 0.6, "ghost_channel").otherwise("zombie_audience") if name == "online" else F.lit(name)
+
+
 def discrepancy(members: Column, participants: Column) -> Column:
     gap = F.abs(participants - members).cast("double") / F.nullif(members, F.lit(0)).cast("double") * 100
     return penalty((participants > 0) & (members > 0) & (gap > 10), 0.8)

@@ -76,7 +76,7 @@ def unified_trust(inputs: DataFrame) -> DataFrame:
     """Re-score trust with the list of its penalties; an id farm takes it to 0, otherwise it is at least .1."""
     multipliers = T.rescore_multipliers()
     listed = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), v.alias("multiplier")) for k, v in multipliers.items()]),
+        F.array(*[F.struct(T.detail_key(k, v).alias("key"), v.alias("multiplier")) for k, v in multipliers.items()]),
         lambda p: p["multiplier"] < 1.0,
     )
     total = product(list(multipliers.values()))

@@ -100,14 +100,14 @@ def add_trust(pointed: DataFrame) -> DataFrame:
     c = F.col
     multipliers = T.scan_multipliers()
     kept = F.filter(
-        F.array(*[F.struct(F.lit(k).alias("key"), m.alias("multiplier")) for k, m in multipliers.items()]),
+        F.array(*[F.struct(T.detail_key(k, m).alias("key"), m.alias("multiplier")) for k, m in multipliers.items()]),
         lambda d: d["multiplier"] < 1.0,
     )
     hardcore = P.scoring_mode(c("accounts"))
     capped = (c("scoring_mode") == "hardcore") & F.coalesce(c("flatness_on"), F.lit(False))
-    return pointed.withColumns({
-        "trust_details": kept,
-        "scoring_mode": hardcore,
+    flatness = F.array(F.struct(F.lit("reaction_flatness").alias("key"), F.lit(0.8).alias("multiplier")))
+    return pointed.withColumn("scoring_mode", hardcore).withColumns({
+        "trust_details": F.when(capped, F.concat(kept, flatness)).otherwise(kept),
         "trust_product": F.greatest(F.lit(0.1), product(list(multipliers.values()))),
     }).withColumn("trust", F.when(capped, F.least(F.lit(0.8), c("trust_product"))).otherwise(c("trust_product")))
 
