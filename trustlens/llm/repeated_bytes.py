@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.llm.components import stored
-from trustlens.llm.flat import byte_window_hashes, mix, pieces, signed, sliding_argmin, text_rows, window_starts, word_hashes
+from trustlens.llm.flat import byte_window_hashes, mix, pieces, signed, sliding_argmin, window_starts, word_hashes
 from trustlens.llm.packed import KEYED, flatten, keyed, pack, unpack
 
 LENGTH = 200
 GRAM = 16
 AT_ONCE = 8 << 20  # bytes of text whose runs are settled among themselves before any is sent
-HOT = 1 << 14
+HOT = 1 << 16
 
 RUNS = f"gram bigint, name bigint, {KEYED}, start int, windows int, twice boolean"
 FOUND = f"gram bigint, {KEYED}, start int, windows int, state int"
@@ -207,19 +207,22 @@ def compare(rows: DataFrame, length: int) -> DataFrame:
         def work(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
             table = pa.Table.from_batches(parts).combine_chunks()
             key, start, is_open = (table.column(k).to_numpy() for k in (0, 3, 4))
-            data, offsets = text_rows(table.column(5))
-            sizes = np.diff(offsets)
-            at, of = window_starts(offsets, length)
-            hashed = np.flatnonzero(sizes == 8)
-            hashes = np.concatenate([byte_window_hashes(data, at, length), np.array([int.from_bytes(data[offsets[i] : offsets[i] + 8].tobytes(), "little") for i in hashed.tolist()], np.uint64)])
-            of = np.concatenate([of, hashed])
-            place = start[of] + np.concatenate([at - offsets[of[: len(at)]], np.zeros(len(hashed), np.int64)])
-            names = mix(hashes + key[of].view(np.uint64))
-            order = np.argsort(names, kind="stable")
-            same = names[order][1:] == names[order][:-1]
-            repeated = np.zeros(len(names), bool)
-            repeated[order[1:][same]] = True
-            repeated[order[:-1][same]] = True
+            names, of, place = [], [], []
+            for low, high, data, offsets in pieces(table.column(5).combine_chunks()):
+                at, row = window_starts(offsets, length)
+                names.append(byte_window_hashes(data, at, length))
+                of.append((row + low).astype(np.int32))
+                place.append((start[row + low] + (at - offsets[row])).astype(np.int32))
+                hashed = np.flatnonzero(np.diff(offsets) == 8)
+                names.append(data[(offsets[hashed][:, None] + np.arange(8)).ravel()].copy().view(np.uint64))
+                of.append((hashed + low).astype(np.int32))
+                place.append(start[hashed + low])
+            names, of, place = (np.concatenate(x) for x in (names, of, place))
+            names = mix(names + key[of].view(np.uint64))
+            ordered = np.sort(names)
+            twice = ordered[1:][ordered[1:] == ordered[:-1]]
+            del ordered
+            repeated = twice[np.minimum(np.searchsorted(twice, names), max(len(twice) - 1, 0))] == names if len(twice) else np.zeros(len(names), bool)
             keep = repeated & is_open[of]
             of, place = of[keep], place[keep]
             if not len(of):
