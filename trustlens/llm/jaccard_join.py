@@ -12,7 +12,8 @@ it has fewer words. Two documents link when |A n B| >= 0.75 |A u B|.
 4. In every node the points are first compared with the node's centre, one pair per point, by bound and then by the sets themselves.
    What is then still apart is packed into boxes below the node, and pairs of boxes are descended while their bound allows a link;
    points that are connected already are not compared. A large group of near copies so costs about one verification per point.
-5. Surviving pairs are verified on their sets; links are joined into components.
+5. Surviving pairs are verified on their sets, which travel once to the block of points that pairs hold together; links are joined
+   into components.
 
 Results for odd input: a document without words (null, empty or blank text) has an empty set, links with nothing and is its own
 component; a null doc_id links with nothing and has no component; rows that repeat a doc_id give one row each, and a document is
@@ -36,6 +37,8 @@ WIDTH = 5
 SHARE = (3, 4)  # similarity of 3/4 or more
 ORDER_GROUPS = 1 << 16  # of the corpus-wide counts that order the tokens
 LEAF, FAN = 16, 16
+MOST_IDS = 500_000  # broadcast at most
+BLOCK_TOKENS = 4 << 20  # of the sets verified in one task, 32 MB
 CARRY = 1 << 16  # members of a node kept while its rows stream by
 
 
@@ -73,8 +76,23 @@ def needed(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     return -(-n * share[0] // share[1])
 
 
+def groups_for(n: int) -> int:
+    """Coordinates of a set's vector: a power of two, about a quarter of its tokens."""
+    return max(64, 1 << max(0, int(np.ceil(np.log2(max(n, 1) / 4)))))
+
+
+def vector(tokens: np.ndarray) -> np.ndarray:
+    groups = groups_for(len(tokens))
+    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Vectors (the last axis) with fewer groups: groups that agree in their lower bits are one."""
+    return vectors.reshape(*vectors.shape[:-1], -1, groups).sum(-2)
+
+
 def digests(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, point; the point is null for an empty set."""
+    """doc_id, n_shingles, point, vector, text_key; the point is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +100,10 @@ def digests(texts: DataFrame, width: int) -> DataFrame:
                 tokens, first = token_sets(data, offsets, width)
                 n = np.diff(first)
                 names = pa.array(signed(points(first, tokens)), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), names], ["doc_id", "n_shingles", "point"])
+                vectors = [vector(tokens[a:b]).tobytes() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), names, pa.array(vectors, pa.binary()), batch.column(2).slice(low, high - low)], ["doc_id", "n_shingles", "point", "vector", "text_key"])
 
-    return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, point bigint")
+    return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, point bigint, vector binary, text_key bigint")
 
 
 def group_order(texts: DataFrame, width: int, groups: int) -> np.ndarray:
@@ -199,63 +218,122 @@ def nodes(prefix_rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, point bigint, centre bigint").dropDuplicates(["node", "point"])
 
 
-def groups_for(n: int) -> int:
-    """Coordinates of a set's vector: a power of two, about a quarter of its tokens."""
-    return max(64, 1 << max(0, int(np.ceil(np.log2(max(n, 1) / 4)))))
+def sets_of(texts: DataFrame, points_table: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """point, tokens (sorted) of the points that pairs name, made again from one text of each (from each row that repeats it).
 
+    The ids of those texts are broadcast while there are at most ``MOST_IDS`` of them; beyond that the packed texts are shuffled.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+    wanted = stored(points_table.select("point", "doc_id").join(named, "point"), "wanted")
 
-def vector(tokens: np.ndarray) -> np.ndarray:
-    groups = groups_for(len(tokens))
-    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    def tokens_of(point: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
+        for low, high, data, offsets in pieces(column):
+            tokens, first = token_sets(data, offsets, width)
+            right = np.flatnonzero(signed(points(first, tokens)) == point[low:high])
+            sets = [tokens[first[i] : first[i + 1]].tobytes() for i in right.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(point[low:high][right]), pa.array(sets, pa.binary())], ["point", "tokens"])
 
+    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from tokens_of(batch.column(0).to_numpy(), batch.column(1))
 
-def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
-    """Vectors (the last axis) with fewer groups: groups that agree in their lower bits are one."""
-    return vectors.reshape(*vectors.shape[:-1], -1, groups).sum(-2)
+    def from_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from tokens_of(batch.column(0).to_numpy(), flatten(unpack(batch.column(1))))
 
+    if wanted.count() <= MOST_IDS:
+        made = texts.join(F.broadcast(wanted), "doc_id").select("point", "text").mapInArrow(from_texts, "point bigint, tokens binary")
+    else:
+        made = pack(texts).join(wanted, "doc_id").select("point", "packed").mapInArrow(from_packed, "point bigint, tokens binary")
+    return made
 
-def sets_of(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """point, n, tokens (sorted), vector of the wanted points; wanted has point and the doc_id of one text that makes it."""
+
+def bounded(pairs: DataFrame, points_table: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose summed coordinate minima allow a link."""
+    p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            point = batch.column(0).to_numpy()
-            for low, high, data, offsets in pieces(flatten(unpack(batch.column(1)))):
-                tokens, first = token_sets(data, offsets, width)
-                right = np.flatnonzero(signed(points(first, tokens)) == point[low:high])
-                sets = [tokens[first[i] : first[i + 1]] for i in right.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(point[low:high][right]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([vector(s).tobytes() for s in sets], pa.binary())],
-                    ["point", "n", "tokens", "vector"],
-                )
+            kept = []
+            for i, (m, n, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
+                u, v = np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16)
+                groups = min(len(u), len(v))
+                if q * min(m, n) >= p * max(m, n) and (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= p * (m + n):
+                    kept.append(i)
+            if kept:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
-    packed = pack(texts).join(wanted, "doc_id").select("point", "packed")
-    return packed.mapInArrow(run, "point bigint, n bigint, tokens binary, vector binary").dropDuplicates(["point"])
+    left = points_table.select(F.col("point").alias("a"), F.col("n").alias("m"), F.col("vector").alias("u"))
+    right = points_table.select(F.col("point").alias("b"), F.col("n"), F.col("vector").alias("v"))
+    joined = pairs.join(left, "a").join(right, "b")
+    near = F.least("m", "n") * share[1] >= F.greatest("m", "n") * share[0]  # sizes too far apart are no candidates
+    return joined.where(near).select("a", "b", "m", "n", "u", "v").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) that link: first by the bound of their vectors, then by their sets."""
+    """The pairs (a, b) whose sets link."""
     p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             kept = []
-            for i, (x, y, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
-                least = p * ((len(x) + len(y)) // 8)  # (p + q) * common >= p * (both sizes)
-                u, v = np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16)
-                groups = min(len(u), len(v))
-                if (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= least:
-                    both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                    both.sort(kind="stable")
-                    if (p + q) * int((both[1:] == both[:-1]).sum()) >= least:
-                        kept.append(i)
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
+                both.sort(kind="stable")
+                if (p + q) * int((both[1:] == both[:-1]).sum()) >= p * len(both):
+                    kept.append(i)
             if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
 
-    left = sets.select(F.col("point").alias("a"), F.col("tokens").alias("x"), F.col("vector").alias("u"))
-    right = sets.select(F.col("point").alias("b"), F.col("tokens").alias("y"), F.col("vector").alias("v"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "u", "v").mapInArrow(run, "a bigint, b bigint")
+    left = sets.select(F.col("point").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("point").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame, share: tuple[int, int], most_tokens: int) -> DataFrame:
+    """Enough of the pairs (a, b) whose sets link to connect all that those links connect.
+
+    Points that pairs hold together form a block; each set travels to its block once, whatever the number of pairs, and pairs that are
+    connected already are passed over. Pairs of blocks with more than ``most_tokens`` tokens are verified one by one instead.
+    """
+    p, q = share
+    blocks = stored(components(pairs.sparkSession, pairs), "blocks")
+    sizes = blocks.join(points_table.select(F.col("point").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("tokens_of_block"))
+    small = blocks.join(sizes.where(F.col("tokens_of_block") <= most_tokens).select("component"), "component").select("component", "node")
+    members = sets.join(small, sets["point"] == small["node"]).select("component", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
+    inside = pairs.join(small, pairs["a"] == small["node"]).select("component", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
+
+    def work(table: pa.Table) -> pa.RecordBatch | None:
+        kind, a, b = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).combine_chunks().fill_null(0).to_numpy()
+        held = int(np.searchsorted(kind, 1))
+        tokens = {x: np.frombuffer(t, np.uint64) for x, t in zip(a[:held].tolist(), table.column(4).slice(0, held).to_pylist(), strict=True)}
+        parent = {x: x for x in tokens}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found = []
+        for x, y in zip(a[held:].tolist(), b[held:].tolist(), strict=True):
+            m, n = root(x), root(y)
+            if m != n:
+                both = np.concatenate([tokens[x], tokens[y]])
+                both.sort(kind="stable")
+                if (p + q) * int((both[1:] == both[:-1]).sum()) >= p * len(both):
+                    parent[m] = n
+                    found.append((x, y))
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from grouped(batches, 1, work)
+
+    dealt = members.unionByName(inside).repartition("component").sortWithinPartitions("component", "kind")
+    found = dealt.mapInArrow(run, "a bigint, b bigint")
+    if sizes.where(F.col("tokens_of_block") > most_tokens).isEmpty():
+        return found
+    rest = pairs.join(small, pairs["a"] == small["node"], "left_anti")
+    return found.unionByName(verified(rest, sets, share))
 
 
 class Box:
@@ -340,7 +418,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Tab
         yield made
 
 
-def apart(node_rows: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
+def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
     """Pairs of points that share a node, carry different labels and pass the bounds of the node's tree.
 
     A node with more than ``block`` points is dealt to blocks of them, and every pair of blocks has a tree of its own.
@@ -348,7 +426,7 @@ def apart(node_rows: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple
     labelled = node_rows.select("node", "point").join(labels, "point", "left").select("node", "point", F.coalesce("label", "point").alias("label"))
     mixed = labelled.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c")).where("least <> most")
     blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    rows = labelled.join(mixed.select("node", blocks.alias("blocks")), "node").join(sets.select("point", "n", "vector"), "point")
+    rows = labelled.join(mixed.select("node", blocks.alias("blocks")), "node").join(points_table.select("point", "n", "vector"), "point")
     mine = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", other).select(
@@ -371,35 +449,40 @@ def apart(node_rows: DataFrame, labels: DataFrame, sets: DataFrame, share: tuple
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096) -> DataFrame:
+def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), text_key."""
     spark = documents.sparkSession
     texts = keyed(documents)
     known = texts.where("doc_id is not null").select("doc_id", "text")
-    digest = stored(digests(texts.select("doc_id", "text"), width), "digest")
+    digest = stored(digests(texts.select("doc_id", "text", "text_key"), width), "digest")
     order = np.argsort(np.argsort(group_order(known, width, groups), kind="stable")).astype(np.int32)
     node_rows = stored(nodes(prefixes(known, width, share, spark.sparkContext.broadcast(order))), "nodes")
-    makers = digest.where("doc_id is not null and point is not null").groupBy("point").agg(F.min("doc_id").alias("doc_id"))
-    wanted = makers.join(node_rows.select("point").distinct(), "point")
-    sets = stored(sets_of(texts.where("doc_id is not null"), wanted, width), "sets")
-    first_pairs = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
-    links = stored(verified(first_pairs, sets, share), "links")
+    made = digest.where("doc_id is not null and point is not null")
+    points_table = made.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("vector").alias("vector"))
+    points_table = stored(points_table.join(node_rows.select("point").distinct(), "point"), "points")
+    own = texts.where("doc_id is not null").select("doc_id", "text_key", "text")
+
+    def linked_of(pairs: DataFrame) -> DataFrame:
+        return stored(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens), "links")
+
+    centres = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
+    links = linked_of(stored(bounded(centres, points_table, share), "pairs"))
     labels = stored(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
-    more = stored(verified(apart(node_rows, labels, sets, share, block), sets, share), "links")
+    more = linked_of(stored(apart(node_rows, labels, points_table, share, block), "pairs"))
     linked = components(spark, links.unionByName(more)).withColumnRenamed("node", "point").withColumnRenamed("component", "root")
     rooted = digest.join(linked, "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = rooted.where("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast("bigint").alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")).cast("bigint").alias("component_id"), "text_key",
     )
 
 
 def one_of_each_group(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """The documents with the least doc_id of their component, each text once; rows without a doc_id stay. All columns as they were."""
-    chosen = similarity_classes(documents, width, share).where("doc_id = component_id").select(F.col("doc_id").alias("chosen id")).distinct()
-    rows = documents.withColumn("chosen key", F.col("doc_id").cast("bigint")).withColumn("chosen text", text_key())
-    once = rows.join(chosen, F.col("chosen key") == F.col("chosen id"), "left_semi")
-    once = once.withColumn("chosen rank", F.row_number().over(Window.partitionBy("chosen key", "chosen text").orderBy(F.lit(0)))).where(F.col("chosen rank") == 1)
+    chosen = similarity_classes(documents, width, share).where("doc_id = component_id").select(F.col("doc_id").alias("chosen id"), F.col("text_key").alias("chosen text")).distinct()
+    rows = documents.withColumn("chosen key", F.col("doc_id").cast("bigint")).withColumn("own text", text_key())
+    once = rows.join(chosen, (F.col("chosen key") == F.col("chosen id")) & (F.col("own text") == F.col("chosen text")), "left_semi")
+    once = once.withColumn("chosen rank", F.row_number().over(Window.partitionBy("chosen key", "own text").orderBy(F.lit(0)))).where(F.col("chosen rank") == 1)
     names = [F.col(f"`{c}`") for c in documents.columns]
     return once.select(*names).unionByName(documents.where(F.col("doc_id").isNull()).select(*names))
 
