@@ -289,6 +289,29 @@ def test_license_notices(spark, odd, empty):
     assert license_scan.scan(odd[1]).count() == len(odd[0]) and license_scan.scan(empty).count() == 0
 
 
+def test_each_license_under_its_own_name():
+    model = license_scan.prepared(license_scan.TEMPLATES)
+
+    def names(text):
+        words, first = license_scan._words(*license_scan.text_rows(license_scan.pa.array([text], license_scan.pa.large_string())))
+        return [model["names"][t] for _, t, *_ in license_scan.notices(words, first, model, license_scan.COVERAGE)]
+
+    lines = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0", "All rights reserved.": "rights reserved", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY 3.0": "cc-by-3.0",
+        "Licensed under the GNU General Public License, version 2 or later": "gpl-2.0 terms", "Released under the ISC License": "isc",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause tag",
+    }
+    for line, name in lines.items():
+        assert names(f"Some prose before it.\n{line}\nAnd some after it.") == [name]
+    for name, template in license_scan.TEMPLATES.items():
+        assert names(f"Some prose before it. {template.text} And some after it.") == [name]
+    assert names("Licensed under CC BY 2.7") == [] and names("all the words that one reserved") == []
+    assert sorted(names("Licensed under CC BY 4.0 and Apache License, Version 2.0")) == ["apache-2.0", "cc-by-4.0"]
+    whole = license_scan.TEMPLATES["lgpl-2.1 text"].text
+    assert names(whole + " and " + whole.replace("any", "some")) == ["lgpl-2.1 text"] * 2
+
+
 def test_patience_pairs():
     rng = random.Random(4)
     for _ in range(200):

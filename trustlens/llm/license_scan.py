@@ -4,9 +4,15 @@ Words (lower-cased runs of digits, letters and non-ASCII characters) that are un
 anchors; the longest run of anchors that rises in both is kept, and the gaps between them are aligned in the same way, after equal
 words at both ends of a gap have been paired. Coverage is the share of the template's words that are paired.
 
-A text is looked at in stretches of a template's length and half as much again. A stretch is aligned only if enough of its words are
+A notice counts only if the words that tell its license from others (name, version, NC, SA) are paired as well, and if none that would
+make it another license stands within it. Of notices that share these words, the one with the most words paired less those missed is kept, so a header
+within a whole text, or version 2.0 of a license that reads nearly like 2.1, is not found besides.
+
+For short templates a text is looked at in stretches of a template's length and half as much again. A stretch is aligned only if enough of its words are
 words of the template at all, which bounds the coverage from above; of stretches that overlap, those with the highest
-bound come first. So each copy of a notice is found by itself, however long the text is or how often the notice is repeated.
+bound come first. So each copy of a notice is found by itself, however long the text is or how often the notice is repeated. Where a template has
+required words, only stretches around its rarest one are looked at. Templates of more than ``LONG`` words are aligned where three-word runs
+that are unique to them suggest a copy, in texts that hold enough of their words; a copy without any such run isn't found.
 
 Results for odd input: a null, empty or wordless text has no notice; rows that repeat a doc_id are scanned each; templates without words
 are left out; other columns are ignored. Of notices with equal coverage the one whose template is longer, then whose name comes first, is the best.
@@ -23,33 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trustlens.llm.flat import ALNUM_WORDS, LOWER, pieces, text_rows, word_hashes, word_spans
+from trustlens.llm.license_texts import Template
+from trustlens.llm.license_texts import templates as license_templates
 from trustlens.llm.packed import keyed
 
 COVERAGE = 0.8
 
-#: Short notices and the opening sentences of common licenses.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0 header": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
-    ),
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "Licensed under CC BY 4.0",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "gpl header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
-    ),
-    "mit": "Released under the MIT License",
-    "mit header": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction"
-    ),
-    "rights reserved": "Copyright all rights reserved",
-}
+LONG = 64
+
+TEMPLATES = license_templates()
 
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,50 +88,166 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def prepared(templates: dict[str, str]) -> dict:
+def _runs(places: np.ndarray, base: int) -> np.ndarray:
+    """A number for the three words from each place on; -1 where one of them is in no template."""
+    a, b, c = places[:-2], places[1:-1], places[2:]
+    return np.where((a < base) & (b < base) & (c < base), (a * base + b) * base + c, -1)
+
+
+def prepared(templates: dict[str, str | Template]) -> dict:
     names = sorted(templates)
-    words, first = _words(*text_rows(pa.array([templates[n] for n in names], pa.large_string())))
+    table = [t if isinstance(t, Template) else Template(t) for t in (templates[n] for n in names)]
+    words, first = _words(*text_rows(pa.array([x for t in table for x in t], pa.large_string())))
     vocabulary = np.unique(words)
-    rows = [words[first[i] : first[i + 1]] for i in range(len(names))]
+    places = np.searchsorted(vocabulary, words)
     member = np.zeros((len(names), len(vocabulary) + 1), bool)
-    for i, row in enumerate(rows):
-        member[i, np.searchsorted(vocabulary, row)] = True
-    return {"names": names, "rows": rows, "vocabulary": vocabulary, "member": member}
+    model = {"names": names, "vocabulary": vocabulary, "member": member, "rows": [], "places": [], "required": [], "needed": [], "without": [], "runs": [], "counts": []}
+    for i in range(len(names)):
+        text, required, without = (slice(first[3 * i + k], first[3 * i + k + 1]) for k in range(3))
+        row, asked = places[text], places[required].tolist()
+        member[i, row] = True
+        at: list[int] = []  # of a word asked for n times the first n places
+        for w in asked:
+            at += [int(x) for x in np.flatnonzero(row == w) if x not in at][:1]
+        if len(at) != len(asked):
+            raise ValueError(f"{names[i]}: a required word is not in the template")
+        runs, begin, times = np.unique(_runs(row, len(vocabulary)), return_index=True, return_counts=True)
+        model["rows"].append(words[text])
+        model["places"].append(row)
+        model["required"].append(frozenset(at))
+        model["needed"].append(sorted(set(asked)))
+        model["without"].append(places[without])
+        model["runs"].append((runs[times == 1], begin[times == 1]))
+        model["counts"].append(np.unique(row, return_counts=True))
+    every = [r for (r, _), row in zip(model["runs"], model["rows"], strict=True) if len(row) > LONG]
+    model["any run"] = np.unique(np.concatenate(every)) if every else np.zeros(0, np.int64)
+    return model
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted table, -1 for none."""
+    if not len(table):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
+
+
+def _accepted(known: np.ndarray, model: dict, t: int, low: int, high: int, least: int) -> list[tuple[int, int]] | None:
+    """Pairs of the template with the stretch, counted from low, if they make a notice."""
+    pairs = patience(known[low:high].tolist(), model["places"][t].tolist())
+    if len(pairs) < least or not model["required"][t] <= {j for _, j in pairs}:
+        return None
+    return None if np.isin(model["without"][t], known[low + pairs[0][0] : low + pairs[-1][0] + 1]).any() else pairs
+
+
+def _short(known: np.ndarray, model: dict, t: int, low: int, high: int, ends: np.ndarray | int, least: int) -> Iterator[tuple[int, list]]:
+    """(begin, pairs) of the notices that begin within low .. high; ends says where each one's row ends."""
+    n = len(model["places"][t])
+    total = np.concatenate([[0], np.cumsum(model["member"][t][known[low:high]])])
+    stop = np.minimum(np.arange(low, high) + n + max(4, n // 2), ends) - low
+    bound = total[stop] - total[:-1]
+    candidates = np.flatnonzero((bound >= least) & (total[1:] > total[:-1]))  # a stretch begins with a word of the template
+    taken = np.zeros(high - low, bool)
+    for i in candidates[np.argsort(-bound[candidates], kind="stable")].tolist():
+        if taken[i : stop[i]].any():
+            continue
+        pairs = _accepted(known, model, t, low + i, low + int(stop[i]), least)
+        if pairs:
+            taken[i + pairs[0][0] : i + pairs[-1][0] + 1] = True
+            yield low + i, pairs
+
+
+def _around(spots: list[np.ndarray], reach: int, first: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of rows around the rarest word, where each other required word is within reach of it."""
+    spots = sorted(spots, key=len)
+    key = spots[0]
+    for other in spots[1:]:
+        at = np.searchsorted(other, key - reach)
+        key = key[(at < len(other)) & (other[np.minimum(at, len(other) - 1)] <= key + reach)] if len(other) else key[:0]
+    if not len(key):
+        return
+    row = np.searchsorted(first, key, "right") - 1
+    cuts = np.flatnonzero((np.diff(key) > 2 * reach) | (np.diff(row) > 0)) + 1
+    for group in np.split(np.arange(len(key)), cuts):
+        r = row[group[0]]
+        yield max(int(first[r]), int(key[group[0]]) - reach), min(int(first[r + 1]), int(key[group[-1]]) + reach + 1)
+
+
+def _long(known: np.ndarray, model: dict, t: int, low: int, high: int, at: np.ndarray, run: np.ndarray, least: int) -> Iterator[tuple[int, list]]:
+    """(begin, pairs) of the copies of a long template in the row low .. high, where the words at the places ``at`` begin its runs ``run``."""
+    n = len(model["places"][t])
+    if high - low < least:
+        return
+    words, times = model["counts"][t]
+    if np.minimum(np.bincount(known[low:high], minlength=len(model["vocabulary"]) + 1)[words], times).sum() < least:
+        return
+    begins, width, taken = at - model["runs"][t][1][run], max(4, n // 4), []
+    bins, inside, hits = np.unique(begins // width, return_inverse=True, return_counts=True)
+    for k in np.argsort(-hits, kind="stable").tolist():
+        begin = int(np.median(begins[inside == k]))
+        middle = begin + n // 2
+        if any(a <= middle < b for a, b in taken):
+            continue
+        a = max([low, begin - width // 2, *(y for _, y in taken if y <= middle)])
+        b = min([high, begin + n + width, *(x for x, _ in taken if x > middle)])
+        pairs = _accepted(known, model, t, a, b, least) if b - a >= least else None
+        if pairs:
+            taken.append((a + pairs[0][0], a + pairs[-1][0] + 1))
+            yield a, pairs
 
 
 def notices(words: np.ndarray, first: np.ndarray, model: dict, coverage: float) -> list[tuple[int, int, int, int, float]]:
     """(row, template, begin, end, coverage) of the notices of a piece; those of one template do not overlap."""
     vocabulary, found = model["vocabulary"], []
     if not len(words) or not len(vocabulary):
-        return found
-    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-    known = np.where(vocabulary[at] == words, at, len(vocabulary))
+        return []
+    known = _among(words, vocabulary)
+    known[known < 0] = len(vocabulary)
     if not (known < len(vocabulary)).any():
-        return found
+        return []
+    order = np.argsort(known.astype(np.uint16 if len(vocabulary) < 1 << 16 else np.int64), kind="stable")
+    spots = np.searchsorted(known[order], np.arange(len(vocabulary) + 1))
+    runs = _runs(known, len(vocabulary)) if len(known) > 2 else np.zeros(0, np.int64)
+    begun = np.flatnonzero(_among(runs, model["any run"]) >= 0)
+    begun_rows = np.searchsorted(first, begun, "right") - 1
     ends = np.repeat(first[1:], np.diff(first))
-    for t, row in enumerate(model["rows"]):
+    for t, row in enumerate(model["places"]):
         if not len(row):
             continue
-        total = np.concatenate([[0], np.cumsum(model["member"][t][known])])
-        stretch = len(row) + max(4, len(row) // 2)
-        stop = np.minimum(np.arange(len(words)) + stretch, ends)
-        bound = total[stop] - total[:-1]
         least = int(np.ceil(coverage * len(row)))
-        candidates = np.flatnonzero((bound >= least) & (total[1:] > total[:-1]))  # a stretch begins with a word of the template
-        taken = np.zeros(len(words), bool)
-        template = row.tolist()
-        for i in candidates[np.argsort(-bound[candidates], kind="stable")].tolist():
-            if taken[i : stop[i]].any():
-                continue
-            pairs = patience(words[i : stop[i]].tolist(), template)
-            if len(pairs) >= least:
-                begin, end = i + pairs[0][0], i + pairs[-1][0] + 1
-                taken[begin:end] = True
-                found.append((int(np.searchsorted(first, i, "right") - 1), t, begin, end, len(pairs) / len(row)))
-    return found
-
-
-def scan(documents: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
+        needed = [order[spots[w] : spots[w + 1]] for w in model["needed"][t]]
+        if any(not len(x) for x in needed):
+            continue
+        if len(row) > LONG:
+            run = _among(runs[begun], model["runs"][t][0])
+            mine = np.flatnonzero(run >= 0)
+            for group in np.split(mine, np.flatnonzero(np.diff(begun_rows[mine])) + 1) if len(mine) else ():
+                r = begun_rows[group[0]]
+                found += [(t, a, pairs) for a, pairs in _long(known, model, t, int(first[r]), int(first[r + 1]), begun[group], run[group], least)]
+        elif needed:
+            for low, high in _around(needed, len(row) + max(4, len(row) // 2) - 1, first):
+                found += [(t, a, pairs) for a, pairs in _short(known, model, t, low, high, high, least)]
+        else:
+            found += [(t, a, pairs) for a, pairs in _short(known, model, t, 0, len(known), ends, least)]
+    return _without_parts(found, first, model)
+
+
+def _without_parts(found: list[tuple[int, int, list]], first: np.ndarray, model: dict) -> list[tuple[int, int, int, int, float]]:
+    """The notices that are not part of a better one: most words paired less those missed; then the name that comes first."""
+    out, owner = [], {}
+    for t, low, pairs in sorted(found, key=lambda f: (len(model["places"][f[0]]) - 2 * len(f[2]), f[0], f[1])):
+        required = model["required"][t]
+        telling = [low + i for i, j in pairs if j in required] if required else [low + i for i, _ in pairs]
+        shares = Counter(x for place in telling for x in owner.get(place, ()) if out[x][1] != t)
+        if any(n == len(telling) if required else 2 * n > len(telling) for n in shares.values()):
+            continue
+        for i, _ in pairs:
+            owner.setdefault(low + i, []).append(len(out))
+        out.append((int(np.searchsorted(first, low, "right") - 1), t, low + pairs[0][0], low + pairs[-1][0] + 1, len(pairs) / len(model["places"][t])))
+    return out
+
+
+def scan(documents: DataFrame, templates: dict[str, str | Template] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words, n_notices, license, coverage, first_word, end_word (of the best notice), licenses (all, sorted)."""
     model = prepared(TEMPLATES if templates is None else templates)
 
