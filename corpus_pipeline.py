@@ -12,7 +12,7 @@ from trustlens.llm.decontamination import decontaminate
 from trustlens.llm.jaccard_join import one_of_each_group
 from trustlens.llm.quality_rules import keep_good
 from trustlens.llm.source_mixing import mix_sources
-from trustlens.llm.training_order import training_order
+from trustlens.llm.training_order import sharded_order
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records in training order."""
-    return training_order(docs)
+    """Token records in training order, written as shards."""
+    return sharded_order(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("mixing", mixing), ("records", records)]

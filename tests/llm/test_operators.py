@@ -351,6 +351,22 @@ def test_training_records(odd, empty, tmp_path):
     assert training_order.training_order(empty).count() == 0
 
 
+def test_training_shards_are_written(spark, odd, empty, tmp_path):
+    """The registered query and the last stage return rows whose records stand at their places in files."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    for out in (training_order.op10_training_order(spark, folder), corpus_pipeline.records(spark, documents, folder), training_order.sharded_order(odd[1], f"file://{tmp_path}/s", length=64, per_shard=50)):
+        rows = out.collect()
+        files = {p: open(p, "rb").read() for p in {r["path"] for r in rows}}
+        assert rows and all(files[r["path"]][r["offset"] :][: len(r["record"])] == r["record"] for r in rows)
+        assert sum(map(len, files.values())) == sum(len(r["record"]) for r in rows) and len(files) == 1 + max(r["shard"] for r in rows)
+    plain = training_order.training_order(odd[1], length=64, per_shard=50).collect()
+    assert {tuple(r) for r in plain} == {tuple(r)[:-1] for r in rows}
+    assert training_order.sharded_order(empty).count() == 0
+
+
 def test_pipeline_stages(spark, odd):
     """Each stage keeps the columns and decides as its operator says; the last gives a record of every document that is left."""
     import corpus_pipeline

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from trustlens.session import scratch_dir
 
 
-def stored(frame: DataFrame, purpose: str) -> DataFrame:
+def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there and lost executors cost nothing."""
     path = scratch_dir(frame.sparkSession, f"{purpose}-{uuid.uuid4().hex[:8]}")
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

@@ -8,7 +8,9 @@
 3. A keyed Feistel permutation over a * b >= N numbers, walked along its cycle until it lands below N, gives each number its own slot
    in 0 .. N - 1: a random order without a sort, computed for each row alone.
 4. Shard k holds the slots from k * per_shard on, in order. Each record has the same stride, so the place of any slot is known: a run that
-   stopped after slot s goes on at shard s // per_shard, byte (s % per_shard) * stride.
+   stopped after slot s goes on at shard s // per_shard, byte (s % per_shard) * stride. The shards are written as raw files below the shared folder,
+   in ``PASSES`` passes of a range of shards each, so that the disk holds the exchange of one pass only;
+   the tasks that write them keep an index of the rows, and the records that are returned are read from the files.
 
 Results for odd input: a null or empty text is one sequence that holds the end id only; rows that repeat a doc_id or have none give
 sequences of their own; a very long text gives as many sequences as it needs; an empty table gives no rows; other columns are
@@ -24,12 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlens.llm.components import stored
+from trustlens.session import scratch_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256
@@ -40,6 +44,9 @@ PER_SHARD = 1 << 15
 KEY = 20240131
 ROUNDS = 6
 ROWS_AT_ONCE = 4096
+PASSES = 3
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+INDEX = ["slot", "shard", "offset", "doc_id", "part", "n_tokens"]
 MASK = (1 << 64) - 1
 
 
@@ -129,20 +136,52 @@ def numbered(records: DataFrame) -> tuple[DataFrame, int]:
     return records.join(F.broadcast(table), "task").withColumn("number", F.col("start") + F.col("row")).drop("start"), total
 
 
-def training_order(documents: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end: int = END, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, offset, doc_id, part, n_tokens, record; partition k holds shard k in the order of its slots."""
-    rows, total = numbered(stored(token_records(documents, vocabulary, length, end), "records"))
+def placed(documents: DataFrame, vocabulary: str, length: int, end: int, per_shard: int, key: int) -> tuple[DataFrame, int]:
+    """slot, shard, offset, doc_id, part, n_tokens, record in no order, and how many there are."""
+    rows, total = numbered(stored(token_records(documents, vocabulary, length, end), "records", compression="zstd"))
 
     @F.pandas_udf("bigint")
     def slot(numbers: pd.Series) -> pd.Series:
         return pd.Series(feistel(numbers.to_numpy(), total, key))
 
-    placed = rows.select(slot("number").alias("slot"), "doc_id", "part", "n_tokens", "record")
     shard = F.floor(F.col("slot") / F.lit(per_shard)).cast("int")
-    placed = placed.select(
-        "slot", shard.alias("shard"), ((F.col("slot") % F.lit(per_shard)) * F.octet_length("record")).alias("offset"), "doc_id", "part", "n_tokens", "record"
-    )
-    return placed.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("slot")
+    slots = rows.select(slot("number").alias("slot"), "doc_id", "part", "n_tokens", "record")
+    return slots.select("slot", shard.alias("shard"), ((F.col("slot") % F.lit(per_shard)) * F.octet_length("record")).alias("offset"), "doc_id", "part", "n_tokens", "record"), total
+
+
+def training_order(documents: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end: int = END, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """slot, shard, offset, doc_id, part, n_tokens, record; partition k holds shard k in the order of its slots."""
+    rows, total = placed(documents, vocabulary, length, end, per_shard, key)
+    return rows.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).sortWithinPartitions("slot")
+
+
+def _written(batches: Iterator[pa.RecordBatch], uri: str, made: list[list]) -> Iterator[pa.RecordBatch]:
+    """The batches, each after its records have gone to their shards; ``made`` gets shard, path, first slot, records and bytes of each shard."""
+    system, root = pyarrow.fs.FileSystem.from_uri(uri)
+    system.create_dir(root, recursive=True)
+    file, shard, attempt = None, None, TaskContext.get().taskAttemptId()
+
+    def close() -> None:
+        file.close()
+        system.move(f"{root}/.{shard:06d}.{attempt}", made[-1][1])
+
+    for batch in batches:
+        shards, slots = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+        for at in np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist() if len(shards) else ():
+            if shard != shards[at]:
+                if file:
+                    close()
+                shard = int(shards[at])
+                file = system.open_output_stream(f"{root}/.{shard:06d}.{attempt}")
+                made.append([shard, f"{root}/{shard:06d}.bin", int(slots[at]), 0, 0])
+            records = batch.column(6).filter(pa.array(shards == shard)).to_pylist()
+            data = b"".join(records)
+            file.write(data)
+            made[-1][3] += len(records)
+            made[-1][4] += len(data)
+        yield batch
+    if file:
+        close()
 
 
 def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
@@ -152,35 +191,65 @@ def write_shards(ordered: DataFrame, uri: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = pyarrow.fs.FileSystem.from_uri(uri)
-        system.create_dir(root, recursive=True)
-        file, made, shard, attempt = None, [], None, TaskContext.get().taskAttemptId()
-
-        def close() -> None:
-            file.close()
-            system.move(f"{root}/.{shard:06d}.{attempt}", made[-1][1])
-
-        for batch in batches:
-            shards, slots = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            for at in np.flatnonzero(np.append(True, shards[1:] != shards[:-1])).tolist() if len(shards) else ():
-                if shard != shards[at]:
-                    if file:
-                        close()
-                    shard = int(shards[at])
-                    file = system.open_output_stream(f"{root}/.{shard:06d}.{attempt}")
-                    made.append([shard, f"{root}/{shard:06d}.bin", int(slots[at]), 0, 0])
-                for record in batch.column(6).filter(pa.array(shards == shard)).to_pylist():
-                    file.write(record)
-                    made[-1][3] += 1
-                    made[-1][4] += len(record)
-        if file:
-            close()
+        made: list[list] = []
+        for _ in _written(batches, uri, made):
+            pass
         if made:
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "first_slot", "records", "bytes"])
 
     return ordered.mapInArrow(run, "shard int, path string, first_slot bigint, records bigint, bytes bigint")
 
 
+def shared_uri(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the shared one as a URI that Spark and Arrow read alike, whatever Spark's default file system is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, purpose))
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def sharded_order(
+    documents: DataFrame, uri: str | None = None, vocabulary: str = VOCABULARY, length: int = LENGTH, end: int = END, per_shard: int = PER_SHARD, key: int = KEY
+) -> DataFrame:
+    """slot, shard, offset, doc_id, part, n_tokens, record, path of all records, once their shards are written below uri (else the shared folder)."""
+    uri = shared_uri(documents.sparkSession, "shards") if uri is None else uri
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _written(batches, uri, []):
+            stride = pc.cast(pc.binary_length(batch.column(6)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], stride], [*INDEX, "stride"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = pyarrow.fs.FileSystem.from_uri(uri)
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(low, ROWS_AT_ONCE)
+                shards, offsets, strides = (batch.column(i).to_numpy() for i in (1, 2, 6))
+                follows = (shards[1:] == shards[:-1]) & (offsets[1:] == offsets[:-1] + strides[:-1])  # read by one call
+                records: list[bytes] = []
+                for rows in np.split(np.arange(len(shards)), np.flatnonzero(~follows) + 1):
+                    with system.open_input_file(f"{root}/{shards[rows[0]]:06d}.bin") as file:
+                        data = file.read_at(int(strides[rows].sum()), int(offsets[rows[0]]))
+                    records += [data[b : b + n] for b, n in zip((offsets[rows] - offsets[rows[0]]).tolist(), strides[rows].tolist(), strict=True)]
+                paths = [f"{root}/{s:06d}.bin" for s in shards.tolist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(records, pa.binary()), pa.array(paths, pa.string())], [*INDEX, "record", "path"])
+
+    kinds = "slot bigint, shard int, offset bigint, doc_id bigint, part int, n_tokens int"
+    rows, total = placed(documents, vocabulary, length, end, per_shard, key)
+    shards, index, spark = max(1, -(-total // per_shard)), scratch_dir(documents.sparkSession, "index"), documents.sparkSession
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        step = -(-shards // PASSES)
+        for low in range(0, shards, step):
+            count = min(step, shards - low)
+            some = rows if count == shards else rows.where(F.col("shard").between(low, low + count - 1))
+            some = some.repartitionById(count, F.col("shard") - F.lit(low)).sortWithinPartitions("slot")
+            some.mapInArrow(write, f"{kinds}, stride int").write.mode("append").parquet(index)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(f"{kinds}, stride int").parquet(index).mapInArrow(read, f"{kinds}, record binary, path string")
+
+
 def read_slots(uri: str, start: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2") -> np.ndarray:
     """``count`` records from slot ``start`` on, read one shard after another by their places alone."""
     system, root = pyarrow.fs.FileSystem.from_uri(uri)
@@ -198,4 +267,4 @@ def read_slots(uri: str, start: int, count: int, length: int = LENGTH, per_shard
 
 
 def op10_training_order(spark: SparkSession, folder: str) -> DataFrame:
-    return training_order(spark.read.parquet(f"{folder}/documents.parquet"))
+    return sharded_order(spark.read.parquet(f"{folder}/documents.parquet"))
