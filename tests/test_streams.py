@@ -54,3 +54,22 @@ def test_usage_over_batches(spark, rows):
     by_day = S.usage_by_day(S.stream_usage(stream, scratch_dir(spark, "t-usage")))
     got = {str(r["day"]): (r["events"], r["users"], r["avg_duration_ms"], r["opens"], r["browse"], r["detail"]) for r in by_day.collect()}
     assert got == {"2024-01-01": (4, 1, 25.0, 1, 0, 0), "2024-01-02": (1, 1, 5.0, 0, 0, 1)}
+
+
+def test_usage_late_days_equal_the_batch(spark, rows):
+    """Days out of order over several files, and a repeated batch: the sums are those of all rows at once."""
+    schema = "event_id long, ts timestamp, event_type string, user_id long, duration_ms long"
+    days = [(9, 1), (2, 1), (9, 2), (1, None), (5, 3), (2, 2)]
+    frames = [
+        rows([(10 * k + i, datetime(2024, 1, day, i), kind, user, None if i == 2 else 10 * k + i) for i, kind in enumerate(["app_open", "channel_view", "channel_detail"])], schema)
+        for k, (day, user) in enumerate(days)
+    ]
+    stream, path = source(spark, frames, "t-usage-late-in")
+    home = scratch_dir(spark, "t-usage-late")
+    S.stream_usage(stream, home)
+    rows([(100, datetime(2023, 12, 1), "app_open", 7, 5), (101, None, "app_open", 7, 5)], schema).coalesce(1).write.mode("append").parquet(path)
+    counts = S.stream_usage(stream, home)
+    everything = S.usage_counts(spark.read.schema(schema).parquet(path))
+    listed = lambda frame: sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+    assert listed(counts) == listed(everything) and counts.agg(F.sum("events")).first()[0] == 20
+    assert listed(S.usage_by_day(counts)) == listed(S.usage_by_day(everything))
