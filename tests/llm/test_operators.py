@@ -235,6 +235,22 @@ def test_language_of_odd_texts(odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(odd[1].withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_fitted(spark):
+    """More languages than a block, the same long opening in all texts, one key on very many rows."""
+    rng = random.Random(3)
+    opening = "the same opening of all texts " * 120
+    data = []
+    for lang in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(30)]
+        data += [(10 * lang + k, opening + " ".join(rng.choice(words) for _ in range(700)), f"l{lang:02}") for k in range(3)]
+    frame = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(8)
+    found = language_id.identify(frame, F.col("doc_id") % 10 < 2, F.col("doc_id") % 10 == 2, 2000).where("held_out").collect()
+    assert len(found) == 70 and all(r["lang_pred"] == f"l{r['doc_id'] // 10:02}" for r in found)
+    hot = spark.createDataFrame([(1, "Abc abc", "a")] * 500 + [(1, "other", "a"), (2, "Xyz", "b")], "doc_id long, text string, lang string")
+    sampled = language_id.samples(hot, F.lit(True), 2000, 64)
+    assert sorted(sampled["a"].split(b"\n")) == [b"", b"abc abc", b"other"] and sampled["b"] == b"xyz\n"
+
+
 @pytest.mark.parametrize("folder", ["/root/testdata/sf0.01"])
 def test_held_out_accuracy(spark, folder):
     documents = spark.read.parquet(f"{folder}/documents.parquet")

@@ -5,9 +5,10 @@ pieces that occur in that sample. The fewer pieces it takes, the closer the text
 pieces per byte wins. Samples have one size, so counts compare without further norming; a language with less
 labelled text gets a smaller sample and its counts are scaled by log(bytes) as the length of a match grows with it.
 
-The fit reads a bounded number of labelled texts per language (``sample_texts``, those whose hashed id is least). Its automata
-are dense tables over the byte classes of the samples and are broadcast; at most ``most_languages`` languages, those with
-the most text, are fitted, which bounds them. Texts are parsed whole, in strips of ``STRIP`` bytes that advance together.
+The fit reads a bounded number of distinct labelled texts per language (``sample_texts``, those whose hash is least), and of each of them
+``SPANS`` spans spread over the whole text; the samples (``sample_bytes`` a language) are gathered on the driver. Every language is fitted.
+Automata are dense tables over the byte classes of the samples, broadcast in blocks of ``BLOCK`` languages; a text meets one block after
+another, and its two least costs are kept. Texts are parsed whole, in strips of ``STRIP`` bytes that advance together.
 
 Results for odd input: a null text or one without a letter is ``und`` with score 0, and so is every text if nothing is labelled; a
 null label is not learned; repeated rows are predicted alike; other columns are ignored.
@@ -27,7 +28,8 @@ from trustlens.llm.flat import LOWER, pieces
 
 SAMPLE_BYTES = 24_000
 SAMPLE_TEXTS = 64
-MOST_LANGUAGES = 64
+SPANS = 8
+BLOCK = 8
 STRIP = 256
 AT_ONCE = 4 << 20
 FAIL = np.int32(-(1 << 31))  # mark of a step that begins a new piece
@@ -76,28 +78,31 @@ def parse_table(text: bytes, kinds: np.ndarray, width: int) -> np.ndarray:
     return table.astype(np.int64).astype(np.int32).ravel()
 
 
-def samples(documents: DataFrame, learn, sample_bytes: int, sample_texts: int, most_languages: int) -> dict[str, bytes]:
-    """Joined texts of each language, lower-cased, each at most sample_bytes long."""
-    labelled = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.octet_length("text").alias("bytes")).where(
-        learn & F.col("lang").isNotNull() & (F.col("bytes") > 0)
+def samples(documents: DataFrame, learn, sample_bytes: int, sample_texts: int) -> dict[str, bytes]:
+    """Joined spans of the texts of each language, lower-cased, at most sample_bytes a language."""
+    labelled = documents.where(learn & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("key")
     )
-    largest = [r[0] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()]
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.where(F.col("lang").isin(largest)).withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_texts)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]  # at most sample_texts * most_languages
-    share = -(-sample_bytes // 8)  # no text is more than an eighth of a sample, so that one odd text does not make it
+    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key")
+    distinct = labelled.select("lang", "doc_id", "key").distinct()
+    chosen = distinct.withColumn("r", F.row_number().over(by)).where(F.col("r") <= sample_texts).select(*(F.col(c).alias(f"chosen {c}") for c in ("lang", "doc_id", "key")))
+    same = [F.col(c).eqNullSafe(F.col(f"chosen {c}")) for c in ("lang", "doc_id", "key")]
+    span = max(1, -(-sample_bytes // (8 * SPANS)))  # no text is more than an eighth of a sample, so that one odd text does not make it
+    size = F.length("text")
+    starts = [F.when(size <= SPANS * span, F.lit(i * span)).otherwise(F.floor((size - span) * i / (SPANS - 1))).cast("int") for i in range(SPANS)]
+    spans = F.filter(F.array(*(F.col("text").substr(x + 1, F.lit(span)) for x in starts)), lambda x: F.length(x) > 0)
     rows = (
-        documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring("text", 1, share).alias("text"))
-        .where(F.col("doc_id").isin(ids) & learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .limit(16 * sample_texts * most_languages)
-        .collect()
+        labelled.join(F.broadcast(chosen), same[0] & same[1] & same[2], "left_semi").select("lang", "doc_id", "key", spans.alias("spans"))
+        .groupBy("lang", "doc_id", "key").agg(F.min("spans").alias("spans")).collect()  # at most sample_texts a language
     )
+    texts: dict[str, list[list[str]]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["key"], r["doc_id"] is None, r["doc_id"] or 0)):
+        texts.setdefault(r["lang"], []).append(r["spans"])
     joined: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        have = joined.get(r["lang"], b"")
-        if len(have) < sample_bytes:
-            text = LOWER[np.frombuffer(r["text"].encode(), np.uint8)].tobytes()
-            joined[r["lang"]] = (have + text + b"\n")[:sample_bytes]
+    for lang, every in texts.items():
+        # one span of each text before a second one of any, each text's first taken from another place
+        taken = [own[(turn + k) % len(own)] for turn in range(SPANS) for k, own in enumerate(every) if turn < len(own)]
+        joined[lang] = LOWER[np.frombuffer("".join(f"{x}\n" for x in taken).encode(), np.uint8)].tobytes()[:sample_bytes]
     return joined
 
 
@@ -137,27 +142,36 @@ def pieces_per_row(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, tab
     return out
 
 
-def identify(documents: DataFrame, learn=None, held_out=None, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+def identify(documents: DataFrame, learn=None, held_out=None, sample_bytes: int = SAMPLE_BYTES, sample_texts: int = SAMPLE_TEXTS, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, lang_pred, score (how far the second language lies behind: 0 for a tie). ``learn`` says which rows may be learned from."""
     learn = F.lit(True) if learn is None else learn
     held_out = F.lit(False) if held_out is None else held_out
-    model = documents.sparkSession.sparkContext.broadcast(models(samples(documents, learn, sample_bytes, sample_texts, most_languages)))
+    sampled = samples(documents, learn, sample_bytes, sample_texts)
+    every = sorted(sampled)
+    fits = [documents.sparkSession.sparkContext.broadcast(models({n: sampled[n] for n in every[i : i + block]})) for i in range(0, len(every), block)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = model.value
-        names, norm = np.array([*fitted["names"], "und"]), np.array(fitted["norm"])
+        names = np.array([*every, "und"])
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column(3), AT_ONCE):
                 rows = batch.slice(low, high - low)
                 lettered = rows.column(2).to_numpy(zero_copy_only=False)
-                best, score = np.full(high - low, len(names) - 1), np.zeros(high - low)
-                if len(norm):
-                    cost = pieces_per_row(data, offsets, fitted["kinds"], fitted["tables"]) * norm[:, None]
+                best, least, second = np.full(high - low, len(every)), np.full(high - low, np.inf), np.full(high - low, np.inf)
+                for k, fit in enumerate(fits):
+                    fitted = fit.value
+                    cost = pieces_per_row(data, offsets, fitted["kinds"], fitted["tables"]) * np.array(fitted["norm"])[:, None]
                     first = np.argmin(cost, 0)
-                    least = cost[first, np.arange(high - low)]
-                    second = np.partition(cost, 1, 0)[1] if len(norm) > 1 else np.full(high - low, np.inf)
-                    best = np.where(lettered, first, best)
-                    score = np.where(lettered & (second > 0), 1 - least / np.maximum(second, 1e-9), 0.0)
+                    own = cost[first, np.arange(high - low)]
+                    if len(cost) > 1:
+                        second = np.minimum(second, np.partition(cost, 1, 0)[1])
+                    second = np.minimum(second, np.maximum(least, own))
+                    best, least = np.where(own < least, k * block + first, best), np.minimum(least, own)
+                    if len(fits) > 1:  # a worker holds one block at a time
+                        del fitted
+                        fit.__dict__.pop("_value", None)
+                best = np.where(lettered, best, len(every))
+                known = lettered & (second > 0) & (len(every) > 0)
+                score = np.where(known, 1 - np.where(known, least, 0.0) / np.maximum(second, 1e-9), 0.0)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(names[best]), pa.array(np.clip(score, 0, 1))], ["doc_id", "held_out", "lang_pred", "score"])
 
     texts = documents.select(
