@@ -18,6 +18,8 @@ SQL["FLT-08"] = """SELECT username, score FROM results_v WHERE status = 'GOOD' A
   ORDER BY score DESC, username LIMIT 20"""
 SQL["FLT-09"] = """SELECT username FROM results_v WHERE status IN ('GOOD', 'BAD') AND NOT EXISTS (
   SELECT 1 FROM newest_text_v p WHERE p.channel_id = results_v.channel_id AND length(p.text) > 0 AND p.channel_id % 7 <> 3)"""
+SQL["FLT-09b"] = """SELECT username FROM results_v WHERE status IN ('GOOD', 'BAD') AND NOT EXISTS (
+  SELECT 1 FROM newest_text_v p WHERE p.channel_id = results_v.channel_id AND length(p.text) > 0)"""
 SQL["FLT-10"] = """SELECT username, status FROM results_v WHERE status <> 'WAITING'
   AND channel_id IN (SELECT channel_id FROM newest_text_v WHERE length(text) > 0)"""
 SQL["FLT-11"] = "SELECT username FROM results_v WHERE status <> 'WAITING' AND channel_id % 9 = 0"
@@ -55,6 +57,7 @@ SELECT channel_id, count(*) AS accounts, count(*) FILTER (WHERE extra) AS supple
   SELECT a.channel_id, a.user_id, true FROM audience_v a
   WHERE (SELECT count(*) FROM audience_v s WHERE s.channel_id = a.channel_id AND s.user_id % 37 = 0) < 10
     AND a.user_id % 37 <> 0 AND EXISTS (SELECT 1 FROM comments_v c WHERE c.channel_id = a.channel_id AND c.user_id = a.user_id)) GROUP BY 1"""
+SQL["JOIN-03b"] = """SELECT channel_id, count(*) AS accounts, 0 AS supplements FROM audience_v GROUP BY 1"""
 SQL["JOIN-04"] = """SELECT DISTINCT username, 'user_request' AS found_via FROM requests_v WHERE username NOT IN (SELECT username FROM results_v)"""
 SQL["JOIN-05"] = """SELECT username, status, CASE WHEN status = 'WAITING' AND username IN (SELECT username FROM requests_v) THEN 'user_request' ELSE found_via END AS found_via FROM results_v"""
 SQL["JOIN-06"] = "SELECT username FROM channels_v WHERE username NOT IN (SELECT username FROM skip_v WHERE expires_at > TIMESTAMP '2024-01-31 00:00:00')"
@@ -79,6 +82,17 @@ SELECT username, min(hop) AS hop FROM (
   UNION ALL SELECT b.link, 2 FROM ad_links_v a JOIN ad_links_v b ON b.username = a.link WHERE a.username = 'channel1'
   UNION ALL SELECT c.link, 3 FROM ad_links_v a JOIN ad_links_v b ON b.username = a.link JOIN ad_links_v c ON c.username = b.link WHERE a.username = 'channel1')
 GROUP BY 1"""
+SQL["JOIN-10c"] = """
+SELECT link AS username, min(username) AS found_via FROM links_out_v JOIN results_v USING (channel_id, username)
+WHERE status = 'GOOD' AND score >= 72 AND link NOT IN (SELECT username FROM results_v) GROUP BY 1"""
+SQL["JOIN-10d"] = """
+SELECT username, hop FROM (
+  WITH RECURSIVE reached(username, hop) USING KEY (username) AS (
+    SELECT DISTINCT username, 0 FROM results_v WHERE status = 'GOOD'
+    UNION
+    SELECT l.link, min(r.hop) + 1 FROM reached r JOIN ad_links_v l ON l.username = r.username
+    WHERE l.link NOT IN (SELECT username FROM recurring.reached) GROUP BY 1)
+  SELECT username, hop FROM reached)"""
 SQL["JOIN-11"] = """
 SELECT channel_id, coalesce(r.category, 'OTHER') AS price_category, coalesce(r.low, 65) AS cpm_low, coalesce(r.mid, 130) AS cpm_avg, coalesce(r.high, 270) AS cpm_high,
   coalesce(active_at, 6) AS active_at, coalesce(heavy_at, 12) AS heavy_at, coalesce(spam_at, 20) AS spam_at

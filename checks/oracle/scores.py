@@ -38,6 +38,10 @@ FROM (SELECT *, greatest(0.1e0, n1 * n2 * n3 * m4*m5*m6*m7*m8*m9*m10*m11*m12*m13
      CASE WHEN f.accounts >= 10 AND f.with_dc >= 5 AND f.foreign_dc * 1e0 / f.with_dc > 0.75 THEN 0.2e0 ELSE 1e0 END AS n2,
      CASE WHEN f.accounts >= 10 AND f.premium = 0 THEN 0.8e0 ELSE 1e0 END AS n3
    FROM trust_v t LEFT JOIN few_v f USING (channel_id))) t LEFT JOIN few_v f USING (channel_id)"""
+SQL["TRU-16b"] = """
+SELECT t.channel_id, CASE WHEN coalesce(a.accounts, 0) >= 10 THEN 'normal' ELSE 'hardcore' END AS scoring_mode, flatness_on,
+  round(CASE WHEN coalesce(a.accounts, 0) < 10 AND flatness_on THEN least(0.8e0, trust_product) ELSE trust_product END, 6) AS trust
+FROM trust_v t LEFT JOIN (SELECT channel_id, count(*) AS accounts FROM audience_v GROUP BY 1) a USING (channel_id)"""
 SQL["TRU-17"] = "SELECT channel_id, round(bot_m, 4) AS multiplier FROM safety_v"
 SQL["TRU-18"] = """SELECT channel_id, ad_m AS scan_multiplier,
   CAST(CASE WHEN ad_pct <= 20 THEN 1 WHEN ad_pct <= 40 THEN 0.95 WHEN ad_pct <= 60 THEN 0.85 WHEN ad_pct <= 80 THEN 0.7 ELSE 0.5 END AS DOUBLE) AS rescore_multiplier FROM safety_v"""

@@ -82,6 +82,11 @@ def _(t):
     return R.without_posts(t.results, t.posts_with_text.where("channel_id % 7 <> 3")).select("username")
 
 
+@query("FLT-09b")
+def _(t):
+    return R.without_posts(t.results, t.posts_with_text).select("username")
+
+
 @query("FLT-10")
 def _(t):
     content = T.stored_content(t.posts_with_text, t.comments, t.audience)
@@ -152,6 +157,13 @@ def _(t):
     )
 
 
+@query("JOIN-03b")
+def _(t):
+    return A.supplemented(t.audience, t.audience, t.comments).groupBy("channel_id").agg(
+        F.count(F.lit(1)).alias("accounts"), F.count_if("supplement").alias("supplements")
+    )
+
+
 def requested(t):
     return t.scan_requests.select("username", F.lit("user_request").alias("found_via"))
 
@@ -206,6 +218,17 @@ def _(t):
     return N.reachable(edges, t.results.where("channel_id = 1"), 3)
 
 
+@query("JOIN-10c")
+def _(t):
+    return N.discovered(t.posts_with_text, t.channels, t.results)
+
+
+@query("JOIN-10d")
+def _(t):
+    edges = t.results.select(F.col("username").alias("src"), F.explode("ad_links").alias("dst"))
+    return N.reachable(edges, t.results.where("status = 'GOOD'"))
+
+
 @query("JOIN-11")
 def _(t):
     active, heavy, spam = M.posting_tier(F.col("category"))

@@ -101,6 +101,13 @@ def _(t):
     )
 
 
+@query("TRU-16b")
+def _(t):
+    return P.score_channels(t.posts_with_text, t.channels, t.audience, as_of()).select(
+        "channel_id", "scoring_mode", "flatness_on", F.round("trust", 6).alias("trust")
+    )
+
+
 @query("TRU-17")
 def _(t):
     return t.channels.select("channel_id", F.round(T.bot_multiplier(F.col("llm.bot_percentage")), 4).alias("multiplier"))
