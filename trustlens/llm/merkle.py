@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from trustlens.llm.components import stored
 
 ARITY = 3
+EACH_WRITTEN = 3  # of the levels on the way down
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<before:binary,after:binary>>"
 
@@ -108,7 +109,7 @@ def descended(levels: list[DataFrame], tops: list[DataFrame], starts: DataFrame,
             under = levels[k].withColumn("up", F.floor(F.col("idx") / arity)).join(above, ["g", "up"])
             under = under.withColumn("path", F.concat(step, F.col("rest"))).drop("up", "rest", "before", "after")
             here = under.unionByName(here)
-        down = here
+        down = stored(here, "paths") if k and k % EACH_WRITTEN == 0 else here  # keeps the plan short; these tables are small
     return down
 
 
@@ -135,7 +136,7 @@ def proofs(table: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "doc
     top = reduce(DataFrame.unionByName, [t.select("digest") for t in upper_tops]).first()
     root = F.lit(bytes(top[0]) if top else None).cast("binary")
     roots = table.sparkSession.range(1).select(every, F.array().cast(PATH).alias("path"), root.alias("root"))
-    starts = descended(upper_levels, upper_tops, roots, arity).select(F.col("group").alias("g"), F.col("digest").alias("subroot"), "path", "root")
+    starts = stored(descended(upper_levels, upper_tops, roots, arity).select(F.col("group").alias("g"), F.col("digest").alias("subroot"), "path", "root"), "starts")
     return descended(levels, tops, starts, arity).drop("g", "idx", "n")
 
 
