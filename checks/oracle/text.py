@@ -68,3 +68,13 @@ FROM (SELECT key, turn, json_extract_string(body, '$.classification.category') A
   CAST(json_extract(body, '$.audience.trust_score') AS INT) AS trust, json_extract_string(body, '$.audience.verdict') AS verdict,
   json_array_length(body, '$.ad_analysis.ad_post_ids') AS ads FROM llm_v)
 JOIN (SELECT conv_id AS key, count(*) * 3 AS posts FROM conversations GROUP BY 1) USING (key)"""
+SQL["JSN-01b"] = """
+SELECT key, turn, 'repaired' AS level,
+  CASE WHEN cat IN ('TECH', 'NEWS', 'CRYPTO') THEN cat ELSE 'LIFESTYLE' END AS category, status IN ('CRITICAL', 'HIGH') OR scam AS is_toxic, status AS toxic_severity,
+  CASE WHEN flag LIKE '%CASINO%' THEN 'GAMBLING' WHEN flag LIKE '%18+%' THEN 'ADULT' WHEN flag LIKE '%FAKE%' THEN 'SCAM' END AS toxic_category,
+  trust AS trust_score, CASE verdict WHEN 'HIGH_QUALITY' THEN 'HIGH' WHEN 'BOT_FARM' THEN 'LOW' ELSE 'MEDIUM' END AS authenticity_tier, flags, ad_percentage, ad_post_count, total_posts, severity_label, ad_posts
+FROM (SELECT key, turn, json_extract_string(clean, '$.classification.category') AS cat, json_extract_string(clean, '$.safety.status') AS status,
+  CAST(json_extract(clean, '$.safety.is_scam') AS BOOLEAN) AS scam, upper(json_extract_string(clean, '$.safety.flags[0]')) AS flag, CAST(json_array_length(clean, '$.safety.flags') AS INT) AS flags,
+  CAST(json_extract(clean, '$.audience.trust_score') AS INT) AS trust, json_extract_string(clean, '$.audience.verdict') AS verdict,
+  CAST(json_extract(clean, '$.ad_percentage') AS INT) AS ad_percentage, CAST(json_extract(clean, '$.ad_post_count') AS INT) AS ad_post_count, CAST(json_extract(clean, '$.total_posts') AS INT) AS total_posts,
+  json_extract_string(clean, '$.severity_label') AS severity_label, CAST(json_array_length(clean, '$.ad_analysis.ad_post_ids') AS INT) AS ad_posts FROM answers_v)"""

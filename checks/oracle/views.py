@@ -344,11 +344,8 @@ FROM (SELECT t.*, s.ad_m, s.bot_m, s.safe_m, s.tier, s.tier_cap, s.llm_trust, s.
      ELSE least(100, greatest(0, CAST(trunc(least(raw_score * trust * llm_trust, CAST(tier_cap AS DOUBLE))) AS INT))) END AS score
   FROM trust_v t JOIN safety_v s USING (channel_id))"""
 
-VIEWS["llm_v"] = f"""
-SELECT key, turn, {AS_OF} - to_days(CAST(turn * 2 AS INT)) AS cached_at,
-  CASE turn % 4 WHEN 0 THEN clean WHEN 1 THEN 'Here is the answer: ' || clean || ' Hope it helps.' WHEN 2 THEN lines ELSE '' END AS response,
-  CASE WHEN turn % 4 IN (0, 1) THEN clean END AS body
-FROM (SELECT conv_id AS key, turn,
+VIEWS["answers_v"] = f"""
+SELECT conv_id AS key, turn,
   '{{"classification": {{"category": "' || ['TECH', 'NEWS', 'CRYPTO', 'MUSIC'][conv_id % 4 + 1]
   || '"}}, "safety": {{"status": "' || ['SAFE', 'HIGH', 'MEDIUM', 'CRITICAL', 'SAFE'][conv_id % 5 + 1]
   || '", "is_scam": ' || CASE WHEN conv_id % 7 = 0 THEN 'true' ELSE 'false' END
@@ -364,7 +361,13 @@ FROM (SELECT conv_id AS key, turn,
   || '", "severity_label": "' || ['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'SAFE'][conv_id % 5 + 1] || '"}}' AS clean,
   'Toxicity: ' || (conv_id % 10) || chr(10) || 'ad_percentage: ' || ((conv_id * 7) % 101)
   || chr(10) || '"violence": ' || (conv_id % 4) || chr(10) || 'red_flags: ["spam", "bots"]' AS lines
-  FROM conversations)"""
+  FROM conversations"""
+
+VIEWS["llm_v"] = f"""
+SELECT key, turn, {AS_OF} - to_days(CAST(turn * 2 AS INT)) AS cached_at,
+  CASE turn % 4 WHEN 0 THEN clean WHEN 1 THEN 'Here is the answer: ' || clean || ' Hope it helps.' WHEN 2 THEN lines ELSE '' END AS response,
+  CASE WHEN turn % 4 IN (0, 1) THEN clean END AS body
+FROM answers_v"""
 
 VIEWS["results_v"] = f"""
 SELECT c.channel_id, c.username, c.title, c.description, c.members, c.participants_count, c.online_count, c.is_verified, c.comments_enabled,

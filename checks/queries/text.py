@@ -107,3 +107,14 @@ def _(t):
     posts = t.raw("conversations").groupBy(F.col("conv_id").alias("key")).agg((F.count(F.lit(1)) * 3).alias("posts"))
     return J.flat_record(J.answer_fields(t.llm_responses), posts).select(
         "key", "turn", "category", "is_toxic", "toxic_severity", "toxic_category", "bot_percentage", "trust_score", "authenticity_tier", "ad_percentage")
+
+
+@query("JSN-01b")
+def _(t):
+    """Malformed answers, mended."""
+    posts = t.raw("conversations").groupBy(F.col("conv_id").alias("key")).agg((F.count(F.lit(1)) * 3).alias("posts"))
+    answers = J.flat_record(J.answer_fields(t.malformed_responses), posts)
+    return answers.select(
+        "key", "turn", "level", "category", "is_toxic", "toxic_severity", "toxic_category", "trust_score", "authenticity_tier", F.size("toxic_evidence").alias("flags"),
+        F.col("parsed.ad_percentage").alias("ad_percentage"), F.col("parsed.ad_post_count").alias("ad_post_count"), F.col("parsed.total_posts").alias("total_posts"),
+        F.col("parsed.severity_label").alias("severity_label"), F.size("parsed.ad_analysis.ad_post_ids").alias("ad_posts"))

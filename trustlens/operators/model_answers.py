@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.constants import CATEGORIES
+from trustlens.functions.mending import mended
 from trustlens.functions.scalars import clamp, half_even
 
 ANSWER = """
@@ -23,6 +24,7 @@ authenticity_tier STRING, trust_score INT, toxic_post_count INT, total_posts INT
 NUMBERS = [
     "toxicity", "violence", "military_conflict", "political_quantity", "political_risk", "misinformation", "ad_percentage",
 ]
+OBJECT = ["json", "repaired"]  # levels with a record
 
 
 def _field(name: str) -> Column:
@@ -31,30 +33,30 @@ def _field(name: str) -> Column:
 
 
 def answer_fields(responses: DataFrame) -> DataFrame:
-    """Answers with a ``parsed`` record: the first JSON object of the text, else single fields found in it.
+    """Answers with a ``parsed`` record and the ``level`` it was found at.
 
-    The parser reads one object from the first brace on and ignores what follows it.
+    ``json``: the text from its first brace on starts with an object; what follows it is ignored. ``repaired``: that object is malformed and was mended.
+    ``fields``: there is no brace, single fields are found in the text. ``failed`` and ``empty``: nothing is.
     """
-    start = F.instr("response", "{")
-    body = F.when(start > 0, F.expr("substring(response, instr(response, '{'))"))
+    body = F.when(F.instr("response", "{") > 0, F.expr("substring(response, instr(response, '{'))"))
+    strict = {"allowSingleQuotes": "false"}
+    valid = F.from_json(body, "map<string,string>", strict).isNotNull()
     flags = F.regexp_extract("response", r'(?is)"?red_flags"?\s*:\s*\[(.*?)\]', 1)
     found = responses.withColumns({
-        "parsed": F.from_json(body, ANSWER),
+        "answer object": F.when(body.isNotNull(), F.when(valid, body).otherwise(mended(body))),
         "flags_found": F.when(flags != "", F.regexp_extract_all(flags, F.lit('"([^"]+)"'), F.lit(1))),
     })
-    usable = F.coalesce(*[F.col(f"parsed.{n}").cast("string") for n in NUMBERS], F.col("parsed.classification.category"),
-                        F.col("parsed.safety.status"), F.col("parsed.severity_label"))
     level = (
-        F.when(F.length(F.trim("response")) == 0, "empty").when(usable.isNotNull(), "json")
+        F.when(F.length(F.trim("response")) == 0, "empty").when(body.isNotNull(), F.when(valid, "json").otherwise("repaired"))
         .when(F.coalesce(*[_field(n) for n in NUMBERS]).isNotNull() | F.col("flags_found").isNotNull(), "fields").otherwise("failed")
     )
-    return found.withColumn("level", level)
+    return found.withColumns({"parsed": F.from_json("answer object", ANSWER), "level": level}).drop("answer object")
 
 
 def flat_fields(answers: DataFrame) -> DataFrame:
     """The numeric fields from JSON or, failing that, from the text; missing ones are 0."""
     values = {
-        n: F.coalesce(F.when(F.col("level") == "json", F.col(f"parsed.{n}")), F.when(F.col("level") == "fields", _field(n)), F.lit(0))
+        n: F.coalesce(F.when(F.col("level").isin(OBJECT), F.col(f"parsed.{n}")), F.when(F.col("level") == "fields", _field(n)), F.lit(0))
         for n in NUMBERS
     }
     return answers.withColumns({
@@ -65,7 +67,7 @@ def flat_fields(answers: DataFrame) -> DataFrame:
 
 
 def _json_rows(answers: DataFrame) -> DataFrame:
-    return answers.where(F.col("level") == "json")
+    return answers.where(F.col("level").isin(OBJECT))
 
 
 def ad_share(answers: DataFrame) -> DataFrame:

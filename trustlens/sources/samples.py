@@ -280,8 +280,8 @@ class SampleTables:
         )
 
     @cached_property
-    def llm_responses(self) -> DataFrame:
-        """Stored model answers: clean JSON, JSON inside prose, key: value lines, or empty."""
+    def answer_texts(self) -> DataFrame:
+        """Per turn a clean JSON answer and one of key: value lines."""
         return self.raw("conversations").selectExpr(
             "conv_id AS key", "turn",
             f"{AS_OF_SQL} - make_dt_interval(int(turn * 2)) AS cached_at",
@@ -301,12 +301,32 @@ class SampleTables:
               '"}') AS clean""",
             """concat('Toxicity: ', conv_id % 10, '\nad_percentage: ', (conv_id * 7) % 101,
               '\n"violence": ', conv_id % 4, '\nred_flags: ["spam", "bots"]') AS lines""",
-        ).selectExpr(
+        )
+
+    @cached_property
+    def llm_responses(self) -> DataFrame:
+        """Stored model answers: clean JSON, JSON inside prose, key: value lines, or empty."""
+        return self.answer_texts.selectExpr(
             "key", "cached_at", "turn",
             """CASE turn % 4 WHEN 0 THEN clean WHEN 1 THEN concat('Here is the answer: ', clean, ' Hope it helps.')
                  WHEN 2 THEN lines ELSE '' END AS response""",
         )
 
+    @cached_property
+    def malformed_responses(self) -> DataFrame:
+        """The clean answers, each broken in one of ten ways."""
+        return self.answer_texts.selectExpr("key", "turn", r"""CASE (key + turn) % 10
+            WHEN 0 THEN replace(replace(clean, '}', ',}'), ']', ', ]')
+            WHEN 1 THEN replace(clean, '"', "'")
+            WHEN 2 THEN concat('Sure: ', substring(clean, 1, length(clean) - 2))
+            WHEN 3 THEN regexp_replace(clean, '"([a-z_]+)":', '$1:')
+            WHEN 4 THEN replace(replace(concat('{"note": None, ', substring(clean, 2)), 'true', 'True'), 'false', 'False')
+            WHEN 5 THEN concat('```json\n', replace(clean, '"safety"', '// see below: "x", y\n "safety"'), '\n``` {"toxicity": 9}')
+            WHEN 6 THEN replace(clean, ', "', '\n "')
+            WHEN 7 THEN replace(clean, '{"classification": {', '{"classification": {"category_reasoning": "they say "buy\n now", often", ')
+            WHEN 8 THEN replace(clean, '": ', '" ')
+            ELSE replace(clean, ', "', ',, "') END AS response""")
+
 
 def usage_view(events: DataFrame, channel_count: Column) -> DataFrame:
     """Usage events; also applied to a stream of the same table."""
