@@ -134,7 +134,7 @@ def _(t):
 
 @query("AGG-31")
 def _(t):
-    return T.repeating_footers(T.clean_posts(t.posts_with_footer)).select("channel_id", "footer", "footer_posts")
+    return T.repeating_footers(t.posts_with_footer).select("channel_id", "footer", "footer_posts")
 
 
 @query("AGG-32")

@@ -58,9 +58,8 @@ def _(t):
 
 @query("TXT-06")
 def _(t):
-    cleaned = T.clean_posts(t.posts_with_footer)
-    footers = T.repeating_footers(cleaned)
-    return cleaned.join(footers, "channel_id").select(
+    footers = T.repeating_footers(t.posts_with_footer)
+    return T.long_posts(t.posts_with_footer).join(footers, "channel_id").select(
         "channel_id", "post_id", F.md5(T.without_footer(F.col("clean"), F.col("footer"))).alias("body_md5"))
 
 

@@ -1,5 +1,9 @@
 """Text functions on wordings with known answers."""
 
+import random
+from collections import Counter, defaultdict
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,16 +82,16 @@ def body(i):
 
 def test_footer_needs_forty_percent(rows):
     texts = [body(i) + ("\n\n  Subscribe to us here  " if i < 4 else "") for i in range(10)]
-    found = T.repeating_footers(T.clean_posts(posts(rows, texts))).collect()
+    found = T.repeating_footers(posts(rows, texts)).collect()
     assert [(r["footer"], r["footer_posts"]) for r in found] == [("Subscribe to us here", 4)]
     texts[3] = body(3)
-    assert T.repeating_footers(T.clean_posts(posts(rows, texts))).collect() == []
+    assert T.repeating_footers(posts(rows, texts)).collect() == []
 
 
 def test_footer_needs_five_posts_and_first_line_wins(rows):
     texts = [body(i) + "\nfirst closing line\nsecond closing line" for i in range(5)]
-    assert T.repeating_footers(T.clean_posts(posts(rows, texts))).collect()[0]["footer"] == "first closing line"
-    assert T.repeating_footers(T.clean_posts(posts(rows, texts[:4]))).collect() == []
+    assert T.repeating_footers(posts(rows, texts)).collect()[0]["footer"] == "first closing line"
+    assert T.repeating_footers(posts(rows, texts[:4])).collect() == []
 
 
 def test_without_footer(rows):
@@ -138,3 +142,28 @@ def test_toxic_ratio_bound(rows):
     cases = [("MEDIUM", '"SCAM"', 5, False), ("MEDIUM", '"SCAM"', 6, True), ("HIGH", '"SCAM"', 0, True), ("HIGH", "null", 9, False), ("HIGH", '"null"', 9, False), ("LOW", '"SCAM"', 50, False)]
     frame = rows([(i, 0, template.format(s=s, c=c, n=n)) for i, (s, c, n, _) in enumerate(cases)], "key int, turn int, response string")
     assert [r["is_toxic"] for r in J.toxicity(J.answer_fields(frame)).orderBy("key").collect()] == [c[3] for c in cases]
+
+
+def test_footers_equal_a_plain_count(spark, rows):
+    """Channels of several sizes, one with most of the posts and very many different lines; lines are counted as often as they stand."""
+    rng = random.Random(8)
+    data, by = [], defaultdict(list)
+    for channel, n in enumerate([3000, 40, 5, 4, 12, 30, 7]):
+        closing = [f"closing line {channel} {k}" for k in range(3)]
+        for k in range(n):
+            body = "\n".join(" ".join(rng.choice("abcdefgh") * rng.randrange(3, 9) for _ in range(rng.randrange(3, 12))) for _ in range(rng.randrange(1, 5)))
+            ends = [c for j, c in enumerate(closing) if rng.random() < (0.45, 0.38, 0.5)[(j + channel) % 3]]
+            text = "\n".join([body, *ends, *(["closing line 0 0  "] if k % 9 == 0 else [])])
+            ts = None if k % 50 == 49 else datetime(2024, 1, 1 + k % 28, k % 7)
+            data.append((channel, 10 * k + channel, ts, text))
+            by[channel].append((ts is not None, ts or datetime(1970, 1, 1), 10 * k + channel, text))
+    expected = {}
+    for channel, listed in by.items():
+        cleaned = [t.strip() for *_, t in sorted(listed, reverse=True) if len(t) > 30]
+        endings = [t[-200:] for t in cleaned if len(t) > 50]
+        counts = Counter(x.strip() for e in endings for x in e.split("\n") if len(x.strip()) > 10)
+        often = [x for x, n in counts.items() if n >= len(cleaned) * 0.4]
+        if len(cleaned) >= 5 and len(endings) >= 5 and often:
+            expected[channel] = (often[0], counts[often[0]])
+    found = T.repeating_footers(rows(data, "channel_id long, post_id long, ts timestamp, text string").repartition(7))
+    assert {r["channel_id"]: (r["footer"], r["footer_posts"]) for r in found.collect()} == expected and len(expected) >= 4

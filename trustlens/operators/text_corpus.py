@@ -3,34 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trustlens.functions.text import TYPE_KEYWORDS, TYPE_OF_CATEGORY, clean_text, keyword_mask, strip, type_masks
 from trustlens.operators.channel_metrics import placed
+from trustlens.session import set_aside
+
+TAIL_LINES = 17
+FREQUENT = 64  # items asked of a sketch; more than 43, and those whose overestimate may rank above
+TRACKED = 1024
+
+
+def long_posts(posts: DataFrame) -> DataFrame:
+    """All posts with more than 30 characters, cleaned."""
+    return posts.where(F.length("text") > 30).select("channel_id", "post_id", "ts", clean_text(F.col("text")).alias("clean"))
 
 
 def clean_posts(posts: DataFrame) -> DataFrame:
     """All posts with more than 30 characters, cleaned, numbered by ``slot`` in newest-first order."""
-    long = posts.where(F.length("text") > 30).select("channel_id", "post_id", "ts", clean_text(F.col("text")).alias("clean"))
-    return placed(long, {"slot": F.lit(True)}).drop("slot of all")
+    return placed(long_posts(posts), {"slot": F.lit(True)}).drop("slot of all")
 
 
-def repeating_footers(cleaned: DataFrame) -> DataFrame:
-    """The first line that closes at least 40 % of a channel's posts (at least five posts)."""
-    channel = W.partitionBy("channel_id")
+def post_tails(posts: DataFrame) -> DataFrame:
+    """Per long post the lines with more than 10 characters among its last 200 characters; none if it has 50 characters or fewer."""
     long = F.length("clean") > 50
-    counted = cleaned.withColumns({
-        "texts": F.count(F.lit(1)).over(channel), "endings": F.sum(long.cast("int")).over(channel),
-    }).where(long & (F.col("texts") >= 5) & (F.col("endings") >= 5))
     tail = F.when(F.length("clean") > 200, F.expr("right(clean, 200)")).otherwise(F.col("clean"))
-    lines = counted.select("channel_id", "slot", "texts", F.posexplode(F.split(tail, "\n")).alias("line_no", "line")).withColumn(
-        "line", strip(F.col("line"))
-    ).where(F.length("line") > 10)
-    repeated = lines.groupBy("channel_id", "line").agg(
-        F.count(F.lit(1)).alias("posts"), F.min(F.col("slot") * 1000 + F.col("line_no")).alias("first"), F.max("texts").alias("texts")
+    lines = F.transform(F.split(tail, "\n"), lambda line, i: F.struct(strip(line).alias("line"), (-i).alias("order")))
+    return long_posts(posts).select("channel_id", "post_id", "ts", long.alias("long"), F.when(long, F.filter(lines, lambda x: F.length(x["line"]) > 10)).alias("lines"))
+
+
+def repeating_footers(posts: DataFrame) -> DataFrame:
+    """The line that closes at least 40 % of a channel's posts (at least five posts); of several the one seen first, from the newest post on.
+
+    200 characters hold at most ``TAIL_LINES`` such lines, so a line of 40 % of the posts is one of 43 of a channel's lines at least. A mergeable sketch of frequent
+    items per channel, which counts each item of more than one in 580 too high by no more than that share, names all of them; those alone are
+    counted exactly in a second pass. No text and no window over a channel is shuffled, and rare lines never are.
+    """
+    tails = set_aside(post_tails(posts), "tails")
+    counts = tails.groupBy("channel_id").agg(F.count(F.lit(1)).alias("texts"), F.count_if("long").alias("endings")).where("texts >= 5 AND endings >= 5")
+    lines = tails.where("long").select("channel_id", "ts", "post_id", F.explode("lines").alias("l")).select("channel_id", "ts", "post_id", "l.*", F.xxhash64("l.line").alias("line_hash"))
+    sketch = F.call_function("approx_top_k", F.col("line_hash"), F.lit(FREQUENT), F.lit(TRACKED))
+    frequent = lines.groupBy("channel_id").agg(sketch.alias("top")).join(counts, "channel_id").select("channel_id", "texts", F.explode("top").alias("f"))
+    frequent = frequent.where(F.col("f.count") >= F.col("texts") * 0.4).select("channel_id", "texts", F.col("f.item").alias("line_hash"))
+    repeated = lines.join(frequent, ["channel_id", "line_hash"]).groupBy("channel_id", "line").agg(
+        F.count(F.lit(1)).alias("posts"), F.max(F.struct("ts", "post_id", "order")).alias("first"), F.max("texts").alias("texts")
     ).where(F.col("posts") >= F.col("texts") * 0.4)
-    best = F.min_by(F.struct("line", "posts"), "first").alias("best")
+    best = F.max_by(F.struct("line", "posts"), "first").alias("best")
     return repeated.groupBy("channel_id").agg(best).select(
         "channel_id", F.col("best.line").alias("footer"), F.col("best.posts").alias("footer_posts")
     )
@@ -44,8 +62,7 @@ def without_footer(text: Column, footer: Column) -> Column:
 
 def prompt_posts(posts: DataFrame) -> DataFrame:
     """Cleaned posts without footer, still longer than 30 characters."""
-    cleaned = clean_posts(posts)
-    joined = cleaned.join(repeating_footers(cleaned), "channel_id", "left")
+    joined = clean_posts(posts).join(repeating_footers(posts), "channel_id", "left")
     body = without_footer(F.col("clean"), F.col("footer"))
     return joined.withColumn("body", body).where(F.length("body") > 30).select("channel_id", "slot", "body")
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "trustlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -52,6 +52,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def set_aside(frame: DataFrame, purpose: str) -> DataFrame:
+    """The frame written to the shared folder and read again: what is used several times is computed once and survives lost executors."""
+    path = scratch_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable; a location set by the cluster is kept."""
     context = spark.sparkContext
