@@ -136,6 +136,9 @@ SQL["SET-02"] = r"""SELECT DISTINCT channel_id, unnest(regexp_extract_all(text,
 SQL["SET-03"] = """
 SELECT DISTINCT username, '[seed]' AS found_via FROM (SELECT username FROM channels_v UNION ALL SELECT username FROM requests_v)
 WHERE username NOT IN (SELECT username FROM results_v WHERE channel_id % 2 = 0)"""
+SQL["SET-03b"] = """
+SELECT DISTINCT username, '[seed]' AS found_via FROM (SELECT username FROM channels_v UNION ALL SELECT username FROM requests_v)
+WHERE username NOT IN (SELECT username FROM results_v)"""
 SQL["SET-04"] = """
 SELECT 'results' AS side, username, count(*) AS rows FROM results_v WHERE NOT (status = 'WAITING' AND username IN (SELECT username FROM skip_v)) GROUP BY 2
 UNION ALL SELECT 'favorites', username, count(DISTINCT user_id) FROM favorites_v WHERE username NOT IN (SELECT username FROM skip_v) GROUP BY 2"""

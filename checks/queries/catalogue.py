@@ -332,6 +332,11 @@ def _(t):
     return L.new_names(t.results.where("channel_id % 2 = 0"), candidates)
 
 
+@query("SET-03b")
+def _(t):
+    return L.new_names(t.results, L.seeds(t.channels).unionByName(L.seeds(t.scan_requests)))
+
+
 @query("SET-04")
 def _(t):
     gone = t.skip_list.select("username")

@@ -130,7 +130,7 @@ def test_answers(rows):
     frame = rows([(i, v) for i, v in enumerate(values)], "key int, response string")
     answers = J.answer_fields(frame)
     flat = J.flat_fields(answers).orderBy("key").collect()
-    assert [r["level"] for r in flat] == ["json", "json", "fields", "empty", "empty", "failed", "failed", "json"]
+    assert [r["level"] for r in flat] == ["json", "json", "fields", "empty", "empty", "failed", "repaired", "json"]
     assert [r["ad_percentage"] for r in flat] == [12, 7, 55, 0, 0, 0, 0, 0]
     assert flat[2]["red_flags"] == ["x", "y"]
     last = J.flat_record(answers, rows([(7, 20)], "key int, posts long")).orderBy("key").collect()[-1]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlens.constants import COLLECT_SCORE
+from trustlens.functions.bloom import pruned
 from trustlens.functions.text import linked_names
 from trustlens.operators.lifecycle import new_names
 from trustlens.session import ensure_checkpoint_dir
@@ -54,20 +55,20 @@ def discovered(posts: DataFrame, channels: DataFrame, results: DataFrame, min_sc
 def reachable(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Names reached from the seeds, with the hop in which each was first seen; all of them unless a number of hops is given.
 
-    Each round joins only the names of the last round with the edges and writes its new names once; the driver only counts
-    rounds and asks whether anything new was found.
+    Each round shuffles what it touches. Only edges that can start at a name of the last round are joined with it, and only seen
+    names that can be among those found are joined for the exact check; Bloom filters tell both before the shuffle. The driver counts the names of each round.
     """
     ensure_checkpoint_dir(edges.sparkSession)
+    edges = edges.select("src", "dst")
     last = seeds.select("username").distinct().withColumn("hop", F.lit(0)).checkpoint()
-    seen, hop = last, 0
-    while max_hops is None or hop < max_hops:
+    seen, hop, count = last, 0, last.count()
+    while count and (max_hops is None or hop < max_hops):
         hop += 1
-        found = last.select(F.col("username").alias("src")).join(edges.select("src", "dst"), "src").select(
-            F.col("dst").alias("username")
-        ).distinct()
-        last = found.join(seen, "username", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
-        if last.isEmpty():
-            break
+        outgoing = pruned(edges, "src", last, "username", count)
+        found = outgoing.join(last.select(F.col("username").alias("src")), "src").select(F.col("dst").alias("username")).distinct().checkpoint()
+        known = pruned(seen, "username", found, "username", found.count())
+        last = found.join(known, "username", "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
+        count = last.count()
         seen = seen.unionByName(last)
     return seen
 
