@@ -67,6 +67,12 @@ SELECT count(DISTINCT CASE WHEN event_type = 'app_open' THEN user_id END) AS ope
   count(DISTINCT CASE WHEN event_type IN ('search_submit', 'channel_view') THEN user_id END) AS browse,
   count(DISTINCT CASE WHEN event_type = 'channel_detail' THEN user_id END) AS detail
 FROM usage_v WHERE ts >= TIMESTAMP '2024-01-24 00:00:00'"""
+_rolling = """
+SELECT strftime(d.day, '%Y-%m-%d') AS day, {stage} count(DISTINCT e.user_id) AS users, true AS close
+FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM usage_v WHERE user_id IS NOT NULL) d
+JOIN (SELECT CAST(ts AS DATE) AS day, user_id, event_type FROM usage_v WHERE user_id IS NOT NULL) e ON e.day BETWEEN d.day - 6 AND d.day {where} GROUP BY ALL"""
+SQL["AGG-27b"] = _rolling.format(stage="", where="")
+SQL["AGG-29b"] = _rolling.format(stage="s.stage,", where="JOIN (VALUES ('opens', 'app_open'), ('browse', 'search_submit'), ('browse', 'channel_view'), ('detail', 'channel_detail')) AS s(stage, kind) ON s.kind = e.event_type")
 SQL["AGG-30"] = "SELECT DISTINCT channel_id, user_id, username FROM audience_v WHERE user_id IS NOT NULL AND user_id <> 0"
 SQL["AGG-31"] = """
 SELECT channel_id, footer, footer_posts FROM footers_v"""

@@ -70,6 +70,7 @@ SQL["JOIN-08"] = """
 SELECT username, CASE WHEN w THEN 'GOOD' ELSE status END AS status, CASE WHEN w THEN least(100, score + 7) ELSE score END AS score,
   CASE WHEN w AND channel_id % 2 = 0 THEN 'TECH' ELSE category END AS category, w AS written
 FROM (SELECT *, status = 'WAITING' AND channel_id % 3 <> 0 AS w FROM results_v)"""
+SQL["JOIN-08b"] = SQL["JOIN-08"]
 SQL["JOIN-09"] = "SELECT channel_id, scam AS scam_count, bad AS bad_count FROM network_v"
 SQL["JOIN-10"] = """
 SELECT link AS username, min(username) AS found_via FROM links_out_v JOIN results_v USING (channel_id, username)
@@ -114,6 +115,12 @@ SELECT username, members, (SELECT count(*) FROM results_v WHERE {_shown}) AS tot
 FROM results_v WHERE {_shown} ORDER BY members DESC, username LIMIT 15 OFFSET 15"""
 SQL["TOP-01b"] = f"""SELECT username, score FROM results_v WHERE {_shown} AND (score < 60 OR (score = 60 AND username > 'channel9'))
   ORDER BY score DESC, username LIMIT 15"""
+SQL["TOP-01c"] = f"""
+SELECT username, members, (SELECT count(*) FROM results_v WHERE {_shown}) AS total, (SELECT count(*) FROM results_v WHERE {_shown}) > 45 AS has_more
+FROM results_v WHERE {_shown} ORDER BY members DESC, username LIMIT 15 OFFSET 30"""
+SQL["TOP-01d"] = """
+SELECT c_name AS username, CAST(floor(c_acctbal) AS BIGINT) AS score, (SELECT count(*) FROM customer) AS total, (SELECT count(*) FROM customer) > 100 AS has_more
+FROM customer ORDER BY floor(c_acctbal) NULLS FIRST, c_name LIMIT 20 OFFSET 80"""
 SQL["TOP-02"] = """SELECT username, found_via FROM results_v WHERE status = 'WAITING'
   ORDER BY CASE WHEN found_via = 'user_request' THEN 0 ELSE 1 END, created_at, username LIMIT 10"""
 SQL["TOP-03"] = "SELECT username FROM results_v WHERE status = 'WAITING' ORDER BY created_at, username LIMIT 5"

@@ -43,6 +43,7 @@ SQL["SRC-14"] = """
 SELECT username, CASE WHEN p THEN score + 1 ELSE score END AS score, CASE WHEN p AND channel_id % 2 = 0 THEN 'TECH' ELSE category END AS category,
   CASE WHEN p THEN '{"a": ' || channel_id || '}' END AS forensics_json, p AS patched,
   CAST(epoch(CASE WHEN p THEN TIMESTAMP '2024-01-31 00:00:00' ELSE scanned_at END) AS BIGINT) AS scanned_at FROM (SELECT *, channel_id % 3 = 0 AS p FROM results_v)"""
+SQL["SRC-14b"] = SQL["SRC-14"]
 SQL["SRC-15"] = """SELECT username, count(*) AS requests, CAST(epoch(min(requested_at)) AS BIGINT) AS first_requested FROM requests_v
   WHERE request_id % 50 <> 0 AND request_id % 30 <> 0 GROUP BY 1"""
 SQL["SRC-16"] = "SELECT event_type, count(*) AS events, round(avg(duration_ms), 1) AS avg_duration_ms FROM usage_v GROUP BY 1"

@@ -13,7 +13,9 @@ from trustlens.operators import lifecycle as L
 from trustlens.operators import model_answers as J
 from trustlens.operators import text_corpus as T
 from trustlens.operators import usage as U
+from trustlens.operators import usage_sketches as SK
 from trustlens.plans.scoring import rated_metrics
+from trustlens.session import scratch_dir
 from trustlens.sources.samples import as_of
 
 QUERIES: dict[str, Query] = {}
@@ -126,6 +128,23 @@ def _(t):
     return U.conversion_funnel(U.recent(t.usage_events, as_of(), 7))
 
 
+@query("AGG-27b")
+def _(t):
+    """Users of every seven days, exact and by stored sketches that were loaded in two parts, one of them twice."""
+    folder = scratch_dir(t.spark, "daily-sketches")
+    for part in ("event_id % 3 <> 0", "event_id % 2 = 0", "event_id % 3 = 0"):
+        SK.merge_events(t.usage_events.where(part), folder)
+    found = SK.measured(SK.rolling_estimates(SK.read_sketches(t.spark, folder), 7), SK.rolling_exact(t.usage_events, 7))
+    return found.where("stage = 'users'").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "users", (F.col("error") < 0.03).alias("close"))
+
+
+@query("AGG-29b")
+def _(t):
+    """Funnel stages of every seven days, exact and by sketches."""
+    found = SK.measured(SK.rolling_estimates(SK.daily_sketches(t.usage_events), 7), SK.rolling_exact(t.usage_events, 7))
+    return found.where("stage <> 'users'").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "stage", "users", (F.col("error") < 0.03).alias("close"))
+
+
 @query("AGG-30")
 def _(t):
     accounts = t.audience.unionByName(t.audience.where("user_id % 3 = 0"))

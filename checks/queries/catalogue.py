@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.queries import Query
+from trustlens.functions import pricing as PR
 from trustlens.functions import scalars as S
 from trustlens.operators import audience as A
 from trustlens.operators import catalogue as C
+from trustlens.operators import channel_metrics as M
 from trustlens.operators import lifecycle as L
 from trustlens.operators import network as N
 from trustlens.operators import text_corpus as T
 from trustlens.operators import usage as U
-from trustlens.functions import pricing as PR
-from trustlens.operators import channel_metrics as M
+from trustlens.operators.page_index import build_page_index, indexed_page
 from trustlens.plans import presentation as PS
+from trustlens.session import scratch_dir
+from trustlens.sources import bucketed
 from trustlens.sources import stored_rows as R
 from trustlens.sources.samples import as_of
 
@@ -202,6 +205,15 @@ def _(t):
         "username", "status", "score", "category", "written")
 
 
+@query("JOIN-08b")
+def _(t):
+    """The completion of JOIN-08 on a stored table in buckets."""
+    home = scratch_dir(t.spark, "bucketed")
+    bucketed.store(t.results, home, "username", 16)
+    complete = lambda rows: L.complete_waiting(rows, rescored(t), ["status", "score"], ["category"])
+    return bucketed.merged(t.spark, home, complete).select("username", "status", "score", "category", "written")
+
+
 @query("JOIN-09")
 def _(t):
     return N.neighbour_risk(t.results)
@@ -275,6 +287,23 @@ def _(t):
     return C.catalogue_after(C.catalogue_filter(t.results), 60, "channel9", 15).select("username", "score")
 
 
+@query("TOP-01c")
+def _(t):
+    """A late page by the index of cells."""
+    home = scratch_dir(t.spark, "pages")
+    build_page_index(C.catalogue_filter(t.results), home, "members", True, cell_rows=20)
+    return indexed_page(t.spark, home, 3, 15).select("username", "members", "total", "has_more")
+
+
+@query("TOP-01d")
+def _(t):
+    """Every customer's row by account balance: a page in the middle of a long list."""
+    rows = t.raw("customer").select(F.col("c_name").alias("username"), F.floor("c_acctbal").alias("score"))
+    home = scratch_dir(t.spark, "pages")
+    build_page_index(rows, home, "score", False, cell_rows=500)
+    return indexed_page(t.spark, home, 5, 20)
+
+
 @query("TOP-02")
 def _(t):
     return C.crawl_priority(t.results, 10).select("username", "found_via")

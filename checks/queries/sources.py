@@ -10,6 +10,7 @@ from trustlens.operators import text_corpus as T
 from trustlens.operators import usage as U
 from trustlens.plans.scoring import score_channels
 from trustlens.session import scratch_dir
+from trustlens.sources import bucketed
 from trustlens.sources import compact as K
 from trustlens.sources import raw_messages as W
 from trustlens.sources import stored_rows as R
@@ -196,3 +197,16 @@ def _(t):
         F.get_json_object("breakdown_json", "$.categories.engagement.score").cast("int").alias("engagement"),
         F.get_json_object("breakdown_json", "$.llm_analysis.tier").alias("tier"), "er_status",
     )
+
+
+@query("SRC-14b")
+def _(t):
+    """The partial update of SRC-14 on a stored table in buckets."""
+    home = scratch_dir(t.spark, "bucketed")
+    bucketed.store(t.results, home, "username", 16)
+    patch = t.results.where("channel_id % 3 = 0").select(
+        "username", F.expr("score + 1").alias("score"), F.when(F.col("channel_id") % 2 == 0, F.lit("TECH")).alias("category"),
+        F.concat(F.lit('{"a": '), "channel_id", F.lit("}")).alias("forensics"),
+    )
+    return bucketed.merged(t.spark, home, lambda rows: L.patch_rows(rows, patch, as_of())).select(
+        "username", "score", "category", "forensics_json", "patched", F.unix_timestamp("scanned_at").alias("scanned_at"))
