@@ -30,37 +30,63 @@ def _plain(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x1F]", "")
 
 
+BLANKS = [" ", "\n", "\r", "\t", "\f", "\x0b"]
+QUOTES = ['"', "'", "“", "”"]
+
+
+def _is_blank(token: Column) -> Column:
+    """A token is blank if its first character is."""
+    return F.left(token, F.lit(1)).isin(*BLANKS)
+
+
 def _tokens(text: Column) -> Column:
-    """Tokens with what their meaning depends on: the next token that is not blank, the blank between, the end of the one before."""
+    """Tokens, quotes with what their meaning depends on: the next token that is not blank, the blank between, the end of the token before."""
 
     def described(all_of: Column) -> Column:
+        def around(i: Column) -> Column:
+            def skip(at: Column) -> Column:
+                return at + F.when(F.coalesce(_is_blank(F.get(all_of, at)), F.lit(False)), 1).otherwise(0)
+
+            def seen(beyond: Column) -> Column:
+                then, last = F.coalesce(F.get(all_of, skip(beyond + 1)), F.lit("")), F.coalesce(F.get(all_of, skip(beyond + 1) + 1), F.lit(""))
+                return F.struct(
+                    F.coalesce(F.left(F.get(all_of, beyond), F.lit(1)), F.lit("")).alias("next"), F.when(beyond > i + 1, F.get(all_of, i + 1)).otherwise("").alias("gap"),
+                    F.coalesce(F.right(F.get(all_of, i - 1), F.lit(1)), F.lit(" ")).alias("before"),
+                    (then.isin("", ",", '"', "'", "“", "{", "}", "]") | then.rlike("^(//|#|/\\*)") | (last == ":")).alias("name after next"),
+                )
+
+            return let(skip(i + 1), seen)
+
         def one(t: Column, i: Column) -> Column:
-            follows = F.get(all_of, i + 1)
-            blank = F.coalesce(F.trim(F.translate(follows, "\n\r\t\f\x0b", "     ")) == "", F.lit(False))
-            at = i + F.when(blank, 2).otherwise(1)
-            beyond = F.get(all_of, at)
-            third = at + F.when(F.coalesce(F.get(all_of, at + 1).rlike(r"^\s+$"), F.lit(False)), 2).otherwise(1)
-            then, last = F.coalesce(F.get(all_of, third), F.lit("")), F.coalesce(F.get(all_of, third + 1), F.lit(""))
-            body = F.trim(F.regexp_replace(t, COMMENT, ""))
-            low = F.lower(body)
-            quoted = F.concat(F.lit('"'), _plain(body), F.lit('"'))
-            word = F.when(low.isin("true", "false"), low).when(low.isin("null", "none", "nan", "undefined"), "null").when(body.rlike(NUMBER), body).otherwise(quoted)
-            second = F.substring(t, 2, 1)
-            unicode = (second == "u") & F.coalesce(follows.rlike("^[0-9a-fA-F]{4}"), F.lit(False))
-            escape = F.when(second.isin('"', "\\", "/", "b", "f", "n", "r", "t") | unicode, t).otherwise(_plain(second))
-            return F.struct(
-                t.alias("t"), F.when(t == '"', '\\"').when(F.substring(t, 1, 1) == "\\", escape).otherwise(_plain(t)).alias("inside"), word.alias("word"), quoted.alias("name"),
-                (body == "").alias("nothing"), t.rlike(COMMENT).alias("comment"), (F.trim(F.translate(t, "\n\r\t\f\x0b", "     ")) == "").alias("blank"),
-                F.contains(t, F.lit("\n")).alias("line_end"), F.coalesce(F.substring(beyond, 1, 1), F.lit("")).alias("next"),
-                F.when(blank, follows).otherwise(F.lit("")).alias("gap"), F.coalesce(F.right(F.get(all_of, i - 1), F.lit(1)), F.lit(" ")).alias("before"),
-                (then.isin("", ",", '"', "'", "“", "{", "}", "]") | then.rlike("^(//|#|/\\*)") | (last == ":")).alias("name after next"),
-            )
+            follows = F.when(F.left(t, F.lit(2)) == "\\u", F.get(all_of, i + 1))
+            return F.struct(t.alias("t"), follows.alias("follows"), F.when(t.isin(*QUOTES), around(i)).alias("at"))
 
         return F.transform(all_of, one)
 
     return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), described)
 
 
+def _inside(t: Column) -> Column:
+    """What a token adds to an open text."""
+    token, second = t["t"], F.substring(t["t"], 2, 1)
+    unicode = (second == "u") & F.coalesce(t["follows"].rlike("^[0-9a-fA-F]{4}"), F.lit(False))
+    escape = F.when(second.isin('"', "\\", "/", "b", "f", "n", "r", "t") | unicode, token).otherwise(_plain(second))
+    return F.when(token == '"', '\\"').when(F.left(token, F.lit(1)) == "\\", escape).otherwise(_plain(token))
+
+
+def _bare(token: Column) -> Column:
+    return F.trim(F.regexp_replace(token, COMMENT, ""))
+
+
+def _word(body: Column) -> Column:
+    low = F.lower(body)
+    return F.when(low.isin("true", "false"), low).when(low.isin("null", "none", "nan", "undefined"), "null").when(body.rlike(NUMBER), body).otherwise(_name(body))
+
+
+def _name(body: Column) -> Column:
+    return F.concat(F.lit('"'), _plain(body), F.lit('"'))
+
+
 def _top(stack: Column) -> Column:
     """What may follow a finished value: names in an object ('k'), values in an array ('e'), nothing once all is closed ('z')."""
     last = F.right(stack, F.lit(1))
@@ -68,14 +94,16 @@ def _top(stack: Column) -> Column:
 
 
 def _kind(s: Column, t: Column) -> Column:
-    token, text = t["t"], s["quote"] != ""
-    comma = (t["next"] == ",") & (t["name after next"] | ~s["mode"].isin("c", "v"))
-    ends = (token == s["quote"]) & (t["next"].isin("", ":", "}", "]") | comma | F.contains(t["gap"], F.lit("\n")) | ((t["gap"] != "") & ((s["mode"] == "k") | t["next"].isin('"', "'", "“"))))
-    opens = token.isin('"', "“") | ((token == "'") & t["before"].rlike(r"[\s{}\[\]:,]"))
+    token, at = t["t"], t["at"]
+    comma = (at["next"] == ",") & (at["name after next"] | ~s["mode"].isin("c", "v"))
+    gap = (at["gap"] != "") & ((s["mode"] == "k") | at["next"].isin('"', "'", "“"))
+    ends = (token == s["quote"]) & (at["next"].isin("", ":", "}", "]") | comma | F.contains(at["gap"], F.lit("\n")) | gap)
+    opens = token.isin('"', "“") | ((token == "'") & at["before"].rlike(r"[\s{}\[\]:,]"))
     return (
-        F.when(s["mode"] == "z", "skip").when(text, F.when(ends, "close").otherwise("text")).when(s["comment"], F.when(t["line_end"], "resume").otherwise("skip"))
-        .when(t["blank"], "skip").when(token.isin("{", "}", "[", "]", ":", ","), token).when(opens, "open")
-        .when(token.isin('"', "'", "“", "”") | (F.substring(token, 1, 1) == "\\"), "skip").when(t["nothing"], "comment").otherwise("bare")
+        F.when(s["mode"] == "z", "skip").when(s["quote"] != "", F.when(ends, "close").otherwise("text"))
+        .when(s["comment"], F.when(F.contains(token, F.lit("\n")), "resume").otherwise("skip"))
+        .when(_is_blank(token), "skip").when(token.isin("{", "}", "[", "]", ":", ","), token).when(opens, "open")
+        .when(token.isin(*QUOTES) | (F.left(token, F.lit(1)) == "\\"), "skip").when(_bare(token) == "", "comment").otherwise("bare")
     )
 
 
@@ -103,9 +131,9 @@ def _step(s: Column, t: Column) -> Column:
 
     def moved(kind: Column) -> Column:
         return (
-            F.when(kind == "skip", state()).when(kind == "text", state(t["inside"])).when(kind == "close", state(F.lit('"'), mode_=finished, quote=F.lit("")))
+            F.when(kind == "skip", state()).when(kind == "text", state(_inside(t))).when(kind == "close", state(F.lit('"'), mode_=finished, quote=F.lit("")))
             .when(kind == "open", state(F.concat(lead, F.lit('"')), quote=F.when(t["t"] == "“", "”").otherwise(t["t"])))
-            .when(kind == "bare", state(F.concat(lead, F.when(mode == "k", t["name"]).otherwise(t["word"])), mode_=finished, comment=t["comment"]))
+            .when(kind == "bare", state(F.concat(lead, let(_bare(t["t"]), lambda b: F.when(mode == "k", _name(b)).otherwise(_word(b)))), mode_=finished, comment=t["t"].rlike(COMMENT)))
             .when(kind == ":", F.when(mode == "c", state(F.lit(":"), mode_=F.lit("v"))).otherwise(state()))
             .when(kind == ",", F.when(mode.isin("c", "v"), state(missing, mode_=F.lit("k"))).otherwise(state()))
             .when(kind == "{", opened("o", "{", "k")).when(kind == "[", opened("a", "[", "e")).when(kind == "}", closed("o", "a", "}", "]")).when(kind == "]", closed("a", "o", "]", "}"))
