@@ -113,6 +113,9 @@ def test_jaccard_classes(spark, odd, empty, settings, monkeypatch):
     if settings:
         monkeypatch.setattr(jaccard_join, "MOST_IDS", 2)
         monkeypatch.setattr(jaccard_join, "CARRY", 4)
+        monkeypatch.setattr(jaccard_join, "HOMES", 1)
+        monkeypatch.setattr(jaccard_join, "NODE_TOKENS", 2000)
+        monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 2)
     rows = odd[0]
     sets = []
     for _, text in rows:

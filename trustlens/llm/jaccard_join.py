@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z) and cut at blanks; a document's set is its distinct
 it has fewer words. Two documents link when |A n B| >= 0.75 |A u B|.
 
 1. Equal sets are one point; the copies of a point are carried by their ids only.
-2. Tokens are hashed into groups. The vector of group counts is the point; the overlap of two sets is at most the sum of the smaller
+2. Tokens are hashed into about as many groups as a set has tokens. The vector of group counts is the point; the overlap of two sets is at most the sum of the smaller
    coordinates, and the overlap of a set with anything in a box is at most the sum with the box's upper corner.
 3. The top of the tree is cut by content, so that it needs no comparison of everything with everything: tokens are ordered by how
    full their group is in the whole corpus, and two sets that link must share one of the first |A| - ceil(0.75 |A|) + 1 tokens of
@@ -37,6 +37,9 @@ WIDTH = 5
 SHARE = (3, 4)  # similarity of 3/4 or more
 ORDER_GROUPS = 1 << 16  # of the corpus-wide counts that order the tokens
 LEAF, FAN = 16, 16
+HOMES = 64  # of a point's nodes that tell where a pair of points is given
+NODE_TOKENS = 4 << 20  # of the points compared in one task
+PAIRS_AT_ONCE = 1 << 16
 MOST_IDS = 500_000  # broadcast at most
 BLOCK_TOKENS = 4 << 20  # of the sets verified in one task, 32 MB
 CARRY = 1 << 16  # members of a node kept while its rows stream by
@@ -77,13 +80,16 @@ def needed(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a set's vector: a power of two, about a quarter of its tokens."""
-    return max(64, 1 << max(0, int(np.ceil(np.log2(max(n, 1) / 4)))))
+    """Coordinates of a set's vector: a power of two, up to twice its tokens, so that few tokens of others fall into its groups."""
+    return max(64, 1 << int(np.ceil(np.log2(max(n, 1)))))
 
 
 def vector(tokens: np.ndarray) -> np.ndarray:
+    """Tokens in each group; more groups in the unlikely case that one holds more than a byte can count."""
     groups = groups_for(len(tokens))
-    return np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.uint16)
+    while (counts := np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)).max(initial=0) > 255:
+        groups *= 2
+    return counts.astype(np.uint8)
 
 
 def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
@@ -256,7 +262,7 @@ def bounded(pairs: DataFrame, points_table: DataFrame, share: tuple[int, int]) -
         for batch in batches:
             kept = []
             for i, (m, n, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
-                u, v = np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16)
+                u, v = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
                 groups = min(len(u), len(v))
                 if q * min(m, n) >= p * max(m, n) and (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= p * (m + n):
                     kept.append(i)
@@ -303,7 +309,7 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
     members = sets.join(small, sets["point"] == small["node"]).select("component", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
     inside = pairs.join(small, pairs["a"] == small["node"]).select("component", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
 
-    def work(table: pa.Table) -> pa.RecordBatch | None:
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         kind, a, b = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).combine_chunks().fill_null(0).to_numpy()
         held = int(np.searchsorted(kind, 1))
         tokens = {x: np.frombuffer(t, np.uint64) for x, t in zip(a[:held].tolist(), table.column(4).slice(0, held).to_pylist(), strict=True)}
@@ -323,7 +329,8 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
                 if (p + q) * int((both[1:] == both[:-1]).sum()) >= p * len(both):
                     parent[m] = n
                     found.append((x, y))
-        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]) if found else None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from grouped(batches, 1, work)
@@ -345,7 +352,7 @@ class Box:
         self.at, self.parts = at, parts
         if parts is None:
             groups = min(len(vectors[i]) for i in at.tolist())
-            self.rows = np.stack([fold(vectors[i], groups) for i in at.tolist()]).astype(np.int32)
+            self.rows = np.stack([fold(vectors[i], groups) for i in at.tolist()]).astype(np.uint16)
             self.corner = self.rows.max(0)
             self.low, self.high = int(sizes[at].min()), int(sizes[at].max())
             self.label = int(labels[at[0]]) if (labels[at] == labels[at[0]]).all() else None
@@ -356,20 +363,21 @@ class Box:
             self.label = parts[0].label if all(x.label == parts[0].label for x in parts) else None
 
 
-def pack_boxes(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray) -> Box:
-    """Leaves of points that lie together by size class, label and size; then boxes of boxes."""
-    order = np.lexsort((sizes, labels, np.floor(np.log2(np.maximum(sizes, 1)))))
+def pack_boxes(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, at: np.ndarray) -> Box:
+    """Leaves of the points at some places that lie together by size class, label and size; then boxes of boxes."""
+    order = at[np.lexsort((sizes[at], labels[at], np.floor(np.log2(np.maximum(sizes[at], 1)))))]
     level = [Box(order[i : i + LEAF], vectors, sizes, labels) for i in range(0, len(order), LEAF)]
     while len(level) > 1:
         level = [Box(np.concatenate([x.at for x in level[i : i + FAN]]), vectors, sizes, labels, level[i : i + FAN]) for i in range(0, len(level), FAN)]
     return level[0]
 
 
-def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, share: tuple[int, int]) -> Iterator[tuple[int, int]]:
-    """Pairs of points with different labels whose bound allows a link."""
+def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, share: tuple[int, int], sides: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs of points with different labels whose bound allows a link; where there are two sides, one point of each."""
     p, q = share
-    root = pack_boxes(vectors, sizes, labels)
-    todo = [(root, root)]
+    parts = [np.arange(len(sizes))] if sides is None else [np.flatnonzero(sides == x) for x in np.unique(sides)]
+    roots = [pack_boxes(vectors, sizes, labels, at) for at in parts]
+    todo = [(roots[0], roots[-1])] if sides is None or len(roots) == 2 else []
     while todo:
         a, b = todo.pop()
         if a.label is not None and a.label == b.label or q * a.high < p * b.low or q * b.high < p * a.low:
@@ -393,7 +401,7 @@ def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray,
             todo += [(a, x) for x in b.parts]
 
 
-def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], pa.RecordBatch | None]) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
     """Apply work to the rows of each key; rows come sorted by the first ``keys`` columns."""
     held: list[pa.RecordBatch] = []
     held_key = None
@@ -408,39 +416,56 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Tab
         for a, b in zip(edges, edges[1:], strict=False):
             key = tuple(c[a] for c in columns)
             if key != held_key and held:
-                made = work(pa.Table.from_batches(held))
+                yield from work(pa.Table.from_batches(held))
                 held = []
-                if made is not None:
-                    yield made
             held_key = key
             held.append(batch.slice(a, b - a))
-    if held and (made := work(pa.Table.from_batches(held))) is not None:
-        yield made
+    if held:
+        yield from work(pa.Table.from_batches(held))
 
 
 def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
     """Pairs of points that share a node, carry different labels and pass the bounds of the node's tree.
 
-    A node with more than ``block`` points is dealt to blocks of them, and every pair of blocks has a tree of its own.
+    Near copies share many nodes. A pair is given in the least of those only: each point carries its least ``HOMES`` nodes, and the least node
+    that both lists name is the least that both points are in. Only pairs whose lists name none in common are given wherever they meet.
+    A node with more than ``block`` points, or more than ``NODE_TOKENS`` tokens, is dealt to blocks of them; a task has the pairs within one block, or those
+    between two.
     """
     labelled = node_rows.select("node", "point").join(labels, "point", "left").select("node", "point", F.coalesce("label", "point").alias("label"))
-    mixed = labelled.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("c")).where("least <> most")
-    blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    rows = labelled.join(mixed.select("node", blocks.alias("blocks")), "node").join(points_table.select("point", "n", "vector"), "point")
+    mixed = labelled.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("node")
+    rows = stored(labelled.join(mixed, "node"), "mixed")
+    homes = rows.groupBy("point").agg(F.slice(F.sort_array(F.collect_list("node")), 1, HOMES).alias("homes"))  # a point is in no more nodes than its prefix has tokens
+    sized = rows.join(points_table.select("point", "n"), "point").groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("tokens"))
+    blocks = F.greatest(F.ceil(F.col("c") / F.lit(block)), F.ceil(F.col("tokens") / F.lit(NODE_TOKENS))).cast("int")
+    rows = rows.join(sized.select("node", blocks.alias("blocks")), "node").join(points_table.select("point", "n", "vector").join(homes, "point"), "point")
     mine = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", other).select(
-        "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "point", "label", "n", "vector"
+        "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "point", "label", "n", "vector", "homes"
     )
 
-    def work(table: pa.Table) -> pa.RecordBatch | None:
-        point, label, n = (table.column(k).to_numpy() for k in (3, 4, 5))
-        vectors = [np.frombuffer(x, np.uint16) for x in table.column(6).to_pylist()]
-        pairs = np.array(list(tree_pairs(vectors, n, label, share)), np.int64).reshape(-1, 2)
-        if not len(pairs):
-            return None
-        a, b = point[pairs[:, 0]], point[pairs[:, 1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, i, j = (table.column(k)[0].as_py() for k in range(3))
+        mine, point, label, n = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
+        vectors = [np.frombuffer(x, np.uint8) for x in table.column(7).to_pylist()]
+        named = [frozenset(x) for x in table.column(8).to_pylist()]
+        a: list[int] = []
+        b: list[int] = []
+
+        def made() -> pa.RecordBatch:
+            x, y = point[a], point[b]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        for x, y in tree_pairs(vectors, n, label, share, None if i == j else mine):
+            if min(named[x] & named[y], default=node) == node:
+                a.append(x)
+                b.append(y)
+                if len(a) >= PAIRS_AT_ONCE:
+                    yield made()
+                    a, b = [], []
+        if a:
+            yield made()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from grouped(batches, 3, work)
