@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,15 +99,16 @@ def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
 
 
 def digests(texts: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, point, vector, text_key; the point is null for an empty set."""
+    """doc_id, n_shingles, point, vector (pressed: small counts take about two bits), text_key; the point is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for batch in batches:
             for low, high, data, offsets in pieces(batch.column(1)):
                 tokens, first = token_sets(data, offsets, width)
                 n = np.diff(first)
                 names = pa.array(signed(points(first, tokens)), mask=n == 0)
-                vectors = [vector(tokens[a:b]).tobytes() for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+                vectors = [press.compress(vector(tokens[a:b]).tobytes()) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n), names, pa.array(vectors, pa.binary()), batch.column(2).slice(low, high - low)], ["doc_id", "n_shingles", "point", "vector", "text_key"])
 
     return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, point bigint, vector binary, text_key bigint")
@@ -259,10 +261,11 @@ def bounded(pairs: DataFrame, points_table: DataFrame, share: tuple[int, int]) -
     p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdDecompressor()
         for batch in batches:
             kept = []
             for i, (m, n, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
-                u, v = np.frombuffer(u, np.uint8), np.frombuffer(v, np.uint8)
+                u, v = (np.frombuffer(press.decompress(x), np.uint8) for x in (u, v))
                 groups = min(len(u), len(v))
                 if q * min(m, n) >= p * max(m, n) and (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= p * (m + n):
                     kept.append(i)
@@ -448,7 +451,8 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, i, j = (table.column(k)[0].as_py() for k in range(3))
         mine, point, label, n = (table.column(k).to_numpy() for k in (3, 4, 5, 6))
-        vectors = [np.frombuffer(x, np.uint8) for x in table.column(7).to_pylist()]
+        press = zstandard.ZstdDecompressor()
+        vectors = [np.frombuffer(press.decompress(x), np.uint8) for x in table.column(7).to_pylist()]
         named = [frozenset(x) for x in table.column(8).to_pylist()]
         a: list[int] = []
         b: list[int] = []
