@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from trustlens.session import scratch_dir
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there and lost executors cost nothing."""
@@ -17,13 +19,24 @@ def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def settled(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
+    """``stored``, and the shuffle files that the frame was made from are removed once it is written."""
+    conf = frame.sparkSession.conf
+    before = conf.get(CLEAN_UP)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return stored(frame, purpose, **options)
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node that has a link; links has columns a and b of one type.
 
     Each step is two grouped minima with partial aggregation, so a node with very many links is no hot group. The number of steps
     grows with the logarithm of the longest chain.
     """
-    links = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    links = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -32,7 +45,7 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: the node and its smaller neighbours are linked to the least of them
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = stored(small.where("a <> b").distinct(), "links")
+        after = settled(small.where("a <> b").distinct(), "links")
         roots = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         # a star forest: every node has one link, and no centre is itself linked upwards
         chained = after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1)

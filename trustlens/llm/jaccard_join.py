@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.components import components, stored
+from trustlens.llm.components import components, settled
 from trustlens.llm.flat import BLANK_WORDS, LOWER, mix, pieces, signed, window_hashes, window_starts, word_hashes, word_spans
 from trustlens.llm.packed import flatten, keyed, pack, text_key, unpack
 
@@ -232,7 +232,7 @@ def sets_of(texts: DataFrame, points_table: DataFrame, pairs: DataFrame, width:
     The ids of those texts are broadcast while there are at most ``MOST_IDS`` of them; beyond that the packed texts are shuffled.
     """
     named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
-    wanted = stored(points_table.select("point", "doc_id").join(named, "point"), "wanted")
+    wanted = settled(points_table.select("point", "doc_id").join(named, "point"), "wanted")
 
     def tokens_of(point: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
         for low, high, data, offsets in pieces(column):
@@ -306,7 +306,7 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
     connected already are passed over. Pairs of blocks with more than ``most_tokens`` tokens are verified one by one instead.
     """
     p, q = share
-    blocks = stored(components(pairs.sparkSession, pairs), "blocks")
+    blocks = settled(components(pairs.sparkSession, pairs), "blocks")
     sizes = blocks.join(points_table.select(F.col("point").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("tokens_of_block"))
     small = blocks.join(sizes.where(F.col("tokens_of_block") <= most_tokens).select("component"), "component").select("component", "node")
     members = sets.join(small, sets["point"] == small["node"]).select("component", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
@@ -437,7 +437,7 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
     """
     labelled = node_rows.select("node", "point").join(labels, "point", "left").select("node", "point", F.coalesce("label", "point").alias("label"))
     mixed = labelled.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("node")
-    rows = stored(labelled.join(mixed, "node"), "mixed")
+    rows = settled(labelled.join(mixed, "node"), "mixed")
     homes = rows.groupBy("point").agg(F.slice(F.sort_array(F.collect_list("node")), 1, HOMES).alias("homes"))  # a point is in no more nodes than its prefix has tokens
     sized = rows.join(points_table.select("point", "n"), "point").groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("tokens"))
     blocks = F.greatest(F.ceil(F.col("c") / F.lit(block)), F.ceil(F.col("tokens") / F.lit(NODE_TOKENS))).cast("int")
@@ -483,21 +483,21 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
     spark = documents.sparkSession
     texts = keyed(documents)
     known = texts.where("doc_id is not null").select("doc_id", "text")
-    digest = stored(digests(texts.select("doc_id", "text", "text_key"), width), "digest")
+    digest = settled(digests(texts.select("doc_id", "text", "text_key"), width), "digest")
     order = np.argsort(np.argsort(group_order(known, width, groups), kind="stable")).astype(np.int32)
-    node_rows = stored(nodes(prefixes(known, width, share, spark.sparkContext.broadcast(order))), "nodes")
+    node_rows = settled(nodes(prefixes(known, width, share, spark.sparkContext.broadcast(order))), "nodes")
     made = digest.where("doc_id is not null and point is not null")
     points_table = made.groupBy("point").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.min("vector").alias("vector"))
-    points_table = stored(points_table.join(node_rows.select("point").distinct(), "point"), "points")
+    points_table = settled(points_table.join(node_rows.select("point").distinct(), "point"), "points")
     own = texts.where("doc_id is not null").select("doc_id", "text_key", "text")
 
     def linked_of(pairs: DataFrame) -> DataFrame:
-        return stored(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens), "links")
+        return settled(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens), "links")
 
     centres = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
-    links = linked_of(stored(bounded(centres, points_table, share), "pairs"))
-    labels = stored(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
-    more = linked_of(stored(apart(node_rows, labels, points_table, share, block), "pairs"))
+    links = linked_of(settled(bounded(centres, points_table, share), "pairs"))
+    labels = settled(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
+    more = linked_of(settled(apart(node_rows, labels, points_table, share, block), "pairs"))
     linked = components(spark, links.unionByName(more)).withColumnRenamed("node", "point").withColumnRenamed("component", "root")
     rooted = digest.join(linked, "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = rooted.where("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
