@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trustlens.llm.components import stored
+from trustlens.llm.components import settled
 from trustlens.llm.decontamination import decontaminate
 from trustlens.llm.jaccard_join import one_of_each_group
 from trustlens.llm.quality_rules import keep_good
@@ -49,5 +49,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
