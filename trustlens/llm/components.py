@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,21 @@ def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each action inside are removed when it ends; what is kept is written."""
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+
+
 def settled(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``stored``, and the shuffle files that the frame was made from are removed once it is written."""
-    conf = frame.sparkSession.conf
-    before = conf.get(CLEAN_UP)
-    conf.set(CLEAN_UP, "true")
-    try:
+    with shuffles_removed(frame.sparkSession):
         return stored(frame, purpose, **options)
-    finally:
-        conf.set(CLEAN_UP, before)
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
@@ -49,7 +57,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         roots = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
         # a star forest: every node has one link, and no centre is itself linked upwards
         chained = after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1)
-        if not roots.unionByName(chained.select("a", F.lit(2).cast("bigint").alias("n"))).count():
+        with shuffles_removed(spark):
+            more = roots.unionByName(chained.select("a", F.lit(2).cast("bigint").alias("n"))).count()
+        if not more:
             break
         links = after
     return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustlens.llm.components import components, settled
+from trustlens.llm.components import components, settled, shuffles_removed
 from trustlens.llm.flat import BLANK_WORDS, LOWER, mix, pieces, signed, window_hashes, window_starts, word_hashes, word_spans
 from trustlens.llm.packed import flatten, keyed, pack, text_key, unpack
 
@@ -129,8 +129,9 @@ def group_order(texts: DataFrame, width: int, groups: int) -> np.ndarray:
     parts = texts.mapInArrow(run, "at bigint, counts array<bigint>")
     pairs = parts.select("at", F.posexplode("counts").alias("i", "n")).where("n > 0").groupBy((F.col("at") + F.col("i")).alias("g")).agg(F.sum("n").alias("n"))
     out = np.zeros(groups, np.int64)
-    for g, n in pairs.collect():
-        out[g] = n
+    with shuffles_removed(texts.sparkSession):
+        for g, n in pairs.collect():
+            out[g] = n
     return out
 
 
@@ -249,7 +250,9 @@ def sets_of(texts: DataFrame, points_table: DataFrame, pairs: DataFrame, width:
         for batch in batches:
             yield from tokens_of(batch.column(0).to_numpy(), flatten(unpack(batch.column(1))))
 
-    if wanted.count() <= MOST_IDS:
+    with shuffles_removed(texts.sparkSession):
+        few = wanted.count() <= MOST_IDS
+    if few:
         made = texts.join(F.broadcast(wanted), "doc_id").select("point", "text").mapInArrow(from_texts, "point bigint, tokens binary")
     else:
         made = pack(texts).join(wanted, "doc_id").select("point", "packed").mapInArrow(from_packed, "point bigint, tokens binary")
@@ -340,7 +343,9 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
 
     dealt = members.unionByName(inside).repartition("component").sortWithinPartitions("component", "kind")
     found = dealt.mapInArrow(run, "a bigint, b bigint")
-    if sizes.where(F.col("tokens_of_block") > most_tokens).isEmpty():
+    with shuffles_removed(pairs.sparkSession):
+        all_small = sizes.where(F.col("tokens_of_block") > most_tokens).isEmpty()
+    if all_small:
         return found
     rest = pairs.join(small, pairs["a"] == small["node"], "left_anti")
     return found.unionByName(verified(rest, sets, share))
@@ -499,6 +504,7 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
     labels = settled(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
     more = linked_of(settled(apart(node_rows, labels, points_table, share, block), "pairs"))
     linked = components(spark, links.unionByName(more)).withColumnRenamed("node", "point").withColumnRenamed("component", "root")
+    digest = digest.drop("vector")
     rooted = digest.join(linked, "point", "left").withColumn("root", F.coalesce("root", "point"))
     least = rooted.where("root is not null and doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select(
@@ -509,6 +515,7 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
 def one_of_each_group(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """The documents with the least doc_id of their component, each text once; rows without a doc_id stay. All columns as they were."""
     chosen = similarity_classes(documents, width, share).where("doc_id = component_id").select(F.col("doc_id").alias("chosen id"), F.col("text_key").alias("chosen text")).distinct()
+    chosen = settled(chosen, "chosen")
     rows = documents.withColumn("chosen key", F.col("doc_id").cast("bigint")).withColumn("own text", text_key())
     once = rows.join(chosen, (F.col("chosen key") == F.col("chosen id")) & (F.col("own text") == F.col("chosen text")), "left_semi")
     once = once.withColumn("chosen rank", F.row_number().over(Window.partitionBy("chosen key", "own text").orderBy(F.lit(0)))).where(F.col("chosen rank") == 1)
