@@ -4,13 +4,13 @@ Bytes are embedded, learned filters of ``2 * BLOCK`` bytes run over the text eve
 chunks of ``CHUNK`` blocks that overlap by ``CHUNK - STEP`` blocks and together cover the whole text, and the mean and
 the maximum over the chunks give one probability through a logistic layer.
 
-The fit reads at most ``per_class`` labelled rows of each class (those whose hashed id is least) and at most ``views`` evenly
-spread chunks of each; classes are weighted back to their share of all labelled rows. Embedding, filters and logistic layer are learned together
+The fit reads at most ``per_class`` labelled ids of each class (those whose hash is least) and at most ``views`` evenly
+spread chunks of each; classes are weighted back to their share of all labelled ids. Embedding, filters and logistic layer are learned together
 by Adam on the driver; the sample is bounded by 2 * per_class * views chunks whatever the tables hold.
 
 Results for odd input: a null or empty text is scored as one chunk without bytes; without labels of both classes every score is the
-share of label 1, or 0.5 if there are none; repeated rows are scored alike; a doc_id with several labels is learned with each; other
-columns are ignored.
+share of label 1, or 0.5 if there are none; repeated rows are scored alike; a doc_id with several labels is learned with each, one with
+several texts by the text whose hash is least, so that no id weighs more for being repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -145,7 +145,7 @@ def probabilities(data: np.ndarray, offsets: np.ndarray, net: dict) -> np.ndarra
 
 def training_sample(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int, views: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, float]:
     """Chunks, labels and weights of the sampled rows, and the share of label 1 among all that may be learned."""
-    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).distinct()
     counts = {r[0]: r[1] for r in marked.groupBy("quality").agg(F.count("*")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
@@ -157,7 +157,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, learn: Column, per_
     n = F.least(F.lit(views), F.greatest(F.lit(1), F.ceil(length / F.lit(room)).cast("int")))
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), F.lit(1) + F.floor(i * F.greatest(length - room, F.lit(0)) / F.greatest(n - 1, F.lit(1))).cast("int"), F.lit(room)))
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", parts.alias("parts")).limit(4 * per_class).collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("text_key"), parts.alias("parts"))
+    rows = found.groupBy("doc_id", "quality").agg(F.min(F.struct("text_key", "parts"))["parts"].alias("parts")).collect()  # at most per_class of each class
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["parts"]))
     got = {q: sum(r["quality"] == q for r in rows) for q in (0, 1)}
     weight = {q: counts.get(q, 0) / max(got[q], 1) for q in (0, 1)}
