@@ -10,7 +10,8 @@ a shard documents arrive in the order of doc_id, the windows seen so far are the
 at least ``length`` words of matching statistics.
 
 Results for odd input: a null or empty text has no words; a null doc_id is never earlier nor later than another, so it removes
-nothing and keeps all; rows that repeat a doc_id are not earlier than each other; other columns are ignored.
+nothing and keeps all; rows that repeat a doc_id are not earlier than each other; equal rows of a batch send their windows once and
+share one set of spans; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,6 +45,14 @@ def _first_seen(hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return least
 
 
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """The place of the first of each group of equal rows, ascending."""
+    order = np.lexsort(columns)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    return np.sort(order[new])
+
+
 def _runs(column: pa.Array, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Of every window: row, start, hash and the hash and place of its anchor; in groups of whole texts with about AT_ONCE windows."""
     out, held = [], 0
@@ -89,11 +98,9 @@ def shard_rows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Data
             ids = batch.column(0)
             doc, known = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
             key = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, start, whole, anchor, place in _runs(batch.column(2), length, gram):
-                keep = known[row]
-                row, start, whole, anchor, place = (x[keep] for x in (row, start, whole, anchor, place))
-                if not len(row):
-                    continue
+            once = np.flatnonzero(known)[_distinct(key[known], doc[known])]
+            doc, key = doc[once], key[once]
+            for row, start, whole, anchor, place in _runs(batch.column(2).take(pa.array(once)), length, gram):
                 new = np.ones(len(row), bool)
                 new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
                 head = np.flatnonzero(new)
@@ -154,6 +161,7 @@ def stream_shards(rows: DataFrame) -> DataFrame:
             np.bitwise_or.at(removed, row_of_bit[found], np.uint64(1) << bit[found].astype(np.uint64))
             hit = np.flatnonzero(removed)
             if len(hit):
+                hit = hit[_distinct(removed[hit], batch.column(2).to_numpy()[hit], batch.column(3).to_numpy()[hit], doc[hit], anchor[hit])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).take(hit), batch.column(2).take(hit), batch.column(3).take(hit), pa.array(signed(removed[hit]))],
                     ["doc_id", "text_key", "start", "mask"],
@@ -196,7 +204,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         raise ValueError("a window must be longer than a gram and have at most 64 grams")
     texts = keyed(documents)
     found = stream_shards(shard_rows(texts, length, gram))
-    per_row = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "mask")).alias("found"))
+    per_row = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "mask")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
