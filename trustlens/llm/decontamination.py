@@ -2,8 +2,9 @@
 
 Texts are lower-cased (A-Z) and cut into words of digits, letters and non-ASCII characters. A window is ``window`` consecutive words
 of an item; an item with fewer words, but not none, is one window. Of every window the least hash of its ``gram``-word grams is kept,
-on both sides, so each shared window shares a fingerprint; hits are extended word by word in both directions and count when the
-shared run is as long as a window. Items shorter than a window are looked up whole.
+on both sides, so each shared window shares a fingerprint. The windows around a shared fingerprint are compared whole with the distinct
+windows of the items, and hits that overlap or follow each other are extended to one span. As only distinct windows are held, a run of
+equal words is one window on the side of the items and one look-up a word on the other, however often it occurs. Items shorter than a window are looked up whole.
 
 The benchmark is read in blocks of ``block_bytes`` of text, each of which is broadcast; the documents stream past every block
 with the hits found so far, so nothing is shuffled and memory does not follow either table.
@@ -51,66 +52,74 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return word_hashes(data, begin, end), first
 
 
+def _table(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the first owner of each, and the distinct owners of one key after another."""
+    order = np.lexsort((owner, keys))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    found, first = np.unique(keys[new], return_index=True)
+    return found, np.append(first, int(new.sum())), owner[new]
+
+
 def block_index(ids: list[str], texts: list[str], window: int, gram: int) -> dict:
-    """What tasks need of a block of items: words, sorted fingerprints, short items by their number of words."""
+    """What tasks need of a block of items: distinct fingerprints, distinct windows and short items, each with the items that hold them."""
     names = sorted(set(ids))
     place_of = {n: i for i, n in enumerate(names)}
     owner = np.array([place_of[x] for x in ids], np.int64)
     words, first = _words(*text_rows(pa.array(texts, pa.large_string())))
-    hashes, place = _fingerprints(words, first, window, gram)
-    order = np.argsort(hashes, kind="stable")
+    starts, rows = window_starts(first, window)
+    tables = {window: _table(window_hashes(words, starts, window), owner[rows])}
     sizes = np.diff(first)
-    short = {}
     for m in np.unique(sizes[(sizes > 0) & (sizes < window)]).tolist():
         rows = np.flatnonzero(sizes == m)
-        keys = window_hashes(words, first[rows], m)
-        by = np.argsort(keys, kind="stable")
-        short[m] = (keys[by], owner[rows[by]])
-    return {"names": names, "owner": owner, "words": words, "first": first, "hashes": hashes[order], "place": place[order], "short": short}
-
-
-def _pairs(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every (key place, table place) with equal values; the table is sorted."""
-    low, high = np.searchsorted(table, keys, "left"), np.searchsorted(table, keys, "right")
-    counts = high - low
-    left = np.repeat(np.arange(len(keys)), counts)
-    return left, np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + low[left]
-
-
-def _extend(a: np.ndarray, i: np.ndarray, a_edge: np.ndarray, b: np.ndarray, j: np.ndarray, b_edge: np.ndarray, step: int) -> np.ndarray:
-    """How many further words agree from a[i] and b[j] on in the direction of step, up to the edges."""
-    room = np.minimum((a_edge - i) * step, (b_edge - j) * step)
-    done, alive, n = np.zeros(len(i), np.int64), np.flatnonzero(room > 0), 0
-    while len(alive):
-        alive = alive[a[i[alive] + n * step] == b[j[alive] + n * step]]
-        n += 1
-        done[alive] = n
-        alive = alive[room[alive] > n]
-    return done
-
-
-def hit_spans(words: np.ndarray, first: np.ndarray, index: dict, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, item) of the word runs of a piece that hold whole windows of a block's items."""
-    found = []
-    hashes, place = _fingerprints(words, first, window, gram)
-    edges, item_edges = first, index["first"]
-    left, right = _pairs(hashes, index["hashes"])
-    for at in range(0, len(left), AT_ONCE):
-        i, j = place[left[at : at + AT_ONCE]], index["place"][right[at : at + AT_ONCE]]
-        row = np.searchsorted(edges, i, "right") - 1
-        item = np.searchsorted(item_edges, j, "right") - 1
-        before = _extend(words, i - 1, edges[row] - 1, index["words"], j - 1, item_edges[item] - 1, -1)
-        after = _extend(words, i, edges[row + 1], index["words"], j, item_edges[item + 1], 1)
-        long = before + after >= window
-        found.append(((i - before)[long], (i + after)[long], index["owner"][item[long]]))
-    for m, (keys, owner) in index["short"].items():
-        starts, _ = window_starts(first, m)
-        if len(starts):
-            left, right = _pairs(window_hashes(words, starts, m), keys)
-            found.append((starts[left], starts[left] + m, owner[right]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        tables[m] = _table(window_hashes(words, first[rows], m), owner[rows])
+    return {"names": names, "fingerprints": np.unique(_fingerprints(words, first, window, gram)[0]), "tables": tables}
+
+
+def _places(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table of distinct ones, or -1."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def _owners(row: np.ndarray, at: np.ndarray, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (row, owner) of hits at some places of a table; a window that a row holds often counts once."""
+    size = int(owner.max()) + 1
+    pairs = np.unique(row * len(first) + at)
+    row, at = pairs // len(first), pairs % len(first)
+    counts = first[at + 1] - first[at]
+    step = np.cumsum(counts) // AT_ONCE
+    found = [np.zeros(0, np.int64)]
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(step)) + 1):
+        n = counts[some]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at[some]], n)
+        found.append(np.unique(np.repeat(row[some], n) * size + owner[place]))
+    both = np.unique(np.concatenate(found))
+    return both // size, both % size
+
+
+def hit_spans(words: np.ndarray, first: np.ndarray, index: dict, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Row, begin and end of the windows of a piece that items of a block hold, and the distinct (row, item)."""
+    spans, held = [(np.zeros(0, np.int64),) * 3], [(np.zeros(0, np.int64),) * 2]
+    for m, (keys, cut, owner) in index["tables"].items():
+        starts, rows = window_starts(first, m)
+        if not len(starts) or not len(keys):
+            continue
+        if m == window:
+            grams = window_hashes(words, np.arange(len(words) - gram + 1), gram)
+            place = sliding_argmin(grams, window - gram + 1)[starts]
+            shared = np.zeros(len(grams), bool)
+            least = np.unique(place)
+            shared[least] = _places(grams[least], index["fingerprints"]) >= 0
+            starts, rows = starts[shared[place]], rows[shared[place]]
+        at = _places(window_hashes(words, starts, m), keys)
+        starts, rows, at = starts[at >= 0], rows[at >= 0], at[at >= 0]
+        spans.append((rows, starts, starts + m))
+        held.append(_owners(rows, at, cut, owner))
+    return (*(np.concatenate(x) for x in zip(*spans, strict=True)), *(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _search(column: pa.Array, index: dict, window: int, gram: int, old_spans: list | None, old_items: list | None) -> list[tuple[int, np.ndarray, list[str]]]:
@@ -118,15 +127,14 @@ def _search(column: pa.Array, index: dict, window: int, gram: int, old_spans: li
     out: list[tuple[int, np.ndarray, list[str]]] = []
     for low, _, data, offsets in pieces(column):
         words, first = _words(data, offsets)
-        begin, end, item = hit_spans(words, first, index, window, gram)
-        row = np.searchsorted(first, begin, "right") - 1
-        order = np.lexsort((begin, row))
-        begin, end, item, row = begin[order], end[order], item[order], row[order]
-        cut = np.searchsorted(row, np.arange(len(first)))
+        row, begin, end, item_row, item = hit_spans(words, first, index, window, gram)
+        order, items = np.lexsort((begin, row)), np.argsort(item_row, kind="stable")
+        row, begin, end, item_row, item = row[order], begin[order], end[order], item_row[items], item[items]
+        cut, item_cut = (np.searchsorted(x, np.arange(len(first))) for x in (row, item_row))
         for r, n in enumerate(np.diff(first).tolist()):
             a, b = cut[r], cut[r + 1]
-            spans = np.stack([begin[a:b], end[a:b]], 1) - first[r]
-            names = {index["names"][x] for x in item[a:b].tolist()}
+            spans = _merged(np.stack([begin[a:b], end[a:b]], 1) - first[r])
+            names = {index["names"][x] for x in item[item_cut[r] : item_cut[r + 1]].tolist()}
             if old_spans is not None:
                 spans = np.concatenate([spans, np.frombuffer(old_spans[low + r] or b"", np.int32).reshape(-1, 2)])
                 names |= set(old_items[low + r] or ())
