@@ -1,7 +1,9 @@
 """Token ids of all texts as fixed-length binary records in a global training order.
 
-1. Every text is tokenised with a public byte-pair vocabulary (its path is a parameter; the driver reads it once and broadcasts it, at
-   most ``MOST_VOCABULARY`` bytes) and cut into sequences of ``length`` ids: the ids of the text, an end id, and padding
+1. The documents are sorted by (doc_id, hash of the text) over range partitions, so that the order of the records is the same however
+   the input is split; rows that agree in both are alike and take any order among themselves, so a very frequent one is spread. Every text
+   is tokenised with a public byte-pair vocabulary (its path is a parameter; the driver reads it once and broadcasts it, at most
+   ``MOST_VOCABULARY`` bytes) and cut into sequences of ``length`` ids: the ids of the text, an end id, and padding
    with the end id up to the fixed length. The records are written to the shared folder, so that they are numbered once and for all:
    a lost executor repeats single tasks of the write, never the numbering.
 2. A sequence's number is its place in its task plus the sequences of earlier tasks (one row per task).
@@ -32,7 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlens.llm.components import stored
+from trustlens.llm.components import settled
+from trustlens.llm.packed import keyed
 from trustlens.session import scratch_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -96,8 +99,10 @@ def token_records(documents: DataFrame, vocabulary: str = VOCABULARY, length: in
             if out:
                 yield made()
 
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "task int, row bigint, doc_id bigint, part int, n_tokens int, record binary")
+    texts = keyed(documents).withColumn("at", F.monotonically_increasing_id())
+    order = ["doc_id", "text_key", "at"]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return ordered.mapInArrow(run, "task int, row bigint, doc_id bigint, part int, n_tokens int, record binary")
 
 
 def feistel(numbers: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -138,7 +143,7 @@ def numbered(records: DataFrame) -> tuple[DataFrame, int]:
 
 def placed(documents: DataFrame, vocabulary: str, length: int, end: int, per_shard: int, key: int) -> tuple[DataFrame, int]:
     """slot, shard, offset, doc_id, part, n_tokens, record in no order, and how many there are."""
-    rows, total = numbered(stored(token_records(documents, vocabulary, length, end), "records", compression="zstd"))
+    rows, total = numbered(settled(token_records(documents, vocabulary, length, end), "records", compression="zstd"))
 
     @F.pandas_udf("bigint")
     def slot(numbers: pd.Series) -> pd.Series:
