@@ -213,6 +213,28 @@ def test_decontamination(spark, odd, empty, block_bytes):
     assert decontamination.contamination(odd[1], benchmark.limit(0)).where("contaminated or n_hit > 0").count() == 0
 
 
+def test_runs_of_equal_words(spark):
+    """A text and an item of 20,000 equal words, many items with one passage, one item twice."""
+    import time
+
+    passage = " ".join(f"w{k}" for k in range(40))
+    items = [("run", "spam " * 20_000), *((f"p{k}", f"own{k} {passage}") for k in range(3_000)), ("p1", passage), ("end", "spam " * 13 + "ham")]
+    texts = ["spam " * 20_000, "spam " * 12, f"{passage} " * 50, "x " + "spam " * 30 + "ham " + "spam " * 13]
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontamination.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert time.time() - began < 30
+    assert [(got[k]["n_hit"], got[k]["n_items"], got[k]["contaminated"]) for k in range(4)] == [(20_000, 2, True), (0, 0, False), (2_000, 3_000, True), (44, 2, True)]
+    assert got[2]["items_sha256"] == sha(",".join(sorted(f"p{k}" for k in range(3_000))))
+
+
+def test_many_equal_rows(spark):
+    """10,000 equal rows behind an earlier document that holds their passage."""
+    passage = " ".join(f"w{k}" for k in range(400))
+    frame = spark.createDataFrame([(1, passage)] + [(2, f"a {passage} b")] * 10_000, "doc_id long, text string").repartition(8)
+    got = rows_of(substring_dedup.remove_repeats(frame, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256"))
+    assert got == {(1, 400, 0, sha(passage)): 1, (2, 402, 400, sha("a b")): 10_000}
+
+
 def test_suffix_automaton_and_parse():
     rng = random.Random(2)
     text = bytes(rng.choice(b"abcd") for _ in range(300))
@@ -271,6 +293,17 @@ def test_quality_scores_of_odd_texts(spark, odd, empty):
     assert {r["score"] for r in quality_classifier.score_quality(odd[1], labels.limit(0)).collect()} == {0.5}
 
 
+def test_sample_of_repeated_rows(spark):
+    """A labelled document that is repeated thousands of times, with equal and with other texts, is learned once and displaces no class."""
+    rows = [(k, f"text {k}") for k in range(40)] + [(1, "text 1")] * 7_000 + [(3, f"other {k}") for k in range(3_000)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(1, 1)] * 500, "doc_id long, quality int")
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, marks, weights, prior = quality_classifier.training_sample(documents, labels, F.lit(True), 15, 8)
+    assert marks.tolist().count(0) == marks.tolist().count(1) == 15 and len({t[0] for t in texts}) == 30 and prior == 0.5 and set(weights) == {20 / 15}
+    again = quality_classifier.training_sample(documents.repartition(7), labels, F.lit(True), 15, 8)
+    assert again[0] == texts and again[1].tolist() == marks.tolist()
+
+
 def test_network_covers_the_whole_text():
     """A piece of text moves the chunk maxima wherever it stands, also in the last bytes."""
     rng = np.random.default_rng(1)
@@ -370,6 +403,12 @@ def test_training_records(odd, empty, tmp_path):
     assert training_order.training_order(empty).count() == 0
 
 
+def test_order_does_not_follow_the_partitions(odd):
+    """Another split of the input gives every slot the same record, so a new run goes on where an old one stopped."""
+    orders = [{r["slot"]: (r["doc_id"], r["part"], bytes(r["record"])) for r in training_order.training_order(odd[1].repartition(n), length=64, per_shard=50).collect()} for n in (1, 3, 5)]
+    assert orders[0] == orders[1] == orders[2] and len(orders[0]) > 200
+
+
 def test_training_shards_are_written(spark, odd, empty, tmp_path):
     """The registered query and the last stage return rows whose records stand at their places in files."""
     import corpus_pipeline
