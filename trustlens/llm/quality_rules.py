@@ -1,15 +1,17 @@
 """Quality rules: does a text's mix of characters and common words look like any language of the corpus?
 
 For each text two histograms are made, of character classes and of common words (with one bucket for all other words). Each language of
-the corpus has a reference, the summed histograms of all its texts. A text is as far from good as its Jensen-Shannon distance (base 2,
-root of the divergence, 0 to 1) from the nearest reference. Short texts have noisy histograms: the character distance counts from
+the corpus with at least ``REFERENCE_TEXTS`` texts and ``REFERENCE_WORDS`` words has a reference, the summed histograms of all its texts.
+A text is as far from good as its Jensen-Shannon distance (base 2, root of the divergence, 0 to 1) from the reference of its own
+language. A text without a language is measured against the nearest reference; so are the characters of a text whose language has no
+reference, but not its words, since the nearest language tells nothing of them. Short texts have noisy histograms: the character distance counts from
 ``MIN_CHARS`` word characters on, the word distance from ``MIN_WORDS`` words on.
 
 Besides, base rules count words, symbols, repeated lines and words in repeated three-word windows; a text with fewer than 50 words, or
 most of whose words are in repeated windows, fails.
 
-Only DataFrame functions are used: a pass makes a digest of each text, the digests are summed to references (at most
-``MOST_LANGUAGES`` rows, those with the most texts), and every digest is measured against them. Repeated windows are found by sorting one number per window, the upper
+Only DataFrame functions are used: a pass makes a digest of each text, the digests are summed to references (one row of about 800
+bytes a language, whatever the table holds), and every digest is measured against them. Repeated windows are found by sorting one number per window, the upper
 bits of its hash with its position in the lower ones, within the row.
 
 Results for odd input: a null or empty text has no words and fails the base rules; texts without a language are measured but add to no
@@ -32,7 +34,8 @@ MIN_CHARS = 200
 MIN_WORDS = 150
 MOST_CHAR_DISTANCE = 0.30
 MOST_WORD_DISTANCE = 0.35
-MOST_LANGUAGES = 64
+REFERENCE_TEXTS = 5  # a language with fewer texts
+REFERENCE_WORDS = 1000  # or words has no reference, so a stray label changes no other verdict
 
 #: The most frequent words of some languages; a text in another language has only the bucket of other words.
 COMMON_WORDS = {
@@ -117,7 +120,7 @@ def references(digested: DataFrame) -> DataFrame:
     counted = rows.select("lang", F.explode("d.common").alias("w")).groupBy("lang", "w.at").agg(F.sum("w.n").cast("double").alias("n"))
     words = counted.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("w"))  # at most one entry per word of the vocabulary
     total = F.aggregate("c", F.lit(0.0), lambda a, b: a + b)
-    joined = summed.join(words, "lang", "left").where((total > 0) & (F.col("n") > 0)).orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES)
+    joined = summed.join(words, "lang", "left").where((total > 0) & (F.col("n") >= REFERENCE_WORDS) & (F.col("texts") >= REFERENCE_TEXTS))
     shares = F.concat(
         F.transform(F.sequence(F.lit(0), F.lit(len(VOCABULARY) - 1)), lambda i: F.coalesce(F.try_element_at(F.col("w"), i), F.lit(0.0)) / F.col("n")), F.array((F.col("n") - F.col("listed")) / F.col("n"))
     )
@@ -142,14 +145,17 @@ def judged(digested: DataFrame, refs: DataFrame) -> DataFrame:
     d = F.col("quality digest")
     size = F.aggregate(d["classes"], F.lit(0.0), lambda a, b: a + b)
     words = d["n_words"].cast("double")
-    far_chars = _nearest(F.col("quality refs"), lambda r: F.aggregate(F.zip_with(d["classes"], r["c"], lambda x, y: _part(x / size, y)), F.lit(0.0), lambda a, b: a + b))
+    own_ref = F.filter("quality refs", lambda r: r["lang"] == F.col("lang").cast("string"))
+    known = F.coalesce(F.size(own_ref) > 0, F.lit(False))
+    refs = F.when(known, own_ref).otherwise(F.col("quality refs"))
+    far_chars = _nearest(refs, lambda r: F.aggregate(F.zip_with(d["classes"], r["c"], lambda x, y: _part(x / size, y)), F.lit(0.0), lambda a, b: a + b))
     far_words = _nearest(
-        F.col("quality refs"),
+        refs,
         lambda r: F.aggregate(d["common"], F.lit(0.0), lambda a, s: a + _part(s["n"] / words, F.get(r["w"], s["at"]))) + _part((words - d["n_common"]) / words, F.element_at(r["w"], -1)),
     )
     own = [F.col(f"`{c}`") for c in digested.columns if c != "quality digest"]
     far = frame.select(
-        *own, "quality digest", F.when((d["word_chars"] >= MIN_CHARS) & (size > 0), far_chars).alias("quality chars"), F.when(d["n_words"] >= MIN_WORDS, far_words).alias("quality words")
+        *own, "quality digest", F.when((d["word_chars"] >= MIN_CHARS) & (size > 0), far_chars).alias("quality chars"), F.when((d["n_words"] >= MIN_WORDS) & (known | F.col("lang").isNull()), far_words).alias("quality words")
     )
     failed = (d["n_words"] < 50) | (100 * d["n_repeat_words"] > 50 * d["n_words"])
     good = (F.coalesce("quality chars", F.lit(0.0)) <= MOST_CHAR_DISTANCE) & (F.coalesce("quality words", F.lit(0.0)) <= MOST_WORD_DISTANCE)
