@@ -174,7 +174,7 @@ def score_quality(documents: DataFrame, labels: DataFrame, learn: Column | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
         for batch in batches:
-            for low, high, data, offsets in pieces(batch.column(2), 1 << 19):
+            for low, high, data, offsets in pieces(batch.column(2), 1 << 17):
                 score = probabilities(data, offsets, net) if net else np.full(high - low, prior)
                 arrays = [batch.column(i).slice(low, high - low) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
