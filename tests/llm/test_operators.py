@@ -93,6 +93,45 @@ def test_distance_from_references(spark):
         assert r["quality"]["kept"] == (r["doc_id"] != 7 and not r["quality"]["base_failed"])
 
 
+def test_references_by_language(spark):
+    """70 languages are all kept, a stray label changes no other verdict, and the word distance is that of a plain version."""
+    rng = random.Random(6)
+    plain = list("the of and to in is it that was for".split())
+    data = []
+    for lang in range(70):
+        letters = [chr(0x61 + k) for k in range(26)] if lang < 60 else [chr(0x400 + 40 * (lang - 60) + k) for k in range(30)]
+        own = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(300)] + plain * (20 if lang == 0 else 0)
+        data += [(10 * lang + k, " ".join(rng.choice(own) for _ in range(300)), f"l{lang:02}") for k in range(6 + (lang < 5))]
+    schema = "doc_id long, text string, lang string"
+
+    def measured(rows):
+        return {r["doc_id"]: r for r in quality_rules.quality_report(spark.createDataFrame(rows, schema).repartition(4)).collect()}
+
+    got = measured(data)
+    assert all(r["kept"] for r in got.values()) and len(got) == len(data)
+    junk = (9001, "%%% ### *** " * 100 + " ".join(f"q{k}" for k in range(900)), "stray")
+    other = measured([*data, junk])
+    assert {k: tuple(r) for k, r in other.items() if k != 9001} == {k: tuple(r) for k, r in got.items()} and other[9001]["word_distance"] is None
+    assert not other[9001]["kept"]
+    # a text of one language under the label of another is far from the reference of its label
+    assert not measured([*data, (9002, data[-1][1], "l00")])[9002]["kept"]
+    listed = {w: k for k, w in enumerate(quality_rules.VOCABULARY)}
+    shares = {}
+    for i, text, lang in data:
+        counts = Counter(listed.get(w, -1) for w in text.split())
+        shares[i] = lang, counts, len(text.split())
+    for i, (lang, counts, n) in shares.items():
+        whole, size = Counter(), 0
+        for other_lang, c, m in shares.values():
+            if other_lang == lang:
+                whole, size = whole + c, size + m
+        spread = 0.0
+        for w in {*counts, *whole}:
+            p, q = counts[w] / n, whole[w] / size
+            spread += sum(x * np.log2(2 * x / (p + q)) for x in (p, q) if x > 0) / 2
+        assert got[i]["word_distance"] == pytest.approx(np.sqrt(max(spread, 0)), abs=1e-6)
+
+
 def classes_of(rows, same):
     parent = list(range(len(rows)))
 
