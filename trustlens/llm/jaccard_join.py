@@ -94,8 +94,15 @@ def vector(tokens: np.ndarray) -> np.ndarray:
 
 
 def fold(vectors: np.ndarray, groups: int) -> np.ndarray:
-    """Vectors (the last axis) with fewer groups: groups that agree in their lower bits are one."""
-    return vectors.reshape(*vectors.shape[:-1], -1, groups).sum(-2)
+    """Vectors (the last axis) with fewer groups: groups that agree in their lower bits are one. Nothing is copied where none are."""
+    if vectors.shape[-1] == groups:
+        return vectors
+    return vectors.reshape(*vectors.shape[:-1], -1, groups).sum(-2, dtype=np.uint32)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """The same counts in the narrowest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))), copy=False)
 
 
 def digests(texts: DataFrame, width: int) -> DataFrame:
@@ -360,13 +367,13 @@ class Box:
         self.at, self.parts = at, parts
         if parts is None:
             groups = min(len(vectors[i]) for i in at.tolist())
-            self.rows = np.stack([fold(vectors[i], groups) for i in at.tolist()]).astype(np.uint16)
+            self.rows = np.stack([narrow(fold(vectors[i], groups)) for i in at.tolist()])
             self.corner = self.rows.max(0)
             self.low, self.high = int(sizes[at].min()), int(sizes[at].max())
             self.label = int(labels[at[0]]) if (labels[at] == labels[at[0]]).all() else None
         else:
             groups = min(len(x.corner) for x in parts)
-            self.rows, self.corner = None, np.stack([fold(x.corner, groups) for x in parts]).max(0)
+            self.rows, self.corner = None, narrow(np.stack([fold(x.corner, groups) for x in parts]).max(0))
             self.low, self.high = min(x.low for x in parts), max(x.high for x in parts)
             self.label = parts[0].label if all(x.label == parts[0].label for x in parts) else None
 
@@ -395,7 +402,7 @@ def tree_pairs(vectors: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray,
             continue
         if a.parts is None and b.parts is None:
             x, y = fold(a.rows, groups), fold(b.rows, groups)
-            bound = np.minimum(x[:, None, :], y[None, :, :]).sum(2)
+            bound = np.stack([np.minimum(row, y).sum(1, dtype=np.int64) for row in x])  # a row at a time: long vectors need 16 of them here, not 256
             least = p * (sizes[a.at][:, None] + sizes[b.at][None, :])
             good = ((p + q) * bound >= least) & (labels[a.at][:, None] != labels[b.at][None, :])
             if a is b:
