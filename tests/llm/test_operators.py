@@ -147,7 +147,7 @@ def classes_of(rows, same):
     return [find(i) for i in range(len(rows))]
 
 
-@pytest.mark.parametrize("settings", [{}, {"block": 3, "block_tokens": 700}])
+@pytest.mark.parametrize("settings", [{}, {"block": 3, "block_tokens": 700}, {"block_pairs": 2}])
 def test_jaccard_classes(spark, odd, empty, settings, monkeypatch):
     if settings:
         monkeypatch.setattr(jaccard_join, "MOST_IDS", 2)

@@ -43,6 +43,7 @@ NODE_TOKENS = 4 << 20  # of the points compared in one task
 PAIRS_AT_ONCE = 1 << 16
 MOST_IDS = 500_000  # broadcast at most
 BLOCK_TOKENS = 4 << 20  # of the sets verified in one task, 32 MB
+BLOCK_PAIRS = 2048  # of a block verified in one task
 CARRY = 1 << 16  # members of a node kept while its rows stream by
 
 
@@ -309,23 +310,29 @@ def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame, share: tuple[int, int], most_tokens: int) -> DataFrame:
+def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame, share: tuple[int, int], most_tokens: int, most_pairs: int) -> DataFrame:
     """Enough of the pairs (a, b) whose sets link to connect all that those links connect.
 
     Points that pairs hold together form a block; each set travels to its block once, whatever the number of pairs, and pairs that are
-    connected already are passed over. Pairs of blocks with more than ``most_tokens`` tokens are verified one by one instead.
+    connected already are passed over. A block with more than ``most_pairs`` pairs is dealt by pair to parts of about so many, so that no
+    task has a whole large group; a set then travels to the parts that have a pair of it. Pairs of blocks with more than ``most_tokens``
+    tokens are verified one by one instead.
     """
     p, q = share
     blocks = settled(components(pairs.sparkSession, pairs), "blocks")
-    sizes = blocks.join(points_table.select(F.col("point").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("tokens_of_block"))
-    small = blocks.join(sizes.where(F.col("tokens_of_block") <= most_tokens).select("component"), "component").select("component", "node")
-    members = sets.join(small, sets["point"] == small["node"]).select("component", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
-    inside = pairs.join(small, pairs["a"] == small["node"]).select("component", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
+    sizes = settled(blocks.join(points_table.select(F.col("point").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("tokens_of_block")), "sizes")
+    placed = settled(pairs.join(blocks, pairs["a"] == blocks["node"]).select("component", "a", "b"), "placed")
+    parts = placed.groupBy("component").agg(F.ceil(F.count("*") / F.lit(most_pairs)).alias("parts")).join(sizes.where(F.col("tokens_of_block") <= most_tokens), "component")
+    part = F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("part")
+    dealt = settled(placed.join(parts, "component").select("component", part, "a", "b"), "dealt")
+    of = dealt.select("component", "part", F.explode(F.array("a", "b")).alias("point")).distinct()
+    members = of.join(sets, "point").select("component", "part", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
+    inside = dealt.select("component", "part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind, a, b = table.column(1).to_numpy(), table.column(2).to_numpy(), table.column(3).combine_chunks().fill_null(0).to_numpy()
+        kind, a, b = table.column(2).to_numpy(), table.column(3).to_numpy(), table.column(4).combine_chunks().fill_null(0).to_numpy()
         held = int(np.searchsorted(kind, 1))
-        tokens = {x: np.frombuffer(t, np.uint64) for x, t in zip(a[:held].tolist(), table.column(4).slice(0, held).to_pylist(), strict=True)}
+        tokens = {x: np.frombuffer(t, np.uint64) for x, t in zip(a[:held].tolist(), table.column(5).slice(0, held).to_pylist(), strict=True)}
         parent = {x: x for x in tokens}
 
         def root(x: int) -> int:
@@ -346,16 +353,16 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from grouped(batches, 1, work)
+        yield from grouped(batches, 2, work)
 
-    dealt = members.unionByName(inside).repartition("component").sortWithinPartitions("component", "kind")
-    found = dealt.mapInArrow(run, "a bigint, b bigint")
+    rows = members.unionByName(inside).repartition("component", "part").sortWithinPartitions("component", "part", "kind")
+    found = rows.mapInArrow(run, "a bigint, b bigint")
+    large = sizes.where(F.col("tokens_of_block") > most_tokens).select("component")
     with shuffles_removed(pairs.sparkSession):
-        all_small = sizes.where(F.col("tokens_of_block") > most_tokens).isEmpty()
+        all_small = large.isEmpty()
     if all_small:
         return found
-    rest = pairs.join(small, pairs["a"] == small["node"], "left_anti")
-    return found.unionByName(verified(rest, sets, share))
+    return found.unionByName(verified(placed.join(large, "component").select("a", "b"), sets, share))
 
 
 class Box:
@@ -490,7 +497,7 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096, block_tokens: int = BLOCK_TOKENS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), text_key."""
     spark = documents.sparkSession
     texts = keyed(documents)
@@ -504,7 +511,7 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
     own = texts.where("doc_id is not null").select("doc_id", "text_key", "text")
 
     def linked_of(pairs: DataFrame) -> DataFrame:
-        return settled(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens), "links")
+        return settled(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens, block_pairs), "links")
 
     centres = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
     links = linked_of(settled(bounded(centres, points_table, share), "pairs"))
