@@ -1,4 +1,4 @@
-"""Connected components of a table of links, by alternating large-star and small-star steps."""
+"""Connected components of a table of links: contracted within partitions, then by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlens.session import scratch_dir
 
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+LINKS_HELD = 1 << 20  # of a partition, contracted at a time
 
 
 def stored(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
@@ -38,14 +41,61 @@ def settled(frame: DataFrame, purpose: str, **options: str) -> DataFrame:
         return stored(frame, purpose, **options)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of some links but the least of its component, and that least node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        open_ = low < high
+        if not open_.any():
+            break
+        np.minimum.at(root, high[open_], low[open_])
+        while (further := root[root]).tobytes() != root.tobytes():
+            root = further
+    rest = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[rest], nodes[root[rest]]
+
+
+def contracted(links: DataFrame, most: int = LINKS_HELD) -> DataFrame:
+    """Links that connect the same nodes, at most one a node of each partition; a task holds about ``most`` of them at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(x) for x, _ in held) > most:
+                held = [forest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > most // 2:
+                    yield made(*held.pop())
+        if held:
+            yield made(*forest(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    return links.mapInArrow(run, "a bigint, b bigint")
+
+
+def _is_forest_of_stars(links: DataFrame) -> bool:
+    """Does every node have one link upwards at most, and no node that others link to any?"""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    ways = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    with shuffles_removed(links.sparkSession):
+        return ways.where("up > 1 or up = 1 and least = 0").isEmpty()
+
+
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """node, component (the least node reachable) of every node that has a link; links has columns a and b of one type.
+    """node, component (the least node reachable) of every node that has a link; links has bigint columns a and b.
 
-    Each step is two grouped minima with partial aggregation, so a node with very many links is no hot group. The number of steps
-    grows with the logarithm of the longest chain.
+    The links of each partition are first contracted to a forest, which leaves few of them. Each further step is two grouped minima with
+    partial aggregation, so a node with very many links is no hot group, and the same contraction of what they give. The number of steps
+    grows with the logarithm of the longest chain at most.
     """
-    links = settled(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    while True:
+    links = settled(contracted(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "links")
+    while not _is_forest_of_stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour is linked to the least of the neighbourhood
@@ -53,13 +103,5 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: the node and its smaller neighbours are linked to the least of them
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        after = settled(small.where("a <> b").distinct(), "links")
-        roots = after.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-        # a star forest: every node has one link, and no centre is itself linked upwards
-        chained = after.select("a").join(after.select(F.col("b").alias("a")), "a", "left_semi").limit(1)
-        with shuffles_removed(spark):
-            more = roots.unionByName(chained.select("a", F.lit(2).cast("bigint").alias("n"))).count()
-        if not more:
-            break
-        links = after
-    return after.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        links = settled(contracted(small.where("a <> b").distinct()), "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
