@@ -12,8 +12,8 @@ it has fewer words. Two documents link when |A n B| >= 0.75 |A u B|.
 4. In every node the points are first compared with the node's centre, one pair per point, by bound and then by the sets themselves.
    What is then still apart is packed into boxes below the node, and pairs of boxes are descended while their bound allows a link;
    points that are connected already are not compared. A large group of near copies so costs about one verification per point.
-5. Surviving pairs are verified on their sets, which travel once to the block of points that pairs hold together; links are joined
-   into components.
+5. Surviving pairs are verified on their sets, which travel to the block of points that pairs hold together, or to the parts of a
+   large one; links are joined into components.
 
 Results for odd input: a document without words (null, empty or blank text) has an empty set, links with nothing and is its own
 component; a null doc_id links with nothing and has no component; rows that repeat a doc_id give one row each, and a document is
