@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from trustlens.functions.text import TYPE_KEYWORDS, keyword_mask
 from trustlens.operators import text_corpus as T
 
 POSTS = "channel_id long, post_id long, ts timestamp, text string"
@@ -35,3 +36,13 @@ def test_footers_meet_texts_without_a_shuffle(rows):
     frame = channel_posts(rows)
     plan = plan_of(T.long_posts(frame).join(T.repeating_footers(frame), "channel_id"))
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_posts_are_searched_for_keywords_once(rows):
+    texts = ["Python и DOCKER", "КУРС ВАЛЮТ, мем", "größe ünd straße", "", None, "api" + "ы" * 50 + "новости", "курс валют", "İ ai Новости"]
+    words = [w for listed in TYPE_KEYWORDS.values() for w in listed]
+    got = rows(list(enumerate(texts)), "i long, t string").select("i", keyword_mask(F.col("t")).alias("m")).collect()
+    assert {r["i"]: r["m"] or 0 for r in got} == {i: sum(1 << k for k, w in enumerate(words) if w in (t or "").lower()) for i, t in enumerate(texts)}
+    frame = channel_posts(rows)
+    plan = plan_of(T.channel_types(frame, frame.select("channel_id", F.lit(None).cast("string").alias("category")).distinct()))
+    assert "ontains(" not in plan and "Scan parquet" in plan
