@@ -46,3 +46,11 @@ def test_posts_are_searched_for_keywords_once(rows):
     frame = channel_posts(rows)
     plan = plan_of(T.channel_types(frame, frame.select("channel_id", F.lit(None).cast("string").alias("category")).distinct()))
     assert "ontains(" not in plan and "Scan parquet" in plan
+
+
+def test_only_premium_accounts_are_grouped(rows):
+    comments = rows([(1, 1, 5, "a"), (1, 2, 6, "b"), (1, 3, 7, "c"), (1, 4, 8, "d"), (1, 5, 9, "")], "channel_id long, comment_id long, user_id long, text string")
+    audience = rows([(1, 5, True), (1, 5, False), (1, 5, True), (1, 6, None), (1, 7, False), (2, 8, True)], "channel_id long, user_id long, is_premium boolean")
+    noted = T.comments_with_premium(comments, audience)
+    assert sorted((r["comment_id"], r["is_premium"]) for r in noted.collect()) == [(1, True), (2, False), (3, False), (4, False)]
+    assert any("Filter" in line and "is_premium" in line for line in plan_of(noted).splitlines())
