@@ -10,7 +10,7 @@ it has fewer words. Two documents link when |A n B| >= 0.75 |A u B|.
    full their group is in the whole corpus, and two sets that link must share one of the first |A| - ceil(0.75 |A|) + 1 tokens of
    each. A node is the set of points that share such a token; nodes with the same points are one.
 4. In every node the points are first compared with the node's centre, one pair per point, by bound and then by the sets themselves.
-   What is then still apart is packed into boxes below the node, and pairs of boxes are descended while their bound allows a link;
+   In a large node the points are then compared with few members of each other label that stands there. What is still apart is packed into boxes below the node, and pairs of boxes are descended while their bound allows a link;
    points that are connected already are not compared. A large group of near copies so costs about one verification per point.
 5. Surviving pairs are verified on their sets, which travel to the block of points that pairs hold together, or to the parts of a
    large one; links are joined into components.
@@ -45,6 +45,8 @@ MOST_IDS = 500_000  # broadcast at most
 BLOCK_TOKENS = 4 << 20  # of the sets verified in one task, 32 MB
 BLOCK_PAIRS = 2048  # of a block verified in one task
 CARRY = 1 << 16  # members of a node kept while its rows stream by
+LARGE = 64  # points of a node that are compared with members of other labels first
+TRIES = 16  # such members for a point and label
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -497,7 +499,23 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096, block_tokens: int = BLOCK_TOKENS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
+def tries(node_rows: DataFrame, labels: DataFrame, large: int) -> DataFrame:
+    """For each point of a large node and each other label that stands there, ``TRIES`` pairs (a, b) with members of that label at most.
+
+    Every such node names one of its points, so a point has as many to choose from as it has nodes, and takes few of them. So these pairs grow with
+    the points, whatever the size of a group, and what they link is not compared in the trees.
+    """
+    rows = node_rows.select("node", "point").join(labels, "point", "left").select("node", "point", F.coalesce("label", "point").alias("label"))
+    by = F.xxhash64("point", "node")
+    chosen = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("point", "label"), by).alias("of"))
+    chosen = chosen.where((F.col("c") > large) & (F.col("low") != F.col("high"))).select("node", F.col("of.point").alias("member"), F.col("of.label").alias("other"))
+    met = rows.join(chosen, "node").where("label <> other").select("point", "other", F.struct(F.xxhash64("point", "member").alias("h"), "member").alias("m"))
+    few = met.groupBy("point", "other").agg(F.slice(F.sort_array(F.collect_set("m")), 1, TRIES).alias("few"))  # a point is in no more nodes than its prefix has tokens
+    pairs = few.select("point", F.explode("few.member").alias("member"))
+    return pairs.select(F.least("point", "member").alias("a"), F.greatest("point", "member").alias("b")).distinct()
+
+
+def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, groups: int = ORDER_GROUPS, block: int = 4096, block_tokens: int = BLOCK_TOKENS, block_pairs: int = BLOCK_PAIRS, large: int = LARGE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable by links), text_key."""
     spark = documents.sparkSession
     texts = keyed(documents)
@@ -515,7 +533,16 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
 
     centres = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
     links = linked_of(settled(bounded(centres, points_table, share), "pairs"))
-    labels = settled(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
+    def labels_of(links: DataFrame) -> DataFrame:
+        return settled(components(spark, links).withColumnRenamed("node", "point").withColumnRenamed("component", "label"), "labels")
+
+    labels = labels_of(links)
+    pairs = settled(bounded(settled(tries(node_rows, labels, large), "tries"), points_table, share), "pairs")
+    with shuffles_removed(spark):
+        none = pairs.isEmpty()
+    if not none:
+        links = links.unionByName(linked_of(pairs))
+        labels = labels_of(links)
     more = linked_of(settled(apart(node_rows, labels, points_table, share, block), "pairs"))
     linked = components(spark, links.unionByName(more)).withColumnRenamed("node", "point").withColumnRenamed("component", "root")
     digest = digest.drop("vector")
