@@ -47,3 +47,19 @@ def test_forest_of_long_chains():
     a, b = forest(order[:-1], order[1:])
     assert len(a) == n - 1 and not b.any()
     assert [len(x) for x in forest(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+
+
+@pytest.mark.parametrize("links", [CHAIN, MIXED, ODD])
+def test_components_of_many_tasks(spark, links):
+    frame = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    assert sorted(map(tuple, components(spark, frame, 100).collect())) == least_of(links)
+
+
+def test_few_links_take_few_jobs(spark):
+    frame = spark.createDataFrame(CHAIN + MIXED, "a bigint, b bigint").repartition(7)
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        components(spark, frame)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 6
+    finally:
+        spark.sparkContext.setJobGroup("", "")

@@ -4,16 +4,17 @@ Texts are lower-cased (A-Z) and cut at blanks; a document's set is its distinct
 it has fewer words. Two documents link when |A n B| >= 0.75 |A u B|.
 
 1. Equal sets are one point; the copies of a point are carried by their ids only.
-2. Tokens are hashed into about as many groups as a set has tokens. The vector of group counts is the point; the overlap of two sets is at most the sum of the smaller
+2. Tokens are hashed into half as many groups as a set has tokens, or more. The vector of group counts is the point; the overlap of two sets is at most the sum of the smaller
    coordinates, and the overlap of a set with anything in a box is at most the sum with the box's upper corner.
 3. The top of the tree is cut by content, so that it needs no comparison of everything with everything: tokens are ordered by how
    full their group is in the whole corpus, and two sets that link must share one of the first |A| - ceil(0.75 |A|) + 1 tokens of
    each. A node is the set of points that share such a token; nodes with the same points are one.
-4. In every node the points are first compared with the node's centre, one pair per point, by bound and then by the sets themselves.
-   In a large node the points are then compared with few members of each other label that stands there. What is still apart is packed into boxes below the node, and pairs of boxes are descended while their bound allows a link;
+4. In every node the points are first compared with the node's centre, one pair per point, by size, by bound and then by the sets themselves.
+   In a large node the points are then compared with few members of each other label that stands there. What is still apart is packed into boxes below the node, without the centre and
+   without points that meet no other label near their size, and pairs of boxes are descended while their bound allows a link;
    points that are connected already are not compared. A large group of near copies so costs about one verification per point.
-5. Surviving pairs are verified on their sets, which travel to the block of points that pairs hold together, or to the parts of a
-   large one; links are joined into components.
+5. Surviving pairs are verified on their sets, made again from packed texts that travel once to the block of points that pairs hold together, or to the
+   parts of a large one; links are joined into components.
 
 Results for odd input: a document without words (null, empty or blank text) has an empty set, links with nothing and is its own
 component; a null doc_id links with nothing and has no component; rows that repeat a doc_id give one row each, and a document is
@@ -22,27 +23,28 @@ linked if any of its rows is; other columns are ignored or, in ``one_of_each_gro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustlens.llm.components import components, settled, shuffles_removed
 from trustlens.llm.flat import BLANK_WORDS, LOWER, mix, pieces, signed, window_hashes, window_starts, word_hashes, word_spans
-from trustlens.llm.packed import flatten, keyed, pack, text_key, unpack
+from trustlens.llm.packed import flatten, keyed, pack, press_texts, text_key, unpack
 
 WIDTH = 5
 SHARE = (3, 4)  # similarity of 3/4 or more
 ORDER_GROUPS = 1 << 16  # of the corpus-wide counts that order the tokens
 LEAF, FAN = 16, 16
-HOMES = 64  # of a point's nodes that tell where a pair of points is given
+HOMES = 16  # of a point's nodes that tell where a pair of points is given
 NODE_TOKENS = 4 << 20  # of the points compared in one task
 PAIRS_AT_ONCE = 1 << 16
 MOST_IDS = 500_000  # broadcast at most
-BLOCK_TOKENS = 4 << 20  # of the sets verified in one task, 32 MB
+BLOCK_TOKENS = 4 << 20  # of the pairs verified in one task, 32 MB at most
 BLOCK_PAIRS = 2048  # of a block verified in one task
 CARRY = 1 << 16  # members of a node kept while its rows stream by
 LARGE = 64  # points of a node that are compared with members of other labels first
@@ -84,8 +86,8 @@ def needed(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 
 
 def groups_for(n: int) -> int:
-    """Coordinates of a set's vector: a power of two, up to twice its tokens, so that few tokens of others fall into its groups."""
-    return max(64, 1 << int(np.ceil(np.log2(max(n, 1)))))
+    """Coordinates of a set's vector: a power of two, half its tokens to all of them. Unrelated sets of a size overlap in three of five at most by this bound, and six of seven are needed."""
+    return max(64, 1 << int(np.ceil(np.log2(max(n, 1)))) >> 1)
 
 
 def vector(tokens: np.ndarray) -> np.ndarray:
@@ -237,104 +239,82 @@ def nodes(prefix_rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, point bigint, centre bigint").dropDuplicates(["node", "point"])
 
 
-def sets_of(texts: DataFrame, points_table: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """point, tokens (sorted) of the points that pairs name, made again from one text of each (from each row that repeats it).
+def texts_of(texts: DataFrame, points_table: DataFrame, places: DataFrame) -> DataFrame:
+    """component, part, point, packed: one text of each point (each row that repeats its id), at all places (component, part) of the point.
 
-    The ids of those texts are broadcast while there are at most ``MOST_IDS`` of them; beyond that the packed texts are shuffled.
+    The ids of those texts are broadcast with their places while there are at most ``MOST_IDS`` of them; beyond that the packed texts are shuffled.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("point")).distinct()
-    wanted = settled(points_table.select("point", "doc_id").join(named, "point"), "wanted")
+    placed = places.groupBy("point").agg(F.collect_list(F.struct("component", "part")).alias("places"))  # no more than the parts of one block
+    wanted = settled(points_table.select("point", "doc_id").join(placed, "point"), "wanted")
 
-    def tokens_of(point: np.ndarray, column: pa.Array) -> Iterator[pa.RecordBatch]:
-        for low, high, data, offsets in pieces(column):
-            tokens, first = token_sets(data, offsets, width)
-            right = np.flatnonzero(signed(points(first, tokens)) == point[low:high])
-            sets = [tokens[first[i] : first[i + 1]].tobytes() for i in right.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(point[low:high][right]), pa.array(sets, pa.binary())], ["point", "tokens"])
-
-    def from_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from tokens_of(batch.column(0).to_numpy(), batch.column(1))
-
-    def from_packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from tokens_of(batch.column(0).to_numpy(), flatten(unpack(batch.column(1))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), press_texts(batch.column(2))], ["point", "places", "packed"])
 
     with shuffles_removed(texts.sparkSession):
         few = wanted.count() <= MOST_IDS
     if few:
-        made = texts.join(F.broadcast(wanted), "doc_id").select("point", "text").mapInArrow(from_texts, "point bigint, tokens binary")
+        kind = "point bigint, places array<struct<component: bigint, part: bigint>>, packed binary"
+        made = texts.join(F.broadcast(wanted), "doc_id").select("point", "places", "text").mapInArrow(run, kind)
     else:
-        made = pack(texts).join(wanted, "doc_id").select("point", "packed").mapInArrow(from_packed, "point bigint, tokens binary")
-    return made
+        made = pack(texts).join(wanted, "doc_id")
+    return made.select(F.explode("places").alias("place"), "point", "packed").select("place.component", "place.part", "point", "packed")
 
 
 def bounded(pairs: DataFrame, points_table: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose summed coordinate minima allow a link."""
+    """The pairs (a, b) whose sizes and summed coordinate minima allow a link, and the tokens of both. Only pairs of near sizes get vectors."""
     p, q = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdDecompressor()
         for batch in batches:
-            kept = []
+            kept, tokens = [], []
             for i, (m, n, u, v) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True)):
                 u, v = (np.frombuffer(press.decompress(x), np.uint8) for x in (u, v))
                 groups = min(len(u), len(v))
-                if q * min(m, n) >= p * max(m, n) and (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= p * (m + n):
+                if (p + q) * int(np.minimum(fold(u, groups), fold(v, groups)).sum()) >= p * (m + n):
                     kept.append(i)
+                    tokens.append(m + n)
             if kept:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
-
-    left = points_table.select(F.col("point").alias("a"), F.col("n").alias("m"), F.col("vector").alias("u"))
-    right = points_table.select(F.col("point").alias("b"), F.col("n"), F.col("vector").alias("v"))
-    joined = pairs.join(left, "a").join(right, "b")
-    near = F.least("m", "n") * share[1] >= F.greatest("m", "n") * share[0]  # sizes too far apart are no candidates
-    return joined.where(near).select("a", "b", "m", "n", "u", "v").mapInArrow(run, "a bigint, b bigint")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
-    p, q = share
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(tokens, pa.int64())], ["a", "b", "tokens"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-                both.sort(kind="stable")
-                if (p + q) * int((both[1:] == both[:-1]).sum()) >= p * len(both):
-                    kept.append(i)
-            if kept:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept)], ["a", "b"])
+    def of(end: str, *columns: Column) -> DataFrame:
+        return points_table.select(F.col("point").alias(end), *columns)
 
-    left = sets.select(F.col("point").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("point").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    sized = pairs.join(of("a", F.col("n").alias("m")), "a").join(of("b", F.col("n")), "b")
+    near = sized.where(F.least("m", "n") * q >= F.greatest("m", "n") * p)  # sizes too far apart are no candidates
+    joined = near.join(of("a", F.col("vector").alias("u")), "a").join(of("b", F.col("vector").alias("v")), "b")
+    return joined.select("a", "b", "m", "n", "u", "v").mapInArrow(run, "a bigint, b bigint, tokens bigint")
 
 
-def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame, share: tuple[int, int], most_tokens: int, most_pairs: int) -> DataFrame:
+def verified_by_block(pairs: DataFrame, points_table: DataFrame, texts: DataFrame, width: int, share: tuple[int, int], most_tokens: int, most_pairs: int) -> DataFrame:
     """Enough of the pairs (a, b) whose sets link to connect all that those links connect.
 
-    Points that pairs hold together form a block; each set travels to its block once, whatever the number of pairs, and pairs that are
-    connected already are passed over. A block with more than ``most_pairs`` pairs is dealt by pair to parts of about so many, so that no
-    task has a whole large group; a set then travels to the parts that have a pair of it. Pairs of blocks with more than ``most_tokens``
-    tokens are verified one by one instead.
+    Points that pairs hold together form a block; a text of each travels to its block once, whatever the number of pairs, and pairs that are
+    connected already are passed over. A block with more than ``most_pairs`` pairs, or ``most_tokens`` tokens of them, is dealt by pair to parts of about so many,
+    so that no task has a whole large group; a text then travels to the parts that have a pair of it. Large blocks are few and broadcast.
     """
     p, q = share
     blocks = settled(components(pairs.sparkSession, pairs), "blocks")
-    sizes = settled(blocks.join(points_table.select(F.col("point").alias("node"), "n"), "node").groupBy("component").agg(F.sum("n").alias("tokens_of_block")), "sizes")
-    placed = settled(pairs.join(blocks, pairs["a"] == blocks["node"]).select("component", "a", "b"), "placed")
-    parts = placed.groupBy("component").agg(F.ceil(F.count("*") / F.lit(most_pairs)).alias("parts")).join(sizes.where(F.col("tokens_of_block") <= most_tokens), "component")
-    part = F.pmod(F.xxhash64("a", "b"), F.col("parts")).alias("part")
-    dealt = settled(placed.join(parts, "component").select("component", part, "a", "b"), "dealt")
-    of = dealt.select("component", "part", F.explode(F.array("a", "b")).alias("point")).distinct()
-    members = of.join(sets, "point").select("component", "part", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "tokens")
-    inside = dealt.select("component", "part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("tokens"))
+    placed = settled(pairs.join(blocks, pairs["a"] == blocks["node"]).select("component", "a", "b", "tokens"), "placed")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(most_pairs)), F.ceil(F.sum("tokens") / F.lit(most_tokens))).alias("parts")
+    parts = placed.groupBy("component").agg(parts).where("parts > 1")
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).alias("part")
+    dealt = settled(placed.join(F.broadcast(parts), "component", "left").select("component", part, "a", "b"), "dealt")
+    places = dealt.select("component", "part", F.explode(F.array("a", "b")).alias("point")).distinct()
+    members = texts_of(texts, points_table, places).select("component", "part", F.lit(0).alias("kind"), F.col("point").alias("a"), F.lit(None).cast("bigint").alias("b"), "packed")
+    inside = dealt.select("component", "part", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("packed"))
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         kind, a, b = table.column(2).to_numpy(), table.column(3).to_numpy(), table.column(4).combine_chunks().fill_null(0).to_numpy()
         held = int(np.searchsorted(kind, 1))
-        tokens = {x: np.frombuffer(t, np.uint64) for x, t in zip(a[:held].tolist(), table.column(5).slice(0, held).to_pylist(), strict=True)}
+        tokens: dict[int, np.ndarray] = {}
+        for at in range(0, held, 64):
+            named = a[at : min(at + 64, held)]
+            for low, high, data, offsets in pieces(flatten(unpack(table.column(5).slice(at, len(named))))):
+                found, first = token_sets(data, offsets, width)
+                right = np.flatnonzero(signed(points(first, found)) == named[low:high])
+                tokens |= {int(named[low + i]): found[first[i] : first[i + 1]].copy() for i in right.tolist()}
         parent = {x: x for x in tokens}
 
         def root(x: int) -> int:
@@ -342,7 +322,7 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
                 parent[x] = x = parent[parent[x]]
             return x
 
-        found = []
+        linked = []
         for x, y in zip(a[held:].tolist(), b[held:].tolist(), strict=True):
             m, n = root(x), root(y)
             if m != n:
@@ -350,21 +330,15 @@ def verified_by_block(pairs: DataFrame, points_table: DataFrame, sets: DataFrame
                 both.sort(kind="stable")
                 if (p + q) * int((both[1:] == both[:-1]).sum()) >= p * len(both):
                     parent[m] = n
-                    found.append((x, y))
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    linked.append((x, y))
+        if linked:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in linked], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from grouped(batches, 2, work)
 
     rows = members.unionByName(inside).repartition("component", "part").sortWithinPartitions("component", "part", "kind")
-    found = rows.mapInArrow(run, "a bigint, b bigint")
-    large = sizes.where(F.col("tokens_of_block") > most_tokens).select("component")
-    with shuffles_removed(pairs.sparkSession):
-        all_small = large.isEmpty()
-    if all_small:
-        return found
-    return found.unionByName(verified(placed.join(large, "component").select("a", "b"), sets, share))
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 class Box:
@@ -449,20 +423,29 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int, work: Callable[[pa.Tab
 
 
 def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
-    """Pairs of points that share a node, carry different labels and pass the bounds of the node's tree.
+    """Pairs of points that share a node, carry different labels and pass the bounds of the node's tree, and the tokens of both.
+
+    Pairs with a node's centre are not given: they were verified before, so those that carry different labels do not link. Nor do points take part that
+    meet no other label in their class of sizes or the next ones.
 
     Near copies share many nodes. A pair is given in the least of those only: each point carries its least ``HOMES`` nodes, and the least node
     that both lists name is the least that both points are in. Only pairs whose lists name none in common are given wherever they meet.
     A node with more than ``block`` points, or more than ``NODE_TOKENS`` tokens, is dealt to blocks of them; a task has the pairs within one block, or those
     between two.
     """
-    labelled = node_rows.select("node", "point").join(labels, "point", "left").select("node", "point", F.coalesce("label", "point").alias("label"))
-    mixed = labelled.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("node")
-    rows = settled(labelled.join(mixed, "node"), "mixed")
+    p, q = share
+    size_class = F.floor(F.log("n") / F.lit(max(math.log(q / p), 1e-3) * 1.0001)).alias("size_class")  # sizes that may link are of one class or of neighbours
+    labelled = node_rows.where("point <> centre").select("node", "point").join(labels, "point", "left").join(points_table.select("point", "n"), "point")
+    labelled = labelled.select("node", "point", F.coalesce("label", "point").alias("label"), "n", size_class)
+    classes = labelled.groupBy("node", "size_class").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    near = Window.partitionBy("node").orderBy("size_class").rangeBetween(-1, 1)  # a row for each size class of a node
+    mixed = classes.select("node", "size_class", F.min("least").over(near).alias("least"), F.max("most").over(near).alias("most")).where("least <> most")
+    rows = settled(labelled.join(mixed.select("node", "size_class"), ["node", "size_class"]).drop("size_class"), "mixed")
     homes = rows.groupBy("point").agg(F.slice(F.sort_array(F.collect_list("node")), 1, HOMES).alias("homes"))  # a point is in no more nodes than its prefix has tokens
-    sized = rows.join(points_table.select("point", "n"), "point").groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("c") / F.lit(block)), F.ceil(F.col("tokens") / F.lit(NODE_TOKENS))).cast("int")
-    rows = rows.join(sized.select("node", blocks.alias("blocks")), "node").join(points_table.select("point", "n", "vector").join(homes, "point"), "point")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(block)), F.ceil(F.sum("n") / F.lit(NODE_TOKENS))).cast("int").alias("blocks")
+    large = rows.groupBy("node").agg(blocks).where("blocks > 1")  # few: each has more than so many points or tokens
+    rows = rows.join(F.broadcast(large), "node", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.join(points_table.select("point", "vector").join(homes, "point"), "point")
     mine = F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("mine", mine).withColumn("other", other).select(
@@ -480,7 +463,7 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
 
         def made() -> pa.RecordBatch:
             x, y = point[a], point[b]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[a] + n[b])], ["a", "b", "tokens"])
 
         for x, y in tree_pairs(vectors, n, label, share, None if i == j else mine):
             if min(named[x] & named[y], default=node) == node:
@@ -496,7 +479,7 @@ def apart(node_rows: DataFrame, labels: DataFrame, points_table: DataFrame, shar
         yield from grouped(batches, 3, work)
 
     dealt = rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint, tokens bigint").distinct()
 
 
 def tries(node_rows: DataFrame, labels: DataFrame, large: int) -> DataFrame:
@@ -529,7 +512,7 @@ def similarity_classes(documents: DataFrame, width: int = WIDTH, share: tuple[in
     own = texts.where("doc_id is not null").select("doc_id", "text_key", "text")
 
     def linked_of(pairs: DataFrame) -> DataFrame:
-        return settled(verified_by_block(pairs, points_table, sets_of(own, points_table, pairs, width), share, block_tokens, block_pairs), "links")
+        return settled(verified_by_block(pairs, points_table, own, width, share, block_tokens, block_pairs), "links")
 
     centres = node_rows.where("point <> centre").select(F.least("point", "centre").alias("a"), F.greatest("point", "centre").alias("b")).distinct()
     links = linked_of(settled(bounded(centres, points_table, share), "pairs"))

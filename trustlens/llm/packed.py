@@ -24,17 +24,20 @@ def keyed(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(), F.col("text").cast("string").alias("text"))
 
 
+def press_texts(column: pa.Array) -> pa.Array:
+    """Each text packed (null for null)."""
+    press = zstandard.ZstdCompressor(level=3)
+    data, offsets = text_rows(column)
+    raw, at, there = memoryview(data), offsets.tolist(), column.is_valid().to_pylist()
+    return pa.array([press.compress(raw[a:b]) if ok else None for a, b, ok in zip(at, at[1:], there, strict=False)], pa.binary())
+
+
 def pack(texts: DataFrame) -> DataFrame:
     """doc_id, text_key, packed (null for null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            column = batch.column(2)
-            data, offsets = text_rows(column)
-            raw, at, there = memoryview(data), offsets.tolist(), column.is_valid().to_pylist()
-            packed = [press.compress(raw[a:b]) if ok else None for a, b, ok in zip(at, at[1:], there, strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["doc_id", "text_key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), press_texts(batch.column(2))], ["doc_id", "text_key", "packed"])
 
     return texts.mapInArrow(run, f"{KEYED}, packed binary")
 
