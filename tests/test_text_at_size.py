@@ -38,6 +38,24 @@ def test_footers_meet_texts_without_a_shuffle(rows):
     assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_footers_go_to_the_texts_beyond_the_limit_of_the_planner(spark, rows, monkeypatch):
+    frame = channel_posts(rows)
+    expected = {(r["channel_id"], r["footer"], r["footer_posts"]) for r in T.repeating_footers(frame).collect()}
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        footers = T.repeating_footers(frame)
+        for how in ("inner", "left"):
+            assert "hashpartitioning" not in plan_of(T.long_posts(frame).join(footers, "channel_id", how))
+        monkeypatch.setattr(T, "FOOTER_BYTES", 10)
+        dealt = T.repeating_footers(frame)
+        assert "hashpartitioning" in plan_of(T.long_posts(frame).join(dealt, "channel_id"))
+    finally:
+        spark.conf.set(key, before)
+    assert expected and all({(r["channel_id"], r["footer"], r["footer_posts"]) for r in f.collect()} == expected for f in (footers, dealt))
+
+
 def test_posts_are_searched_for_keywords_once(rows):
     texts = ["Python и DOCKER", "КУРС ВАЛЮТ, мем", "größe ünd straße", "", None, "api" + "ы" * 50 + "новости", "курс валют", "İ ai Новости"]
     words = [w for listed in TYPE_KEYWORDS.values() for w in listed]
