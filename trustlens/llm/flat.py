@@ -34,12 +34,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, made once a process and as far as needed."""
+    """Powers of an odd number and of its inverse modulo 2**64, made once a process and as far as needed; functions sent to tasks take none along."""
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 2**64)
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self) -> tuple[type, tuple[int]]:
+        return type(self), (self.base,)
+
     def grow(self, n: int) -> None:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up), PIECE + 4096)
